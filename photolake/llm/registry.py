@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from photolake.llm import mixture, simhash, tokens
+from photolake.llm import license_scan, mixture, ngram_model, simhash, suffix_match, tokens
 
 QUERIES = {
     "op2_token_files": tokens.op2_token_files,
+    "op3_decontamination": suffix_match.op3_decontamination,
+    "op4_license_scan": license_scan.op4_license_scan,
+    "op7_ngram_model": ngram_model.op7_ngram_model,
     "op8_token_counts": tokens.op8_token_counts,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixture": mixture.op10_mixture,
