@@ -1,17 +1,60 @@
-"""Corpus preparation: the stages that turn raw documents into token files."""
+"""Corpus preparation: the stages that turn raw documents into token files.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before it kept. All but the
+last return the columns of ``documents``. Between stages the rows are written and read again.
+"""
 
 from __future__ import annotations
 
-STAGES = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+
+from photolake.llm import mixture, simhash, suffix_match, tokens, toxicity
+from photolake.llm.tables import table
+from photolake.storage import materialize, scratch_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier finds toxic go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.learned_rows())
+    return toxicity.without_toxic(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.one_of_each(docs)
+
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item go."""
+    return suffix_match.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixture.mixed_documents(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files, and what each document has in them."""
+    folder = scratch_path(spark, "corpus")
+    return tokens.read_token_files(tokens.write_token_files(docs, folder), folder)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixture", mix_sources),
+    ("token_files", write_tokens),
+]
+
+#: Classifier, fingerprints and tokenizer have no form in SQL.
+ORACLE_SQL = None
 
-def run(spark, sf_dir: str):
-    """All stages over the documents of ``sf_dir``, each written and read again."""
-    from photolake.llm.tables import table
-    from photolake.storage import materialize
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), name)
     return docs

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from photolake.llm import license_scan, mixture, ngram_model, simhash, suffix_match, tokens
+from photolake.llm import license_scan, mixture, ngram_model, quality_rules, simhash, suffix_match, tokens, toxicity
 
 QUERIES = {
     "op2_token_files": tokens.op2_token_files,
     "op3_decontamination": suffix_match.op3_decontamination,
     "op4_license_scan": license_scan.op4_license_scan,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_ngram_model": ngram_model.op7_ngram_model,
     "op8_token_counts": tokens.op8_token_counts,
     "op9_simhash": simhash.op9_simhash,

@@ -43,14 +43,14 @@ def fingerprint(text: str | None, words_each: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3) -> DataFrame:
-    """``doc_id, fp`` (signed 64 bits) of every row, in one narrow pass."""
+    """``doc_id, text_hash, fp`` of every row (64 bits, signed), in one narrow pass."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x.as_py(), words_each) for x in batch.column(1)], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(x.as_py(), words_each) for x in batch.column(2)], pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(scan, picked.select("doc_id").withColumn("fp", F.lit(0).cast("long")).schema)
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return picked.mapInArrow(scan, picked.select("doc_id", "text_hash").withColumn("fp", F.lit(0).cast("long")).schema)
 
 
 def fingerprint_links(fps: DataFrame, most: int = 3, segment: int = 2, blocks: int = 6) -> DataFrame:
@@ -99,7 +99,7 @@ def _all(conditions: list):
 
 
 def near_duplicates(docs: DataFrame, most: int = 3, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every row.
+    """``doc_id, fingerprint, component_id, text_hash`` of every row.
 
     Rows whose fingerprints differ in ``most`` bits or fewer are linked; ``component_id`` is the
     smallest id reachable over links, the row's own included. Equal fingerprints (empty and null
@@ -114,9 +114,21 @@ def near_duplicates(docs: DataFrame, most: int = 3, id_col: str = "doc_id", text
     named = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     # a class may hold a third of all rows, so the lookup is by a join that can be split or broadcast
     lookup = materialize(linked.join(named, "component").select("fp", "component_id"), "classes")
-    return fps.join(lookup, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(lookup, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that bear their group's smallest id, with all their columns.
+
+    Equal rows leave one. Rows that share an id are judged each by its own text. Groups in which no
+    row has an id keep all their different texts.
+    """
+    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash")), "left_semi")
+    return rows.dropDuplicates([id_col, text_col])
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
