@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from photolake.llm import license_scan, mixture, ngram_model, quality_rules, simhash, suffix_match, tokens, toxicity
+from photolake.llm import license_scan, mixture, ngram_model, nn_descent, quality_rules, simhash, suffix_match, tokens, toxicity
 
 QUERIES = {
+    "op1_nn_descent": nn_descent.op1_nn_descent,
     "op2_token_files": tokens.op2_token_files,
     "op3_decontamination": suffix_match.op3_decontamination,
     "op4_license_scan": license_scan.op4_license_scan,
