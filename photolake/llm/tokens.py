@@ -19,9 +19,8 @@ from photolake.llm.tables import table
 from photolake.storage import materialize, scratch_path
 
 _TOKENIZERS: dict = {}
-_PIECES: dict = {}
 #: Most encoded pieces that one Python worker keeps.
-MAX_PIECES = 400_000
+MAX_PIECES = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -111,31 +110,85 @@ def op8_token_counts(spark, sf_dir: str) -> DataFrame:
 
 #: A space before more white space.
 _SPACE_RUN = re.compile(r" (?=\s)")
+#: Marks that are cut off the end of a word of letters; the one that begins contractions is not here.
+_MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 
-def _encoded(texts: list[str | None], t, end: bytes, path: str) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit integers, with the end id.
+class PieceCache:
+    """Ids of the pieces between spaces, as bytes, kept from text to text.
 
     A space before a character that is no white space always starts a new piece of the byte-level
-    pre-tokenizer, so ids of what stands between such spaces can be kept and used again. Texts where
-    white space or the end follows a space are encoded whole.
+    pre-tokenizer, and so do marks behind a letter, and a line end between anything else and a letter.
+    New words of letters are encoded together in one text; a token that starts with a space, or is a
+    line end, starts the next word.
     """
-    kept = _PIECES.setdefault(path, {})
-    if len(kept) > MAX_PIECES:
-        kept.clear()
-    split = [x.split(" ") if x and x[-1] != " " and not _SPACE_RUN.search(x) else None for x in texts]
-    missing = set()
-    for pieces in split:
-        if pieces:
-            missing.update(pieces[1:])
-    missing.difference_update(kept)
-    new = list(missing)
-    for piece, found in zip(new, t.encode_batch_fast([" " + x for x in new], add_special_tokens=False)):
-        kept[piece] = array("I", found.ids).tobytes()
-    whole = t.encode_batch_fast([p[0] if p else (x or "") for p, x in zip(split, texts)], add_special_tokens=False)
-    get = kept.__getitem__
-    return [array("I", first.ids).tobytes() + (b"".join(map(get, p[1:])) if p else b"") + end for first, p in zip(whole, split)]
 
+    def __init__(self, t, code: str) -> None:
+        self.t, self.code, self.width = t, code, array(code).itemsize
+        self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.starts = {" ": np.zeros(t.get_vocab_size(), bool), "\n": np.zeros(t.get_vocab_size(), bool)}
+        for token, i in t.get_vocab().items():
+            self.starts[" "][i] = token.startswith("\u0120")
+            self.starts["\n"][i] = token == "\u010a"
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add_words(self, words: list[str], before: str) -> None:
+        """Words that stand behind ``before``, a space or a line end, which is a part of their ids."""
+        for i in range(0, len(words), 2000):
+            some = words[i : i + 2000]
+            ids = np.array(self.t.encode_batch_fast([before + before.join(some)], add_special_tokens=False)[0].ids, np.int64)
+            at = np.append(np.flatnonzero(self.starts[before][ids]), len(ids)) * self.width
+            data, at = ids.astype(f"<u{self.width}").tobytes(), at.tolist()
+            self.known.update(zip(some if before == " " else [before + x for x in some], [data[a:b] for a, b in zip(at, at[1:])]))
+
+    def learn(self, pieces: set[str]) -> None:
+        """Make sure that all ``pieces``, each behind a space, are known."""
+        if len(self.known) > MAX_PIECES:
+            self.known.clear()
+            self.marks = {"": b""}
+        known, words, tails, marks, joined, odd = self.known, set(), set(), set(), [], []
+        for piece in pieces.difference(known):
+            if piece.isalpha():
+                words.add(piece)
+                continue
+            head, line, tail = piece.partition("\n")
+            word = head.rstrip(_MARKS)
+            if not word.isalpha() or line and not tail.isalpha():
+                odd.append(piece)
+                continue
+            joined.append((piece, word, head[len(word) :], line + tail))
+            words.add(word)
+            marks.add(head[len(word) :])
+            if line:
+                tails.add(tail)
+        self._add_words(list(words.difference(known)), " ")
+        self._add_words([x for x in tails if "\n" + x not in known], "\n")
+        new = list(marks.difference(self.marks))
+        self.marks.update(zip(new, self._ids(new)))
+        for piece, word, mark, tail in joined:
+            known[piece] = known[word] + self.marks[mark] + (known[tail] if tail else b"")
+        known.update(zip(odd, self._ids([" " + x for x in odd])))
+
+    def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
+        """Ids of each text with the end id; texts where white space or the end follows a space go whole."""
+        split = [x.split(" ") if x and x[-1] != " " and not _SPACE_RUN.search(x) else None for x in texts]
+        self.learn({x for p in split if p for x in p[1:]})
+        whole = self._ids([p[0] if p else (x or "") for p, x in zip(split, texts)])
+        get = self.known.__getitem__
+        return [first + (b"".join(map(get, p[1:])) if p else b"") + end for first, p in zip(whole, split)]
+
+
+_CACHES: dict = {}
+
+
+def _cache(path: str, code: str) -> PieceCache:
+    """The cache of this Python worker."""
+    if (path, code) not in _CACHES:
+        _CACHES[path, code] = PieceCache(_tokenizer(path), code)
+    return _CACHES[path, code]
 
 
 def _filesystem(uri: str):
@@ -178,7 +231,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
     width = "<u2" if max(_tokenizer(path).get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
-    end = np.array([end_id], "<u4").tobytes()
+    code = "H" if width == "<u2" else "I"
+    end = array(code, [end_id]).tobytes()
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     root = folder.rstrip("/")
 
@@ -186,16 +240,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        t, shard = _tokenizer(path), context.partitionId()
+        cache, shard = _cache(path, code), context.partitionId()
         attempt = str(context.taskAttemptId())
         ids, lengths, tokens = [], [], bytearray()
         for batch in batches:
             ids += batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
             for a, b in _batches([len(x or "") for x in texts], run_bytes):
-                for found in _encoded(texts[a:b], t, end, path):
-                    lengths.append(len(found) // 4)
-                    tokens += np.frombuffer(found, "<u4").astype(width).tobytes()
+                for found in cache.encode(texts[a:b], end):
+                    lengths.append(len(found) // len(end))
+                    tokens += found
         if not ids:
             return
         offsets = np.zeros(len(ids) + 1, "<i8")
