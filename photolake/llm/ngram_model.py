@@ -145,20 +145,23 @@ def _counted(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     """Documents with the corpus counts of each token and of its bigram."""
     kind = blocks.schema["ids"].dataType.elementType
 
-    def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = sorted((r["gram"], r["bucket"], r["found"]) for r in right.to_pylist())
-        by = {k: np.concatenate([_unplanes(x, "<u8") for g, _, x in found if g == k]) for k in (1, 2)}
-        row = left.drop_columns(["ids"]).to_pylist()[0]
-        tokens, places, _, first, n, _, held = _opened(row)
-        one = by[1][places]
-        _, at = np.unique(_bigrams(tokens, first), return_inverse=True)
-        two = by[2][at]
-        cuts = [(int(a), int(a + m)) for a, m in zip(first, n)]
-        return pa.Table.from_arrays([left.column("ids").combine_chunks().flatten(), pa.array(held), pa.array(n), pa.array([_planes(one[a:b]) for a, b in cuts], pa.binary()), pa.array([_planes(two[a:b]) for a, b in cuts], pa.binary())], ["doc_id", "held_out", "n_tokens", "one", "two"])
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                found = row.column("found").to_pylist()[0]
+                one, two = (np.concatenate([_unplanes(r["found"], "<u8") for r in found if r["gram"] == k]) for k in (1, 2))
+                tokens, places, _, first, n, _, held = _opened({c: row.column(c).to_pylist()[0] for c in ("held", "lengths", "tokens", "vocab")})
+                one = one[places]
+                _, at = np.unique(_bigrams(tokens, first), return_inverse=True)
+                two = two[at]
+                cuts = [(int(a), int(a + m)) for a, m in zip(first, n)]
+                yield pa.RecordBatch.from_arrays([row.column("ids").flatten(), pa.array(held), pa.array(n), pa.array([_planes(one[a:b]) for a, b in cuts], pa.binary()), pa.array([_planes(two[a:b]) for a, b in cuts], pa.binary())], ["doc_id", "held_out", "n_tokens", "one", "two"])
 
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("one", T.BinaryType()), T.StructField("two", T.BinaryType())])
-    left = blocks.select("block", "ids", "held", "lengths", "tokens", "vocab")
-    return left.groupBy("block").cogroup(answers.select("block", "gram", "bucket", "found").groupBy("block")).applyInArrow(join, schema)
+    # a block's answers are as many numbers as it has different n-grams, so the list is bounded
+    found = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("gram", "bucket", "found"))).alias("found"))
+    return blocks.select("block", "ids", "held", "lengths", "tokens", "vocab").join(found, "block").mapInArrow(look_up, schema)
 
 
 def _counts_of(row: dict, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photolake.llm.tables import LOWER, table
@@ -53,49 +53,53 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(scan, picked.select("doc_id", "text_hash").withColumn("fp", F.lit(0).cast("long")).schema)
 
 
-def fingerprint_links(fps: DataFrame, most: int = 3, segment: int = 2, blocks: int = 6) -> DataFrame:
+def segment_counts(fp: Column) -> Column:
+    """The bit counts of the 32 two-bit segments of a fingerprint, two bits each in one number.
+
+    The count of bits a and b is (a xor b) + 2 (a and b); both halves are taken for all segments at once.
+    """
+    low = F.lit(0x5555555555555555)
+    high = F.shiftrightunsigned(fp, 1)
+    return fp.bitwiseXOR(high).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(high).bitwiseAND(low), 1))
+
+
+def manhattan(a: Column, b: Column) -> Column:
+    """The Manhattan distance of two points made by :func:`segment_counts`."""
+    count = lambda x, i: F.shiftrightunsigned(x, 2 * i).bitwiseAND(F.lit(3))
+    return sum((F.abs(count(a, i) - count(b, i)) for i in range(32)), F.lit(0))
+
+
+def fingerprint_links(fps: DataFrame, most: int = 3, blocks: int = 6) -> DataFrame:
     """All pairs ``a < b`` of different fingerprints ``fp`` that differ in at most ``most`` bits.
 
-    A fingerprint is a point whose coordinates are the bit counts of its ``segment``-bit segments;
-    the Manhattan distance of two points never exceeds the number of differing bits. The coordinates
-    fall into ``blocks`` groups. Points within ``most`` of each other agree in all but ``most`` groups
-    at least, so the grid is cut once for each choice of ``blocks - most`` groups, and a cell of such
-    a cut is the chosen coordinates' values: partners share a cell of some cut, for any input. The
-    pair is taken in its first common cut only; the join then holds the Manhattan bound and the exact
-    count of differing bits against it, so nothing but links leaves the join. Nothing is capped.
+    A fingerprint is a point whose coordinates are the bit counts of its two-bit segments; the
+    Manhattan distance of two points never exceeds the number of differing bits. The coordinates fall
+    into ``blocks`` groups. Points within ``most`` of each other agree in all but ``most`` groups at
+    least, so the grid is cut once for each choice of ``blocks - most`` groups, and a cell of such a
+    cut is the chosen coordinates' values: partners share a cell of some cut, for any input. A pair is
+    taken in its first common cut only; the join then holds the Manhattan bound and the exact count of
+    differing bits against it, so nothing but links leaves the join. Nothing is capped.
     """
     if not 0 <= most < blocks:
         raise ValueError("there must be more blocks than differing bits")
-    n = 64 // segment
-    ends = [round(i * n / blocks) for i in range(blocks + 1)]
-    fp = F.col("fp")
-    mask = (1 << segment) - 1
-    counts = [F.bit_count(F.shiftrightunsigned(fp, i * segment).bitwiseAND(F.lit(mask))) for i in range(n)]
-    base = segment + 1
-    packed = [sum((c.cast("long") * base**i for i, c in enumerate(counts[a:b])), F.lit(0).cast("long")) for a, b in zip(ends, ends[1:])]
-    points = fps.select("fp").distinct().select("fp", *(p.alias(f"g{i}") for i, p in enumerate(packed)))
-    points = materialize(points, "points")
-    cuts = list(combinations(range(blocks), blocks - most))
-    cells = F.array(*(F.struct(F.lit(k).alias("cut"), F.xxhash64(*(F.col(f"g{i}") for i in cut)).alias("cell")) for k, cut in enumerate(cuts)))
-    cut_up = points.select("fp", *(f"g{i}" for i in range(blocks)), F.inline(cells))
+    ends = [round(i * 32 / blocks) for i in range(blocks + 1)]
+    masks = [_signed(sum(3 << 2 * i for i in range(x, y))) for x, y in zip(ends, ends[1:])]
+    cuts = [_signed(sum(m % (1 << 64) for m in cut)) for cut in combinations(masks, blocks - most)]
+    points = materialize(fps.select("fp").distinct(), "points").withColumn("counts", segment_counts(F.col("fp")))
+    cells = F.array(*(F.struct(F.lit(k).alias("cut"), F.col("counts").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(cuts)))
+    cut_up = points.select("fp", F.inline(cells))
     a, b = cut_up.alias("a"), cut_up.alias("b")
-    same = [F.col(f"a.g{i}") == F.col(f"b.g{i}") for i in range(blocks)]
-    in_cut = lambda cut: _all([same[i] for i in cut])
+    at, to = segment_counts(F.col("a.fp")), segment_counts(F.col("b.fp"))
     first = F.lit(None)
-    for k, cut in reversed(list(enumerate(cuts))):
-        first = F.when(in_cut(cut), F.lit(k)).otherwise(first)
-    digit = lambda side, i: F.bit_count(F.shiftrightunsigned(F.col(f"{side}.fp"), i * segment).bitwiseAND(F.lit(mask)))
-    apart = sum((F.abs(digit("a", i) - digit("b", i)) for i in range(n)), F.lit(0))
-    bits = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
+    for k, m in reversed(list(enumerate(cuts))):
+        first = F.when(at.bitwiseXOR(to).bitwiseAND(F.lit(m)) == 0, F.lit(k)).otherwise(first)
     near = (F.col("a.cut") == F.col("b.cut")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))
-    return a.join(b, near & (first == F.col("a.cut")) & (apart <= most) & (bits <= most)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    bits = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
+    return a.join(b, near & (manhattan(at, to) <= most) & (bits <= most) & (first == F.col("a.cut"))).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def _all(conditions: list):
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
 
 
 def near_duplicates(docs: DataFrame, most: int = 3, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3) -> DataFrame:
