@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from photolake.functions.geometry import anchor, box_of, clip, iou, sigmoid, unletterbox
+from photolake.functions.geometry import anchor, box_of, clip, iou, sigmoid, similarity, unletterbox
 
 
 def decoded(raw: DataFrame, side: int, logits: bool = True) -> DataFrame:
@@ -62,6 +62,24 @@ def landmarks_inside(faces: DataFrame, points: str = "keypoints", first: int = 3
     return faces.where(F.forall(F.slice(points, 1, first), inside))
 
 
+def aligned(faces: DataFrame, pairs: str) -> DataFrame:
+    """``a, b, tx, ty`` of the least-squares transform of each row's points onto their targets.
+
+    ``pairs`` is an array of structs ``x, y, u, v``. All four are null where the points fall together,
+    and such faces are dropped by the caller.
+    """
+    terms = {"sx": "x", "sy": "y", "su": "u", "sv": "v"}
+    total = lambda f: F.aggregate(F.transform(pairs, f), F.lit(0.0), lambda s, v: s + v)
+    one = lambda c: lambda p: p[c]
+    product = lambda i, j: lambda p: p[i] * p[j]
+    sums = {n: total(one(c)) for n, c in terms.items()}
+    sums |= {n: total(product(i, j)) for n, i, j in (("sxu", "x", "u"), ("syv", "y", "v"), ("sxv", "x", "v"), ("syu", "y", "u"))}
+    sums["sq"] = total(lambda p: p["x"] * p["x"] + p["y"] * p["y"])
+    summed = faces.withColumns({f"_{n}": c for n, c in sums.items()}).withColumn("_n", F.size(pairs).cast("double"))
+    found = similarity(*(F.col(f"_{n}") for n in ("n", "sx", "sy", "su", "sv", "sxu", "syv", "sxv", "syu", "sq")))
+    return summed.withColumns(found).drop("_n", *(f"_{n}" for n in sums))
+
+
 def overlaps(faces: DataFrame, photo: str, threshold: float) -> DataFrame:
     """Pairs of boxes of one photo that overlap by more than ``threshold``."""
     box = F.struct("x1", "y1", "x2", "y2")

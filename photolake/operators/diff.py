@@ -63,6 +63,12 @@ def merged(photos: DataFrame, files: DataFrame) -> DataFrame:
     return reset_changed(photos, changed(photos, files)).unionByName(as_new_photos(new_files(files, photos)), allowMissingColumns=True)
 
 
+def updated(before: DataFrame, now: DataFrame, *compared: str) -> DataFrame:
+    """Rows of ``now`` that are new or differ from ``before`` in a compared column."""
+    held = before.select("path", F.struct(*compared).alias("_held"))
+    return now.join(held, "path", "left").where(~F.col("_held").eqNullSafe(F.struct(*compared))).drop("_held")
+
+
 def in_order(photos: DataFrame, *by: str) -> DataFrame:
     """``photo_ord``: places by file name, from 0, within ``by`` (a project, say) if given.
 

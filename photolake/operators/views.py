@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,6 +22,23 @@ def of_person(photos: DataFrame, faces: DataFrame, cluster_id: int | None) -> Da
     return photos.join(faces.where(F.col("cluster_id") == cluster_id).select("path"), "path", "left_semi")
 
 
+def by_path(photos: DataFrame, path: str) -> DataFrame:
+    """The photo with exactly this path, or no row; the filter reaches the scan."""
+    return photos.where(F.col("path") == path).limit(1)
+
+
+def at_place(photos: DataFrame, place: int, *by: str) -> DataFrame:
+    """The photo at ``place``, counted from 0 in the order of file names."""
+    first = photos.orderBy("filename", "path").limit(place + 1) if not by else photos
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("filename", "path"))
+    return first.withColumn("_rank", rank).where(F.col("_rank") == place + 1).drop("_rank")
+
+
+def moved(place: Column, step: int, count: Column) -> Column:
+    """A place moved by ``step``, kept within the list."""
+    return F.greatest(F.lit(0), F.least(place + step, count - 1))
+
+
 def grade_counts(photos: DataFrame) -> DataFrame:
     """One row with the number of photos of each grade; unknown grades count as ungraded."""
     known = {"bad": S.BAD, "ok": S.OK, "good": S.GOOD}
