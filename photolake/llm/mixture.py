@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from photolake.llm.tables import table
+from photolake.llm.tables import table, unused
 from photolake.storage import materialize
 
 #: The fractional part of the golden ratio: n times it, modulo 1, fills [0, 1) evenly.
@@ -114,14 +114,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Rows of which nothing is taken go; rows without a word go too.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    plan = mix(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    plan = plan.where("_taken > 0").withColumnRenamed("doc_id", "_id")
-    rows = docs.join(plan, docs[id_col].eqNullSafe(F.col("_id")))
-    times = F.floor(F.col("_taken") / F.col("_size"))
-    part = F.col("_taken") - times * F.col("_size")
-    copies = rows.withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_taken") / F.col("_size")) - 1)))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), 1, F.when(F.col("_size") == part, 0).otherwise(part).cast("int")), " ")
-    copies = copies.withColumn(text_col, F.when(F.col("_turn") < times, F.col(text_col)).otherwise(first))
+    i, taken, size, turn = unused(docs, "id", "taken", "size", "turn")
+    plan = mix(docs, **options).groupBy(F.col("doc_id").alias(i)).agg(F.sum("taken").alias(taken), F.sum("size").alias(size)).where(F.col(taken) > 0)
+    rows = docs.join(plan, F.col(id_col).eqNullSafe(F.col(i)))
+    times = F.floor(F.col(taken) / F.col(size))
+    part = F.col(taken) - times * F.col(size)
+    copies = rows.withColumn(turn, F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(taken) / F.col(size)) - 1)))
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), 1, F.when(F.col(size) == part, 0).otherwise(part).cast("int")), " ")
+    copies = copies.withColumn(text_col, F.when(F.col(turn) < times, F.col(text_col)).otherwise(first))
     return copies.select(*docs.columns)
 
 

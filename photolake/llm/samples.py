@@ -12,12 +12,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: C
 
     Only rows that meet ``learn``, a condition on ``doc_id``, are taken, in the order of a hash of
     their id, so the sample is the same on every run. Documents that carry several labels count as 1
-    if any label is; rows without an id, text or label are left out.
+    if any label is, and of texts that share an id the smallest is taken; rows without an id, text or
+    label are left out.
     """
     marked = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = marked.where(learn).withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    found = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "place").agg(F.min("text").alias("text"))
     if max_bytes is None:
         return found.select("doc_id", "text", "label", "place")
     size = F.sum(F.octet_length("text")).over(Window.partitionBy(F.lit(0)).orderBy("place", "doc_id"))

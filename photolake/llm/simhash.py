@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photolake.llm.tables import LOWER, table
+from photolake.llm.tables import LOWER, table, unused
 from photolake.operators.components import connected_components
 from photolake.storage import materialize
 
@@ -128,8 +128,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row has an id keep all their different texts.
     """
     groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash")), "left_semi")
+    i, h = unused(docs, "id", "hash")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct()
+    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(h)), "left_semi")
     return rows.dropDuplicates([id_col, text_col])
 
 

@@ -14,5 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fold(column: str | Column) -> Column:
-    """``crc32`` of an id written as text, by which the learning operators set rows aside."""
-    return F.crc32((F.col(column) if isinstance(column, str) else column).cast("string"))
+    """``crc32`` of an id written as text, by which the learning operators set rows aside; -1 for null."""
+    return F.coalesce(F.crc32((F.col(column) if isinstance(column, str) else column).cast("string")), F.lit(-1).cast("long"))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
