@@ -101,7 +101,7 @@ def test_rules_in_columns_equal_rules_in_numpy(spark):
     stats = quality_rules.statistics(docs).orderBy("doc_id").toPandas()
     rng = np.random.default_rng(1)
     x = stats[quality_rules._names()].to_numpy(np.float64)
-    y = ((x[:, 1] > np.median(x[:, 1])) ^ (rng.random(len(x)) < 0.05)).astype(np.float64)
+    y = ((np.arange(len(x)) % 3 == 0) ^ (rng.random(len(x)) < 0.05)).astype(np.float64)
     model = quality_rules.train(x, y)
     z = np.full(len(x), model.start)
     at = {n: i for i, n in enumerate(quality_rules._names())}
@@ -109,8 +109,10 @@ def test_rules_in_columns_equal_rules_in_numpy(spark):
         z += weight * np.all([(x[:, at[c.name]] > c.cut) == c.above for c in conditions], axis=0)
     found = [r.score for r in quality_rules.score(docs, model).orderBy("doc_id").collect()]
     assert np.allclose(found, 1 / (1 + np.exp(-z)))
-    weights = [abs(w) for _, w in model.rules]
-    assert 0 < len(weights) < len(quality_rules.tree_rules(x, y))
+    assert model.rules
+    holds = np.stack([quality_rules._holds(x, p) for p in quality_rules.tree_rules(x, y)], 1)
+    used = [int((abs(quality_rules.lasso_logistic(holds, y, penalty)[1]) > 1e-6).sum()) for penalty in (0.0001, 0.05, 10.0)]
+    assert used[0] >= used[1] >= used[2] == 0 < used[1]
 
 
 def test_samples_are_bounded_and_the_same_each_time(spark):
