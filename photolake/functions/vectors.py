@@ -5,19 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Dimensions up to which sums are written out term by term, which is compiled; longer ones are folded.
-UNROLLED = 128
-
 
 def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
 
-def squared_distance(a: Column, b: Column, dim: int | None = None) -> Column:
+def squared_distance(a: Column, b: Column) -> Column:
     """Squared Euclidean distance in double precision, terms in order."""
-    if dim and dim <= UNROLLED:
-        terms = [F.get(a, F.lit(i)).cast("double") - F.get(b, F.lit(i)).cast("double") for i in range(dim)]
-        return sum((t * t for t in terms[1:]), terms[0] * terms[0])
     return _sum(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,40 +15,76 @@ from photolake.operators.components import connected_components
 from photolake.storage import materialize
 
 
-def neighbours(vectors: DataFrame, eps: float, dim: int | None = None, pivots: int = 4) -> DataFrame:
+#: Vectors that are compared as one block, on average.
+BLOCK = 256
+
+
+def neighbours(vectors: DataFrame, eps: float) -> DataFrame:
     """Pairs ``a < b`` (``ord``) of vectors (``ord, embedding``) at most ``eps`` apart, with ``d2``.
 
-    The distances of two vectors to any pivot differ by no more than their own distance. Each vector
-    goes to the bucket of its distance to the first pivot, buckets as wide as ``eps``, so partners
-    meet in one bucket or the next: an equi-join. The distances to the other pivots are compared
-    before the vectors are. The pivots are ``pivots`` vectors by a hash of their place; which they
-    are changes the cost only.
+    The distances of two vectors to a pivot differ by no more than their own distance. Each vector
+    goes to the bucket of its distance to the pivot, buckets as wide as ``eps``, so partners meet in
+    one bucket or the next. A bucket is dealt to blocks of about :data:`BLOCK` vectors, and each pair
+    of blocks that may hold partners is compared by one task in double precision; only pairs that are
+    near leave it. The pivot is the vector whose place has the smallest hash; it changes the cost only.
+    Null and empty vectors are near nothing.
     """
-    chosen = [list(r.embedding) for r in vectors.orderBy(F.xxhash64("ord")).limit(pivots).collect()]
-    if not chosen:
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = vectors.select("ord", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).where(F.size("embedding") > 0)
+    pivot = whole.orderBy(F.xxhash64("ord")).limit(1).collect()
+    if not pivot:
         return vectors.select(F.col("ord").alias("a"), F.col("ord").alias("b"), F.lit(0.0).alias("d2"))
-    to = [F.sqrt(squared_distance(F.col("embedding"), F.array(*(F.lit(float(x)) for x in p)))) for p in chosen]
-    known = materialize(vectors.select("ord", "embedding", *(d.alias(f"p{i}") for i, d in enumerate(to))), "pivots")
     # a little wider than eps, against rounding at the edges
-    wide = eps * (1 + 1e-9) + 1e-9
-    bucket = F.floor(F.col("p0") / wide)
-    a = known.select(F.col("ord").alias("a"), F.col("embedding").alias("va"), *(F.col(f"p{i}").alias(f"a{i}") for i in range(len(chosen))), bucket.alias("bucket"))
-    b = known.select(F.col("ord").alias("b"), F.col("embedding").alias("vb"), *(F.col(f"p{i}").alias(f"b{i}") for i in range(len(chosen))), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    near = F.col("a") < F.col("b")
-    for i in range(len(chosen)):
-        near = near & (F.abs(F.col(f"a{i}") - F.col(f"b{i}")) <= wide)
-    pairs = a.join(b, "bucket").where(near)
-    return pairs.withColumn("d2", squared_distance(F.col("va"), F.col("vb"), dim)).where(F.col("d2") <= eps * eps).select("a", "b", "d2")
-
-
-def dbscan(vectors: DataFrame, eps: float, min_samples: int, dim: int | None = None, edges: DataFrame | None = None) -> DataFrame:
+    away = F.sqrt(squared_distance(F.col("embedding"), F.array(*(F.lit(x) for x in pivot[0].embedding)))) / (eps * (1 + 1e-9) + 1e-9)
+    known = materialize(whole.withColumn("bucket", F.floor(F.coalesce(away, F.lit(0.0)))), "buckets")
+    sizes = known.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sides = sizes.select("bucket", "blocks").join(sizes.select((F.col("bucket") - 1).alias("bucket"), F.col("blocks").alias("after")), "bucket", "left").join(sizes.select((F.col("bucket") + 1).alias("bucket"), F.col("blocks").alias("before")), "bucket", "left")
+    own = F.struct(F.col("bucket"), F.col("block"))
+    every = lambda n, k: F.transform(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>")), lambda j: F.struct((F.col("bucket") + k).alias("bucket"), j.alias("block")))
+    spread = known.join(sides, "bucket").withColumn("block", F.pmod(F.xxhash64("ord"), F.col("blocks")).cast("int"))
+    spread = spread.select("ord", "embedding", own.alias("own"), F.explode(F.concat(every("blocks", 0), every("after", 1), every("before", -1))).alias("other"))
+    met = spread.select(F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).alias("second"), "ord", "embedding")
+    met = met.repartition(parts, "one", "two").sortWithinPartitions("one", "two", "second")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list = []
+
+        def near(rows: list) -> Iterator[pa.RecordBatch]:
+            alone = rows[0][0] == rows[0][1]
+            for size in {len(r[4]) for r in rows}:
+                first = [r for r in rows if not r[2] and len(r[4]) == size]
+                second = first if alone else [r for r in rows if r[2] and len(r[4]) == size]
+                if not first or not second:
+                    continue
+                x, y = np.array([r[4] for r in first]), np.array([r[4] for r in second])
+                rough = (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T
+                i, j = np.nonzero(rough <= eps * eps + 1e-6 * (1 + rough.max(initial=0)))
+                ids, others = np.array([r[3] for r in first])[i], np.array([r[3] for r in second])[j]
+                d2 = ((x[i] - y[j]) ** 2).sum(1)
+                keep = (d2 <= eps * eps) & ((ids < others) if alone else (ids != others))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, others)[keep]), pa.array(np.maximum(ids, others)[keep]), pa.array(d2[keep])], ["a", "b", "d2"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if left and left[0][:2] != row[:2]:
+                    yield from near(left)
+                    left = []
+                left.append(row)
+        if left:
+            yield from near(left)
+
+    kind = vectors.schema["ord"].dataType.simpleString()
+    return met.mapInArrow(compare, f"a {kind}, b {kind}, d2 double")
+
+
+def dbscan(vectors: DataFrame, eps: float, min_samples: int, edges: DataFrame | None = None) -> DataFrame:
     """``ord, degree, cluster_id``: labels of the sequential algorithm, whatever the partitioning.
 
     ``degree`` counts the vector itself. Core vectors have ``min_samples`` or more; their components
     are numbered by their smallest core; a border vector goes to the smallest number next to it, and
     the rest, noise, has null.
     """
-    pairs = materialize((edges if edges is not None else neighbours(vectors, eps, dim)).select("a", "b"), "pairs")
+    pairs = materialize((edges if edges is not None else neighbours(vectors, eps)).select("a", "b"), "pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = vectors.select("ord").join(both.groupBy(F.col("a").alias("ord")).agg(F.count("*").alias("n")), "ord", "left").select("ord", (F.coalesce("n", F.lit(0)) + 1).alias("degree"))
     degree = materialize(degree, "degrees")

@@ -13,8 +13,6 @@ from photolake import schema as S
 from photolake.functions.text import basename, content_hash
 from photolake.operators.detection import capped, confident, large_enough, suppressed
 
-DIM = 64
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

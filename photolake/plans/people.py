@@ -18,7 +18,7 @@ EPS, LEAST = 1.14, 3
 def _clustered(spark, sf_dir: str) -> DataFrame:
     """All faces with the clusters of their vectors, numbered in the order of photos and faces."""
     faces = X.faces(spark, sf_dir).withColumn("ord", F.col("photo_ord") * 1_000_000 + F.col("face_ord"))
-    labels = clustering.dbscan(faces.select("ord", "embedding"), EPS, LEAST, X.DIM)
+    labels = clustering.dbscan(faces.select("ord", "embedding"), EPS, LEAST)
     return faces.join(labels, "ord")
 
 
@@ -33,12 +33,12 @@ def pair_distance(spark, sf_dir: str) -> DataFrame:
     """Squared distance of each vector to the next."""
     e = X.table(spark, sf_dir, "embeddings")
     a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
-    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(V.squared_distance(F.col("va"), F.col("vb"), X.DIM), 6).alias("d2"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(V.squared_distance(F.col("va"), F.col("vb")), 6).alias("d2"))
 
 
 @query(f"select a.vec_id as a, b.vec_id as b, round({D2}, 6) as d2 from embeddings a join embeddings b on a.vec_id < b.vec_id where {D2} <= 1.14 * 1.14")
 def eps_neighbors(spark, sf_dir: str) -> DataFrame:
-    found = clustering.neighbours(X.vectors(spark, sf_dir), EPS, X.DIM)
+    found = clustering.neighbours(X.vectors(spark, sf_dir), EPS)
     return found.select("a", "b", F.round("d2", 6).alias("d2"))
 
 
@@ -56,7 +56,7 @@ def dbscan_labels(spark, sf_dir: str) -> DataFrame:
 @query(f"select a.vec_id as ord, null::bigint as cluster_id from embeddings a")
 def dbscan_default(spark, sf_dir: str) -> DataFrame:
     """The default radius, at which no two of the supplied vectors are near."""
-    return clustering.dbscan(X.vectors(spark, sf_dir), 0.75, 2, X.DIM).select("ord", "cluster_id")
+    return clustering.dbscan(X.vectors(spark, sf_dir), 0.75, 2).select("ord", "cluster_id")
 
 
 PEOPLE_SQL = """best as (select cluster_id, path, x1, y1, x2, y2 from (select *, row_number() over (partition by cluster_id order by confidence desc, photo_ord, face_ord) as r from clustered where cluster_id is not null and confidence > 0) where r = 1),
