@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from photolake.storage import materialize
@@ -36,11 +36,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     links = materialize(nodes.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
     while True:
-        links = materialize(_small_star(_large_star(links)), "stars")
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen:
+        # what tells whether the round changed anything is summed up while its links are written
+        told = Observation()
+        summed = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        links = materialize(_small_star(_large_star(links)).observe(told, F.count("*").alias("n"), summed.alias("sum")), "stars")
+        if told.get == seen:
             break
-        seen = now
+        seen = told.get
     stars = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = stars.select(F.col("component").alias("node"), "component")
     return stars.unionAll(roots).unionAll(alone).groupBy("node").agg(F.min("component").alias("component"))

@@ -4,7 +4,7 @@ import math
 
 
 def _plain(v):
-    if v is None or isinstance(v, float) and math.isnan(v):
+    if v is None or type(v).__name__ in ("NAType", "NaTType") or isinstance(v, float) and math.isnan(v):
         return "-"
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return f"b{bool(v)}"
