@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from photolake.functions.vectors import cosine, squared_distance
 from photolake.operators.components import connected_components
+from photolake.operators.order import ranked
 from photolake.storage import materialize
 
 
@@ -93,19 +93,18 @@ def dbscan(vectors: DataFrame, eps: float, min_samples: int, edges: DataFrame |
     joined = connected_components(inner)
     rooted = core.join(joined, F.col("ord") == F.col("node"), "left").select("ord", F.coalesce("component", "ord").alias("root"))
     roots = rooted.select("root").distinct()
-    # one row for each cluster is ranked
-    numbers = roots.withColumn("cluster_id", (F.row_number().over(Window.orderBy("root")) - 1).cast("long"))
+    numbers = ranked(roots, "root", name="cluster_id")
     labels = materialize(rooted.join(numbers, "root").select("ord", "cluster_id"), "cores")
     reached = both.join(labels.withColumnRenamed("ord", "b"), "b").groupBy(F.col("a").alias("ord")).agg(F.min("cluster_id").alias("near"))
     return degree.join(labels, "ord", "left").join(reached, "ord", "left").select("ord", "degree", F.coalesce("cluster_id", "near").alias("cluster_id"))
 
 
-def consecutive_duplicates(vectors: DataFrame, least: float, by: str | None = None) -> DataFrame:
+def consecutive_duplicates(vectors: DataFrame, least: float) -> DataFrame:
     """Vectors (``ord, embedding, score``) whose cosine with the one before is over ``least``.
 
     ``loser`` is the one of the pair with the lower score, the later one of equals.
     """
-    window = Window.partitionBy(*([by] if by else [])).orderBy("ord")
-    before = vectors.select(*([by] if by else []), "ord", "embedding", "score", F.lag("ord").over(window).alias("previous"), F.lag("embedding").over(window).alias("v"), F.lag("score").over(window).alias("s"))
-    found = before.where("v is not null").withColumn("cosine", cosine(F.col("v"), F.col("embedding"))).where(F.col("cosine") > least)
+    placed = materialize(ranked(vectors.select("ord", "embedding", "score"), "ord"), "places")
+    before = placed.select((F.col("place") + 1).alias("place"), F.col("ord").alias("previous"), F.col("embedding").alias("v"), F.col("score").alias("s"))
+    found = placed.join(before, "place").withColumn("cosine", cosine(F.col("v"), F.col("embedding"))).where(F.col("cosine") > least)
     return found.select("previous", "ord", "cosine", F.when(F.col("score") > F.col("s"), F.col("previous")).otherwise(F.col("ord")).alias("loser"))

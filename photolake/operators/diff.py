@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from photolake import schema as S
 from photolake.functions.text import basename
+from photolake.operators.order import ranked
 
 
 def new_files(files: DataFrame, photos: DataFrame) -> DataFrame:
@@ -70,9 +71,8 @@ def updated(before: DataFrame, now: DataFrame, *compared: str) -> DataFrame:
 
 
 def in_order(photos: DataFrame, *by: str) -> DataFrame:
-    """``photo_ord``: places by file name, from 0, within ``by`` (a project, say) if given.
-
-    Ranks of one whole table are counted in one task; with many photos give the column that parts them.
-    """
+    """``photo_ord``: places by file name, from 0, within ``by`` (a project, say) if given."""
+    if not by:
+        return ranked(photos, "filename", "path", name="photo_ord")
     window = Window.partitionBy(*by).orderBy("filename", "path")
     return photos.withColumn("photo_ord", (F.row_number().over(window) - 1).cast("long"))

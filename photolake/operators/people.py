@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from photolake import schema as S
+from photolake.operators.order import ranked
 
 
 def people(faces: DataFrame) -> DataFrame:
@@ -19,9 +19,8 @@ def people(faces: DataFrame) -> DataFrame:
     place = F.struct(F.col("confidence"), -F.col("photo_ord"), -F.col("face_ord"))
     shown = F.struct("path", "x1", "y1", "x2", "y2")
     grouped = faces.where("cluster_id is not null").groupBy("cluster_id").agg(F.countDistinct("path").alias("photo_count"), F.max_by(F.when(sure, shown), F.when(sure, place)).alias("best"))
-    number = F.row_number().over(Window.orderBy("cluster_id"))
     zero = lambda c: F.coalesce(F.col(f"best.{c}"), F.lit(0.0)).alias(c)
-    return grouped.select("cluster_id", F.concat(F.lit("Person "), number.cast("string")).alias("label"), F.coalesce("best.path", F.lit("")).alias("representative"), zero("x1"), zero("y1"), zero("x2"), zero("y2"), "photo_count")
+    return ranked(grouped, "cluster_id").select("cluster_id", F.concat(F.lit("Person "), (F.col("place") + 1).cast("string")).alias("label"), F.coalesce("best.path", F.lit("")).alias("representative"), zero("x1"), zero("y1"), zero("x2"), zero("y2"), "photo_count")
 
 
 def group_photos(faces: DataFrame) -> DataFrame:

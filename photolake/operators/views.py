@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from photolake import schema as S
 from photolake.functions.grading import needs_detection, needs_grading
+from photolake.operators.order import ranked
 from photolake.operators.people import group_photos, landscape_photos
+from photolake.storage import materialize
 
 
 def of_person(photos: DataFrame, faces: DataFrame, cluster_id: int | None) -> DataFrame:
@@ -52,11 +54,19 @@ def progress(photos: DataFrame) -> DataFrame:
 
 
 def navigation(photos: DataFrame, *by: str) -> DataFrame:
-    """Each photo's place, the number of photos, and its neighbours, without a wrap at the ends."""
-    order = Window.partitionBy(*by).orderBy("filename", "path")
-    every = Window.partitionBy(*by)
-    place = F.row_number().over(order)
-    return photos.select(*by, "path", place.cast("long").alias("place"), F.count("*").over(every).alias("of"), F.coalesce(F.lag("path").over(order), F.col("path")).alias("previous"), F.coalesce(F.lead("path").over(order), F.col("path")).alias("next"))
+    """Each photo's place from 1, the number of photos, and its neighbours, without a wrap at the ends.
+
+    Within ``by`` (a project, say) these are windows; over a whole table, joins of places with the next.
+    """
+    if by:
+        order, every = Window.partitionBy(*by).orderBy("filename", "path"), Window.partitionBy(*by)
+        place = F.row_number().over(order)
+        return photos.select(*by, "path", place.cast("long").alias("place"), F.count("*").over(every).alias("of"), F.coalesce(F.lag("path").over(order), F.col("path")).alias("previous"), F.coalesce(F.lead("path").over(order), F.col("path")).alias("next"))
+    placed = materialize(ranked(photos.select("path", "filename"), "filename", "path").select("path", F.col("place") + 1), "places").toDF("path", "place")
+    before = placed.select((F.col("place") + 1).alias("place"), F.col("path").alias("before"))
+    after = placed.select((F.col("place") - 1).alias("place"), F.col("path").alias("after"))
+    both = placed.join(before, "place", "left").join(after, "place", "left")
+    return both.select("path", "place", F.lit(placed.count()).cast("long").alias("of"), F.coalesce("before", "path").alias("previous"), F.coalesce("after", "path").alias("next"))
 
 
 def changed_values(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
