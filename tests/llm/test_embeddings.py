@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from photolake.llm import nn_descent
 from tests.llm import brute
@@ -65,7 +64,6 @@ def test_repeated_rows_null_ids_and_nothing(spark):
     assert nn_descent.near_duplicates(df.limit(0), orders=2, rounds=1).count() == 0
 
 
-@pytest.mark.slow
 def test_recall_over_the_supplied_vectors(spark, sf_dir):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.op1_nn_descent(spark, sf_dir).collect()}
