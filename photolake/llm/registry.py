@@ -17,4 +17,4 @@ QUERIES = {
     "op10_mixture": mixture.op10_mixture,
 }
 
-ORACLES = {"op10_mixture": mixture.ORACLE_SQL}
+ORACLES = {"op3_decontamination": suffix_match.ORACLE_SQL, "op10_mixture": mixture.ORACLE_SQL}

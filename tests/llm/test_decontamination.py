@@ -3,6 +3,7 @@ import random
 import pytest
 
 from photolake.llm import suffix_match
+from tests.compare import same
 from tests.llm import brute
 
 
@@ -35,6 +36,10 @@ def test_all_documents_against_brute_force(spark, sf_dir):
     assert any(v[4] for v in found.values())
 
 
+def test_the_query_against_its_sql(spark, sf_dir, duck):
+    same(suffix_match.op3_decontamination(spark, sf_dir).toPandas(), duck.execute(suffix_match.ORACLE_SQL).df())
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 @pytest.mark.parametrize("test_bytes", [1 << 20, 60])
 def test_windows_against_brute_force(spark, seed, test_bytes):
