@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from photolake.storage import materialize
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, max_rows: int, max_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, label`` of at most ``max_rows`` labelled rows, and ``max_bytes`` of text if given.
@@ -21,5 +23,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: C
     found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "place").agg(F.min("text").alias("text"))
     if max_bytes is None:
         return found.select("doc_id", "text", "label", "place")
-    size = F.sum(F.octet_length("text")).over(Window.partitionBy(F.lit(0)).orderBy("place", "doc_id"))
-    return found.withColumn("upto", size).where(F.col("upto") <= max_bytes).select("doc_id", "text", "label", "place")
+    # ids and sizes alone, at most max_rows of them, are put in one line
+    found = materialize(found, "labelled")
+    size = F.sum("bytes").over(Window.partitionBy(F.lit(0)).orderBy("place", "doc_id"))
+    sizes = found.select("doc_id", "place", F.octet_length("text").alias("bytes")).withColumn("upto", size)
+    return found.join(sizes.where(F.col("upto") <= max_bytes).select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", "label", "place")
