@@ -15,6 +15,7 @@ from photolake.functions import grading, images
 from photolake.operators import clustering, diff, enrichment, export, manual, models, people, views
 from photolake.sources import photos as sources
 from photolake.sources import projects, sinks
+from photolake.storage import materialize
 
 
 class NotFound(LookupError):
@@ -119,7 +120,8 @@ class Library:
         if waiting.isEmpty():
             return
         pixels = sources.decoded(self.spark, folder).join(waiting, "path", "left_semi")
-        found = models.found_faces(models.raw_detections(pixels, self.models[0], self.config), self.config)
+        # the detector runs once; the embedder and the table both read what it found
+        found = materialize(models.found_faces(models.raw_detections(pixels, self.models[0], self.config), self.config), "found")
         vectors = models.embedded(pixels, found, self.models[1]).where("error is null")
         box = F.struct(*(F.col(c).cast("float").alias(c) for c in ("x1", "y1", "x2", "y2")))
         rows = found.join(vectors, ["path", "face_ord"]).join(waiting, "path")
@@ -139,15 +141,14 @@ class Library:
     def generate_thumbnails(self, project: str) -> int:
         """Make the copies that are missing; for how many photos there are copies now."""
         folder = self.get_project(project).first()["source_dir"]
-        stored, copies = self._stored(project), self.store.read("copies", project, sinks.COPIES)
-        missing = sinks.without_copies(stored, copies).select("path", "content_hash")
-        made = sinks.small_copies(sources.decoded(self.spark, folder).join(missing, "path"), self.config)
-        copies = self.store.write(copies.unionByName(made), "copies", project)
-        return copies.where("error is null and kind = 'thumbnail'").join(stored, ["path", "content_hash"], "left_semi").count()
+        stored = self._stored(project)
+        missing = sinks.without_copies(stored, self.store.read_all("copies", sinks.COPIES, project)).select("path", "content_hash")
+        self.store.append(sinks.small_copies(sources.decoded(self.spark, folder).join(missing, "path"), self.config), "copies", project)
+        return self.store.read_all("copies", sinks.COPIES, project).where("error is null and kind = 'thumbnail'").join(stored, ["path", "content_hash"], "left_semi").select("path").distinct().count()
 
     def get_thumbnail(self, project: str, filename: str, kind: str = "thumbnail") -> bytes:
         of = self._stored(project).where(F.col("filename") == filename).select("path", "content_hash")
-        row = self.store.read("copies", project, sinks.COPIES).where((F.col("kind") == kind) & F.col("error").isNull()).join(of, ["path", "content_hash"], "left_semi").first()
+        row = self.store.read_all("copies", sinks.COPIES, project).where((F.col("kind") == kind) & F.col("error").isNull()).join(of, ["path", "content_hash"], "left_semi").first()
         if row is None:
             raise NotFound(filename)
         return bytes(row["png"])

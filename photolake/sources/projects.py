@@ -51,17 +51,18 @@ class Store:
             self._fs.delete(self._path(f"{self.root}/{table}/{project}/v{v}"), True)
         return self.spark.read.schema(df.schema).parquet(new)
 
-    def append(self, df: DataFrame, table: str) -> None:
-        """Add rows to a table of all projects."""
-        df.write.mode("append").option("compression", "zstd").parquet(f"{self.root}/{table}/all")
+    def append(self, df: DataFrame, table: str, project: str = "all") -> None:
+        """Add rows to a table that is never rewritten, of one project or of all."""
+        df.write.mode("append").option("compression", "zstd").parquet(f"{self.root}/{table}/{project}")
 
     def read(self, table: str, project: str, schema: T.StructType | str) -> DataFrame:
         """The newest complete version; no rows where there is none."""
         path = self._complete(table, project)
         return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
 
-    def read_all(self, table: str, schema: T.StructType | str) -> DataFrame:
-        path = f"{self.root}/{table}/all"
+    def read_all(self, table: str, schema: T.StructType | str, project: str = "all") -> DataFrame:
+        """All rows that were added; no rows where there are none."""
+        path = f"{self.root}/{table}/{project}"
         return self.spark.read.schema(schema).parquet(path) if self._fs.exists(self._path(path)) else self.spark.createDataFrame([], schema)
 
 
@@ -88,16 +89,14 @@ def documents_as_tables(documents: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     return projects, photos, faces.select("project_id", "path", "photo_ord", "face_ord", box.alias("bbox"), "f.confidence", "f.embedding", small.cast("long").alias("cluster_id"))
 
 
-def tables_as_documents(projects: DataFrame, photos: DataFrame, faces: DataFrame) -> DataFrame:
-    """``project_id, document``: each project as one JSON text, photos and faces in order.
+def photo_documents(photos: DataFrame, faces: DataFrame) -> DataFrame:
+    """``project_id, path, document``: each photo with its faces, in order, as one JSON text.
 
-    A photo's faces are capped by the detector; a document holds a whole project, as the format wants it.
+    The older format holds a whole project in one text; here a project is as many lines as photos, so
+    that none is gathered in one row. The detector caps a photo's faces.
     """
     face = F.struct("face_ord", F.array("bbox.x1", "bbox.y1", "bbox.x2", "bbox.y2").alias("bbox"), "confidence", "embedding", "cluster_id")
     of = faces.groupBy("project_id", "path").agg(F.sort_array(F.collect_list(face)).alias("faces"))
     bare = F.transform(F.coalesce("faces", F.array()), lambda f: f.dropFields("face_ord"))
-    photo = F.struct("photo_ord", "path", "filename", "grade", "grade_source", bare.alias("faces"), "aesthetic_score", "sharpness_score", "grade_reason", "content_hash", "graded_at", "faces_detected_at")
-    nested = photos.join(of, ["project_id", "path"], "left").select("project_id", photo.alias("p")).groupBy("project_id").agg(F.sort_array(F.collect_list("p")).alias("photos"))
-    whole = projects.join(nested, "project_id", "left")
-    document = F.struct(F.col("project_id").alias("id"), "name", "source_dir", F.transform(F.coalesce("photos", F.array()), lambda p: p.dropFields("photo_ord")).alias("photos"))
-    return whole.select("project_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
+    photo = F.struct("path", "filename", "grade", "grade_source", bare.alias("faces"), "aesthetic_score", "sharpness_score", "grade_reason", "content_hash", "graded_at", "faces_detected_at")
+    return photos.join(of, ["project_id", "path"], "left").select("project_id", "path", F.to_json(photo, {"ignoreNullFields": "false"}).alias("document"))

@@ -163,8 +163,8 @@ def test_documents_of_older_versions(spark, tmp_path):
     assert [r.project_id for r in p.collect()] == ["one"]
     assert photos_.first().sharpness_score == 12.5
     assert [r.cluster_id for r in faces.orderBy("face_ord").collect()] == [-1, 4, None]
-    again = json.loads(projects.tables_as_documents(p, photos_, faces).first().document)
-    assert again["photos"][0]["faces"][1]["bbox"] == [1, 2, 3, 4] and again["photos"][0]["faces"][2]["cluster_id"] is None
+    again = json.loads(projects.photo_documents(photos_, faces).first().document)
+    assert again["faces"][1]["bbox"] == [1, 2, 3, 4] and again["faces"][2]["cluster_id"] is None
 
 
 def test_config(tmp_path):
