@@ -1,8 +1,9 @@
 """Embedding near-duplicates by NN-descent on Spark.
 
 A neighbour graph is started from chunks of randomly projected orders, refined through joins of
-neighbours of neighbours, and audited against brute force. Its links span groups; inside each group
-the links of every vector are then counted exactly, block against block.
+neighbours of neighbours, and audited against brute force. Its links span groups; groups between which
+full lists may hide links are compared exactly; inside each group the links of every vector are then
+counted exactly, block against block.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from photolake.storage import materialize
 SIGNS = 10
 #: Vectors of a group that are compared as one block.
 BLOCK = 256
+#: Blocks whose representatives are compared at once.
+TILE = 1024
 
 
 def _unit(data: list[bytes], kind: str) -> np.ndarray:
@@ -187,6 +190,119 @@ def neighbour_graph(packed: DataFrame, kind: str, threshold: float, k: int, k_fu
     return graph
 
 
+def _placed(members: DataFrame) -> DataFrame:
+    """``members`` with the ``block`` of its component that each stands in, and its number of ``blocks``.
+
+    Places are counted in two steps, so that no task ranks all members of a large group.
+    """
+    dealt = members.withColumn("deal", F.pmod(F.xxhash64("cid"), F.lit(1024)))
+    counts = dealt.groupBy("component", "deal").agg(F.count("*").alias("c"))
+    base = counts.select("component", "deal", F.coalesce(F.sum("c").over(Window.partitionBy("component").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("c").over(Window.partitionBy("component")).alias("all"))
+    placed = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("component", "deal").orderBy("cid")) - 1).join(base, ["component", "deal"])
+    return placed.select(*members.columns, F.floor((F.col("base") + F.col("rank")) / BLOCK).cast("int").alias("block"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list]:
+    """Rows that follow each other and agree in their first ``keys`` columns."""
+    left: list = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if left and left[0][:keys] != row[:keys]:
+                yield left
+                left = []
+            left.append(row)
+    if left:
+        yield left
+
+
+def _bridges(groups: DataFrame, packed: DataFrame, kind: str, threshold: float, parts: int) -> DataFrame:
+    """``src, dst``: links that join whatever different components of ``groups`` have a link between their members.
+
+    Exact. Each block of a component is stood for by a member and its largest angle to the others.
+    All representatives of different components are compared, tile by tile; two that link are a link,
+    and blocks within the angle of ``threshold`` and their own two angles are compared in full. Only
+    links that join something within their tile go out, and one for each pair of blocks.
+    """
+    members = groups.join(packed, F.col("node") == F.col("cid")).select("component", "cid", "size", "vec")
+    placed = materialize(_placed(members).select("component", "block", "cid", "size", "vec"), "placed")
+    kind_of = packed.schema["cid"].dataType
+    widest = float(np.arccos(np.clip(threshold, -1, 1)))
+
+    def stand_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 2):
+            v = _unit([r[4] for r in rows], kind)
+            angles = np.arccos(np.clip(v @ v[0], -1, 1))
+            yield pa.RecordBatch.from_pylist([dict(zip(pieces_type.names, (*rows[0], float(angles.max()))))], schema=to_arrow_schema(pieces_type))
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    pieces_type = T.StructType([T.StructField("component", kind_of), T.StructField("block", T.IntegerType()), T.StructField("cid", kind_of), T.StructField("size", T.IntegerType()), T.StructField("vec", T.BinaryType()), T.StructField("radius", T.DoubleType())])
+    pieces = materialize(placed.repartition(parts, "component", "block").sortWithinPartitions("component", "block", "cid").mapInArrow(stand_for, pieces_type), "pieces")
+    tiles = max(1, -(-pieces.count() // TILE))
+    tiled = pieces.withColumn("tile", F.pmod(F.xxhash64("component", "block"), F.lit(tiles)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    spread = tiled.select(F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "tile", *pieces_type.names)
+    spread = spread.repartition(parts, "one", "two").sortWithinPartitions("one", "two", "tile", "component", "block")
+    met_type = T.StructType([T.StructField("src", kind_of), T.StructField("dst", kind_of), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 2):
+            one, two = rows[0][:2]
+            root: dict = {}
+
+            def top(c):
+                while (up := root.get(c, c)) != c:
+                    root[c] = c = root.get(up, up)
+                return c
+
+            out: list = []
+            for size in {r[6] for r in rows}:
+                a = [r for r in rows if r[2] == one and r[6] == size]
+                b = a if one == two else [r for r in rows if r[2] == two and r[6] == size]
+                if not a or not b:
+                    continue
+                va = _unit([r[7] for r in a], kind)
+                s = va @ (va if one == two else _unit([r[7] for r in b], kind)).T
+                ahead = np.triu(np.ones(s.shape, bool), 1) if one == two else np.ones(s.shape, bool)
+                linked = s >= threshold
+                for i, j in np.argwhere(linked & ahead).tolist():
+                    if (x := top(a[i][3])) != (y := top(b[j][3])):
+                        root[x] = y
+                        out.append((a[i][5], b[j][5], None, None))
+                reach = widest + np.array([r[8] for r in a])[:, None] + np.array([r[8] for r in b]) + 1e-6
+                for i, j in np.argwhere((np.arccos(np.clip(s, -1, 1)) <= reach) & ~linked & ahead).tolist():
+                    if top(a[i][3]) != top(b[j][3]):
+                        out.append((a[i][3], b[j][3], a[i][4], b[j][4]))
+            yield pa.RecordBatch.from_pylist([dict(zip(met_type.names, r)) for r in out], schema=to_arrow_schema(met_type))
+
+    met = materialize(spread.mapInArrow(meet, met_type), "met")
+    near = met.where("a is not null")
+    ours, theirs = near.withColumn("side", F.lit(0)), near.withColumn("side", F.lit(1))
+    ours = ours.join(placed, (F.col("src") == F.col("component")) & (F.col("a") == F.col("block")))
+    theirs = theirs.join(placed, (F.col("dst") == F.col("component")) & (F.col("b") == F.col("block")))
+    both = ours.unionByName(theirs).select("src", "dst", "a", "b", "side", "cid", "vec")
+    both = both.repartition(parts, "src", "dst", "a", "b").sortWithinPartitions("src", "dst", "a", "b", "side")
+    link_type = T.StructType([T.StructField("src", kind_of), T.StructField("dst", kind_of)])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 4):
+            a, b = ([r for r in rows if r[4] == side] for side in (0, 1))
+            linked = _unit([r[6] for r in a], kind) @ _unit([r[6] for r in b], kind).T >= threshold
+            if linked.any():
+                i, j = np.argwhere(linked)[0].tolist()
+                yield pa.RecordBatch.from_pylist([{"src": a[i][5], "dst": b[j][5]}], schema=to_arrow_schema(link_type))
+
+    return met.where("a is null").select("src", "dst").unionByName(both.mapInArrow(compare, link_type))
+
+
+def _joined(groups: DataFrame, some: DataFrame, packed: DataFrame, kind: str, threshold: float, parts: int) -> DataFrame:
+    """``groups`` with the components joined that have a link between members in ``some`` of their rows."""
+    bridges = materialize(_bridges(some, packed, kind, threshold, parts), "bridges")
+    if bridges.isEmpty():
+        return groups
+    held = groups.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    return materialize(connected_components(held.unionByName(bridges), "src", "dst"), "groups")
+
+
 def _counted(groups: DataFrame, packed: DataFrame, sizes: DataFrame, kind: str, threshold: float, parts: int) -> DataFrame:
     """``cid, links, near``: how many vectors, and different ones, each member of a group links with.
 
@@ -194,12 +310,7 @@ def _counted(groups: DataFrame, packed: DataFrame, sizes: DataFrame, kind: str,
     task; only sums leave it. Pairs of vectors are never emitted, and groups of any size are whole.
     """
     members = groups.join(packed, F.col("node") == F.col("cid")).join(sizes, "cid").select("component", "cid", "n", "vec")
-    # places are counted in two steps, so that no task ranks all members of a large group
-    members = members.withColumn("deal", F.pmod(F.xxhash64("cid"), F.lit(1024)))
-    dealt = members.groupBy("component", "deal").agg(F.count("*").alias("c"))
-    base = dealt.select("component", "deal", F.coalesce(F.sum("c").over(Window.partitionBy("component").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("c").over(Window.partitionBy("component")).alias("all"))
-    placed = members.withColumn("rank", F.row_number().over(Window.partitionBy("component", "deal").orderBy("cid")) - 1).join(base, ["component", "deal"])
-    placed = placed.select("component", "cid", "n", "vec", F.floor((F.col("base") + F.col("rank")) / BLOCK).cast("int").alias("block"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+    placed = _placed(members)
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = placed.withColumn("other", meets).select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "cid", "n", "vec")
     spread = spread.repartition(parts, "component", "one", "two").sortWithinPartitions("component", "one", "two", "block")
@@ -271,7 +382,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 8, k_f
     vectors take part as one and count in full. The graph is audited on ``queries`` vectors; while
     the share of true links that is counted stays below ``recall``, the search runs again with other
     projections, twice as many orders and lists twice as long, at most ``tries`` times in all, and
-    the links of all runs are kept.
+    the links of all runs are kept. Lists end, so components that hold vectors with ``k`` links or
+    more are compared exactly for links between such vectors; if the last audit is still below
+    ``recall``, all components and lone vectors are.
 
     ``component_id`` is the smallest id reachable over links, the row's own included, and ``kept``
     marks the row that bears it. Vectors that are null, empty, zero or not finite link with nothing, and so do
@@ -287,15 +400,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 8, k_f
     sizes = classes.select("cid", "n")
     packed_type = T.StructType([classes.schema["cid"], T.StructField("size", T.IntegerType()), T.StructField("vec", T.BinaryType())])
     packed = materialize(classes.select("cid", "vector").repartition(parts, "cid").mapInArrow(_packed(kind), packed_type), "packed")
-    pairs = None
+    pairs = full = None
     for i in range(tries):
         graph = neighbour_graph(packed, kind, threshold, k << i, k_full << i, orders << i, leaf, rounds, settled, parts, seed + i)
         found = graph.where(F.col("sim") >= threshold).select("src", "dst")
         pairs = found if pairs is None else pairs.unionByName(found)
+        # a link that was met and left out of both lists has k or more links in each of them
+        some = found.groupBy("src").count().where(F.col("count") >= k << i).select("src")
+        full = some if full is None else full.unionByName(some)
         groups = materialize(connected_components(pairs, "src", "dst"), "groups")
+        groups = _joined(groups, groups.join(full, F.col("node") == F.col("src"), "left_semi"), packed, kind, threshold, parts)
         links = materialize(_counted(groups, packed, sizes, kind, threshold, parts), "links")
         if audit(links, packed, kind, threshold, queries) >= recall:
             break
+    else:
+        every = packed.select(F.col("cid").alias("node")).join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        groups = _joined(groups, materialize(every, "every"), packed, kind, threshold, parts)
+        links = materialize(_counted(groups, packed, sizes, kind, threshold, parts), "links")
     least = sizes.join(groups, F.col("cid") == F.col("node"), "left").join(links, "cid", "left")
     least = least.select("cid", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
     members = raw.join(classes, "vector").select("vec_id", "cid").join(least, "cid").select(F.col("vec_id").alias("id"), "n_links", "component_id")

@@ -57,6 +57,19 @@ def test_a_dense_group_larger_than_a_block(spark):
     assert all(got[i] == (599, 0) for i in range(600))
 
 
+def test_two_dense_halves_of_one_group_are_joined(spark):
+    rng = np.random.default_rng(6)
+    sides = [np.array([1.0] + [0.0] * 15), np.array([1.0, 0.25] + [0.0] * 14)]
+    rows = [(i, (sides[i % 2] + rng.normal(size=16) * 0.004).tolist()) for i in range(400)]
+    assert set(graph(rows).values()) == {(399, 0)}
+    assert set(found(spark, rows).values()) == {(399, 0)}
+
+
+def test_what_the_last_audit_misses_is_compared_in_full(spark):
+    rows = clouds(150, 8)
+    assert found(spark, rows, recall=2.0, tries=1, k=1, k_full=1) == graph(rows)
+
+
 def test_repeated_rows_null_ids_and_nothing(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 2), (2, [1.0, 0.01], 3), (None, [1.0, 0.0], 4)], "vec_id long, embedding array<float>, cid int")
     out = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in nn_descent.near_duplicates(df, orders=2, rounds=1).collect()), key=str)
