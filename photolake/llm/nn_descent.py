@@ -21,8 +21,12 @@ from photolake.llm.tables import table
 from photolake.operators.components import connected_components
 from photolake.storage import materialize
 
-#: Sign bits of a projected order's key; the next projection orders vectors of one key.
+#: Least sign bits of a projected order's key; the next projection orders vectors of one key.
 SIGNS = 10
+#: Chance that two linked vectors of one key fall into one chunk, when about a chunk of vectors shares a key.
+SAME_CHUNK = 0.75
+#: Chance with which a lone pair is to meet in one of the orders, and the most orders that are made for it.
+MEETS, MOST_ORDERS = 0.99, 128
 #: Vectors of a group that are compared as one block.
 BLOCK = 256
 #: Blocks whose representatives are compared at once.
@@ -73,10 +77,21 @@ def _pair_rows(ids: np.ndarray, sims: np.ndarray, keep: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(sims[i, j])], ["src", "dst", "sim"])
 
 
-def _started(packed: DataFrame, kind: str, orders: int, leaf: int, k: int, parts: int, seed: int) -> DataFrame:
+def spread_of_orders(n: int, threshold: float, leaf: int) -> tuple[int, int]:
+    """Signs of a key and orders by which two of ``n`` vectors at ``threshold`` meet with the chance ``MEETS``.
+
+    Keys are as many as chunks, so that about a chunk of vectors shares one at any ``n``. A sign is
+    the same for both with a chance that their angle gives.
+    """
+    signs = min(30, max(SIGNS, int(np.ceil(np.log2(max(1, n) / leaf)))))
+    met = SAME_CHUNK * (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** signs
+    return signs, int(min(MOST_ORDERS, np.ceil(np.log(1 - MEETS) / np.log1p(-max(met, 1e-9)))))
+
+
+def _started(packed: DataFrame, kind: str, orders: int, signs: int, leaf: int, k: int, parts: int, seed: int) -> DataFrame:
     """Nearest neighbours within chunks of ``leaf`` vectors of ``orders`` random orders.
 
-    An order sorts by the signs of ``SIGNS`` random projections and then by one more projection, so a
+    An order sorts by the signs of ``signs`` random projections and then by one more projection, so a
     chunk holds vectors of similar direction and is never larger, however many are alike.
     """
 
@@ -87,14 +102,14 @@ def _started(packed: DataFrame, kind: str, orders: int, leaf: int, k: int, parts
                 some = batch.filter(pa.array([x == size for x in batch.column(1).to_pylist()]))
                 v = _unit(some.column(2).to_pylist(), kind)
                 if v.shape[1] not in planes:
-                    planes[v.shape[1]] = np.random.default_rng(seed).normal(size=(orders, SIGNS + 1, v.shape[1]))
+                    planes[v.shape[1]] = np.random.default_rng(seed).normal(size=(orders, signs + 1, v.shape[1]))
                 for o in range(orders):
                     p = v @ planes[v.shape[1]][o].T
-                    code = ((p[:, :SIGNS] > 0) << np.arange(SIGNS)).sum(1)
+                    code = ((p[:, :signs] > 0) << np.arange(signs)).sum(1)
                     # Gray order: neighbouring codes differ in one sign
-                    for shift in (1, 2, 4, 8):
+                    for shift in (1, 2, 4, 8, 16):
                         code = code ^ (code >> shift)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), o, np.int32)), some.column(1), pa.array(code.astype(np.int32)), pa.array(p[:, SIGNS]), some.column(0), some.column(2)], ["ord", "size", "code", "fine", "cid", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), o, np.int32)), some.column(1), pa.array(code.astype(np.int32)), pa.array(p[:, signs]), some.column(0), some.column(2)], ["ord", "size", "code", "fine", "cid", "vec"])
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list = []
@@ -179,9 +194,9 @@ def _refined(graph: DataFrame, packed: DataFrame, kind: str, k: int, k_full: int
     return _best(both, k, k_full, threshold)
 
 
-def neighbour_graph(packed: DataFrame, kind: str, threshold: float, k: int, k_full: int, orders: int, leaf: int, rounds: int, settled: float, parts: int, seed: int) -> DataFrame:
+def neighbour_graph(packed: DataFrame, kind: str, threshold: float, k: int, k_full: int, orders: int, signs: int, leaf: int, rounds: int, settled: float, parts: int, seed: int) -> DataFrame:
     """``src, dst, sim``: refined until a round changes less than ``settled`` of the neighbours."""
-    graph = materialize(_best(_started(packed, kind, orders, leaf, k, parts, seed), k, k_full, threshold), "graph")
+    graph = materialize(_best(_started(packed, kind, orders, signs, leaf, k, parts, seed), k, k_full, threshold), "graph")
     for _ in range(rounds):
         graph = materialize(_refined(graph, packed, kind, k, k_full, threshold, parts), "graph")
         n, fresh = graph.agg(F.count("*"), F.count_if("fresh")).first()
@@ -349,12 +364,27 @@ def _counted(groups: DataFrame, packed: DataFrame, sizes: DataFrame, kind: str,
     return spread.mapInArrow(count, schema).groupBy("cid").agg(F.sum("links").alias("links"), F.sum("near").alias("near"))
 
 
-def audit(links: DataFrame, packed: DataFrame, kind: str, threshold: float, queries: int) -> float:
-    """Share of the true links of ``queries`` vectors, chosen by a hash of their id, that ``links`` counts.
+def audit(links: DataFrame, groups: DataFrame, packed: DataFrame, kind: str, threshold: float, queries: int) -> float:
+    """The lesser recall of vectors in large groups and of all others, as ``links`` counts their true links.
 
-    The queries are bounded and are compared with all vectors, run by run.
+    ``queries`` vectors each of large groups (more than ``BLOCK`` members), of small groups and of
+    lone vectors, chosen by a hash of their id, are compared with all vectors, run by run. Every
+    vector that has links weighs the same. Lone vectors that have some are counted as missed, in
+    proportion to how many lone vectors there are.
     """
-    chosen = packed.orderBy(F.xxhash64("cid", F.lit(1)), "cid").limit(queries).collect()
+    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
+    kept = links.join(groups, F.col("cid") == F.col("node")).join(sizes, "component").select("cid", "near", F.when(F.col("near") == 0, "lone").when(F.col("members") > BLOCK, "large").otherwise("small").alias("among"))
+    every = packed.select("cid").join(kept, "cid", "left").select("cid", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("among", F.lit("lone")).alias("among"))
+    every = materialize(every, "audited")
+    there = {r["among"]: r["count"] for r in every.groupBy("among").count().collect()}
+    picks = None
+    for among in sorted(there):
+        some = every.where(F.col("among") == among).orderBy(F.xxhash64("cid", F.lit(1)), "cid").limit(queries)
+        picks = some if picks is None else picks.unionByName(some)
+    if picks is None:
+        return 1.0
+    picks = materialize(picks, "queries")
+    chosen = packed.join(picks, "cid", "left_semi").collect()
     by_size: dict = {}
     for r in chosen:
         by_size.setdefault(r["size"], []).append(r)
@@ -371,16 +401,21 @@ def audit(links: DataFrame, packed: DataFrame, kind: str, threshold: float, quer
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(((q @ v.T >= threshold) & ~same).sum(1))], ["cid", "real"])
 
     real = packed.mapInArrow(true_links, T.StructType([packed.schema["cid"], T.StructField("real", T.LongType())])).groupBy("cid").agg(F.sum("real").alias("real"))
-    had, total = real.join(links, "cid", "left").agg(F.coalesce(F.sum(F.least(F.coalesce("near", F.lit(0)), "real")), F.lit(0)), F.coalesce(F.sum("real"), F.lit(0))).first()
-    return had / total if total else 1.0
+    share = F.when(F.col("real") > 0, F.least("near", "real") / F.col("real"))
+    rated = {r["among"]: r for r in picks.join(real, "cid").groupBy("among").agg(F.avg(share).alias("share"), F.avg((F.col("real") > 0).cast("int")).alias("linked")).collect()}
+    linked = {among: there[among] * (r["linked"] if among == "lone" else 1) for among, r in rated.items()}
+    had = {among: linked[among] * (r["share"] or 0.0) for among, r in rated.items()}
+    few = linked.get("small", 0) + linked.get("lone", 0)
+    return min(had["large"] / linked["large"] if "large" in had else 1.0, (had.get("small", 0) + had.get("lone", 0)) / few if few else 1.0)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 8, k_full: int = 32, orders: int = 8, leaf: int = 64, rounds: int = 4, settled: float = 0.01, recall: float = 0.99, queries: int = 512, tries: int = 3, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors``.
 
     Two vectors are linked when their cosine, in double precision, is ``threshold`` or more. Equal
-    vectors take part as one and count in full. The graph is audited on ``queries`` vectors; while
-    the share of true links that is counted stays below ``recall``, the search runs again with other
+    vectors take part as one and count in full. There are ``orders`` orders or more, as the number of
+    vectors asks (:func:`spread_of_orders`). The graph is audited on ``queries`` vectors of each kind
+    (:func:`audit`); while its recall stays below ``recall``, the search runs again with other
     projections, twice as many orders and lists twice as long, at most ``tries`` times in all, and
     the links of all runs are kept. Lists end, so components that hold vectors with ``k`` links or
     more are compared exactly for links between such vectors; if the last audit is still below
@@ -400,9 +435,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 8, k_f
     sizes = classes.select("cid", "n")
     packed_type = T.StructType([classes.schema["cid"], T.StructField("size", T.IntegerType()), T.StructField("vec", T.BinaryType())])
     packed = materialize(classes.select("cid", "vector").repartition(parts, "cid").mapInArrow(_packed(kind), packed_type), "packed")
+    signs, needed = spread_of_orders(packed.count(), threshold, leaf)
+    orders = max(orders, needed)
     pairs = full = None
     for i in range(tries):
-        graph = neighbour_graph(packed, kind, threshold, k << i, k_full << i, orders << i, leaf, rounds, settled, parts, seed + i)
+        graph = neighbour_graph(packed, kind, threshold, k << i, k_full << i, orders << i, signs, leaf, rounds, settled, parts, seed + i)
         found = graph.where(F.col("sim") >= threshold).select("src", "dst")
         pairs = found if pairs is None else pairs.unionByName(found)
         # a link that was met and left out of both lists has k or more links in each of them
@@ -411,7 +448,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 8, k_f
         groups = materialize(connected_components(pairs, "src", "dst"), "groups")
         groups = _joined(groups, groups.join(full, F.col("node") == F.col("src"), "left_semi"), packed, kind, threshold, parts)
         links = materialize(_counted(groups, packed, sizes, kind, threshold, parts), "links")
-        if audit(links, packed, kind, threshold, queries) >= recall:
+        if audit(links, groups, packed, kind, threshold, queries) >= recall:
             break
     else:
         every = packed.select(F.col("cid").alias("node")).join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -70,6 +70,40 @@ def test_what_the_last_audit_misses_is_compared_in_full(spark):
     assert found(spark, rows, recall=2.0, tries=1, k=1, k_full=1) == graph(rows)
 
 
+def hot_and_pairs(hot, pairs, dim=32):
+    """One dense group and pairs of vectors that are near each other alone."""
+    rng = np.random.default_rng(9)
+    rows = [np.eye(dim)[0] + rng.normal(size=dim) * 0.01 for _ in range(hot)]
+    for _ in range(pairs):
+        v, w = (x / np.sqrt((x * x).sum()) for x in rng.normal(size=(2, dim)))
+        w -= (v @ w) * v
+        rows += [v, 0.955 * v + np.sqrt(1 - 0.955**2) * w / np.sqrt((w * w).sum())]
+    return [(i, v.tolist()) for i, v in enumerate(rows)]
+
+
+def test_lone_pairs_are_found_beside_a_hot_group(spark):
+    rows = hot_and_pairs(300, 300)
+    assert found(spark, rows) == graph(rows)
+
+
+def test_the_audit_sees_lone_pairs_beside_a_hot_group(spark):
+    rows = hot_and_pairs(300, 60)
+    packed = spark.createDataFrame([(i, 32, np.array(v, "<f4").tobytes()) for i, v in rows], "cid long, size int, vec binary")
+    groups = spark.createDataFrame([(i, 0) for i in range(300)], "node long, component long")
+    links = spark.createDataFrame([(i, 299, 299) for i in range(300)], "cid long, links long, near long")
+    assert nn_descent.audit(links, groups, packed, "<f4", 0.95, 512) == 0
+    half = [(i, 300 + (i - 300) // 2 * 2) for i in range(300, 360)]
+    groups = groups.unionByName(spark.createDataFrame(half, groups.schema))
+    links = links.unionByName(spark.createDataFrame([(i, 1, 1) for i, _ in half], links.schema))
+    assert abs(nn_descent.audit(links, groups, packed, "<f4", 0.95, 512) - 0.5) < 0.01
+
+
+def test_orders_follow_the_number_of_vectors():
+    signs, orders = zip(*(nn_descent.spread_of_orders(n, 0.95, 64) for n in (0, 10_000, 1_000_000, 100_000_000)))
+    assert list(signs) == sorted(signs) and 64 << signs[-1] >= 100_000_000
+    assert orders[0] >= 8 and orders[1] < orders[2] < orders[3] < nn_descent.MOST_ORDERS
+
+
 def test_repeated_rows_null_ids_and_nothing(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 2), (2, [1.0, 0.01], 3), (None, [1.0, 0.0], 4)], "vec_id long, embedding array<float>, cid int")
     out = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in nn_descent.near_duplicates(df, orders=2, rounds=1).collect()), key=str)
