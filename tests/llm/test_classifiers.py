@@ -121,3 +121,20 @@ def test_samples_are_bounded_and_the_same_each_time(spark):
     a = labelled_sample(docs.unionByName(docs), twice, "toxic", F.col("doc_id") % 2 == 0, 40, 1500).orderBy("place").collect()
     b = labelled_sample(docs, twice, "toxic", F.col("doc_id") % 2 == 0, 40, 1500).orderBy("place").collect()
     assert a == b and len(a) <= 40 and sum(len(r.text) for r in a) <= 1500 and all(r.doc_id % 2 == 0 for r in a)
+
+
+def test_long_texts_and_missing_documents_leave_the_sample_whole(spark):
+    docs, marks = tiny(spark)
+    want = labelled_sample(docs, marks, "toxic", F.lit(True), 200, 16_000).count()
+    first = marks.orderBy(F.xxhash64("doc_id")).first().doc_id
+    long = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("long "), 20_000)).otherwise(F.col("text")))
+    assert labelled_sample(long, marks, "toxic", F.lit(True), 200, 16_000).count() == want - 1 == 199
+    gone = marks.unionByName(spark.createDataFrame([(i, 1, 0) for i in range(1000, 3000)], marks.schema))
+    assert labelled_sample(docs, gone, "toxic", F.lit(True), 200, 16_000).count() == 200
+
+
+def test_a_sample_without_a_label_that_there_is_fails(spark):
+    docs, marks = tiny(spark)
+    long = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("fool "), 1000)).otherwise(F.col("text")))
+    with pytest.raises(ValueError, match="lacks a label"):
+        toxicity.fit(long, marks, F.lit(True), max_bytes=16_000)
