@@ -185,7 +185,7 @@ class Library:
         """Rows of the photo table, in order, with columns that are not known yet left null."""
         known = {f.name: f.dataType for f in S.PHOTOS}
         full = photos.withColumn("project_id", F.lit(project)).withColumns({c: F.lit(None).cast(t) for c, t in known.items() if c not in (*photos.columns, "project_id")})
-        return diff.in_order(full.drop("photo_ord"), "project_id").select(*(F.col(c).cast(t) for c, t in known.items()))
+        return diff.in_order(full.drop("photo_ord")).select(*(F.col(c).cast(t) for c, t in known.items()))
 
     def _save_photos(self, photos: DataFrame, project: str) -> None:
         self.store.write(photos.select(*S.PHOTOS.names), "photos", project)

@@ -190,3 +190,13 @@ def test_people_of_a_project(library, folder, spark):
     assert [(r.label, r.photo_count) for r in people] == [("Ada", 2)]
     assert library.view(project, 0).count() == 2 and library.view(project).count() == 4
     assert library.photos(project).where(F.col("faces_detected_at").isNotNull()).count() == 0
+
+
+def test_photos_of_a_project_are_not_ordered_in_one_task(spark, tmp_path):
+    library = Library(spark, str(tmp_path / "library"))
+    rows = spark.createDataFrame([(f"/p/{i % 7}{i}.png", f"{i % 7}{i}.png") for i in range(50)], "path string, filename string")
+    out = library._as_photos(rows, "p")
+    assert [r.photo_ord for r in out.orderBy("filename", "path").collect()] == list(range(50))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "[project_id" not in "".join(line for line in plan.splitlines() if "Window" in line)
+    assert "_range" in plan
