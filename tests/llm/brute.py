@@ -4,7 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
-from math import log10
+from math import ceil, floor, log10
 
 import xxhash
 
@@ -105,8 +105,8 @@ def unigrams(docs):
     return {i: (fold(i) % 7 == 2, len(ws), sum(counts[w] > 0 for w in ws), n, sum(log10((counts[w] + 1) / (n + v + 1)) for w in ws)) for i, ws in split.items()}
 
 
-def mixture(docs, share=1.5, weights=(3, 1, 2), most=2):
-    """``[(doc_id, size, source_size, target, taken)]`` of ``(doc_id, text, source)`` rows."""
+def mixture(docs, share=1.5, weights=(3, 1, 2), most=2, block_words=4096, least_slots=1 << 14):
+    """``[(doc_id, size, source_size, target, taken, first slot)]`` of ``(doc_id, text, source)`` rows, word by word."""
     sized = [(i, len(words(t, NO_SPACE)), s) for i, t, s in docs]
     names = sorted({s for *_, s in sized}, key=lambda s: (s is None, s or ""))
     total = {s: sum(n for _, n, x in sized if x == s) for s in names}
@@ -121,10 +121,28 @@ def mixture(docs, share=1.5, weights=(3, 1, 2), most=2):
             break
         left -= sum(target[s] for s in full)
         free = [s for s in free if s not in full]
-    out, start = [], dict.fromkeys(names, 0)
-    for i, n, s in sorted(sized, key=lambda r: (hashlib.md5((str(r[0]) if r[0] is not None else "").encode()).hexdigest(), r[1])):
-        end = int(target[s] + 1e-9)
-        taken = sum(max(0, min(start[s] + turn * total[s] + n, end) - start[s] - turn * total[s]) for turn in range(2))
-        start[s] += n
-        out.append((i, n, total[s], target[s], taken))
-    return out
+    about = max(1, min(block_words, int(sum(target.values())) // least_slots))
+    each, blocks, keys, start = {}, {}, {}, 0.0
+    for s in names:
+        each[s] = -(-total[s] // -(-total[s] // about)) if total[s] else 1
+        blocks[s] = -(-total[s] // each[s])
+        wanted = floor(target[s] / total[s] * blocks[s] * 65536) / 65536 if total[s] else 0.0
+        keys[s], start = (ceil(start), ceil(start + wanted)), start + wanted
+    bits = max(1, (ceil(start) - 1).bit_length())
+    slots = {s: sorted(int(f"{k:0{bits}b}"[::-1], 2) for k in range(*keys[s])) for s in names}
+    line = {s: [] for s in names}
+    order = lambda i, n: (digest(i)[:3], n % 64, digest(i), n)
+    for row, (i, n, s) in sorted(enumerate(sized), key=lambda r: order(*r[1][:2])):
+        line[s] += [row] * n
+    taken, first = [0] * len(sized), [None] * len(sized)
+    for s in names:
+        for r, slot in enumerate(slots[s]):
+            block = r % blocks[s]
+            for row in line[s][block * each[s] : (block + 1) * each[s]]:
+                taken[row] += 1
+                first[row] = slot if first[row] is None else min(first[row], slot)
+    return [(i, n, total[s], target[s], k, f) for (i, n, s), k, f in zip(sized, taken, first)]
+
+
+def digest(i):
+    return hashlib.md5((str(i) if i is not None else "").encode()).hexdigest()

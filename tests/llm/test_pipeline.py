@@ -58,7 +58,7 @@ def test_decontamination_drops_what_holds_a_passage(spark, stages):
 
 def test_mixture_takes_each_source_to_its_target(stages):
     before, after, _ = stages[1]["mixture"]
-    expected = {i: k for i, *_, k in brute.mixture([(r.doc_id, r.text, r.source) for r in before]) if k}
+    expected = {r[0]: r[4] for r in brute.mixture([(r.doc_id, r.text, r.source) for r in before]) if r[4]}
     found = {}
     for r in after:
         found[r.doc_id] = found.get(r.doc_id, 0) + len(brute.words(r.text, brute.NO_SPACE))
