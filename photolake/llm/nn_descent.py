@@ -1,9 +1,9 @@
 """Embedding near-duplicates by NN-descent on Spark.
 
-A neighbour graph is started from chunks of randomly projected orders, refined through joins of
-neighbours of neighbours, and audited against brute force. Its links span groups; groups between which
-full lists may hide links are compared exactly; inside each group the links of every vector are then
-counted exactly, block against block.
+A neighbour graph is started from chunks of randomly projected orders and refined through joins of
+neighbours of neighbours. A list that is saturated with links grows. The links are those of the graph,
+whose recall is measured against brute force. Only lists that reach the longest length there is are
+left for the exact way: what such vectors link with is counted block against block in their group.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ TILE = 1024
 def _unit(data: list[bytes], kind: str) -> np.ndarray:
     """Vectors from their bytes, in double precision, of length 1."""
     v = np.frombuffer(b"".join(data), kind).astype(np.float64).reshape(len(data), -1)
+    # very large and very small components would be lost when they are squared
+    v = v / np.abs(v).max(1, keepdims=True)
     return v / np.sqrt((v * v).sum(1))[:, None]
 
 
@@ -62,13 +64,13 @@ def _packed(kind: str):
     return pack
 
 
-def _best(lists: DataFrame, k: int, k_full: int, threshold: float) -> DataFrame:
-    """The ``k`` nearest neighbours of each vector, and more up to ``k_full`` while they are links.
+def _best(lists: DataFrame, k: int, k_most: int, threshold: float) -> DataFrame:
+    """Each vector's ``k`` nearest neighbours, and all its links while they are at most ``k_most``.
 
     So a list that is saturated with links is enlarged in the round in which it fills up.
     """
     order = Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst")
-    ranked = lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k_full)
+    ranked = lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k_most)
     return ranked.where((F.col("rank") <= k) | (F.col("sim") >= threshold)).select("src", "dst", "sim", "fresh")
 
 
@@ -148,30 +150,33 @@ def _pairs_type(kind) -> T.StructType:
     return T.StructType([T.StructField("src", kind), T.StructField("dst", kind), T.StructField("sim", T.DoubleType())])
 
 
-def _refined(graph: DataFrame, packed: DataFrame, kind: str, k: int, k_full: int, threshold: float, parts: int) -> DataFrame:
+def _refined(graph: DataFrame, packed: DataFrame, kind: str, k: int, k_most: int, threshold: float, drawn: int, turn: int, parts: int) -> DataFrame:
     """New neighbours: vectors that meet in a third one's list, or name it in theirs.
 
-    Each vector's list and the lists that name it are brought together with the vectors; pairs with a
-    fresh member are compared, and a pair goes out when it improves one of its two lists. The lists
-    that name a vector are taken up to twice the list length, the nearest first.
+    Of each vector's list, and of the lists that name it, ``drawn`` members are brought together with
+    their vectors, by a hash that differs from round to round, so that long lists are gone through in
+    turns. They are compared, and a pair goes out when it improves one
+    of its two lists: any link improves a list that is saturated and shorter than ``k_most``. Pairs
+    without a fresh member are compared by vectors with saturated lists alone.
     """
-    kth = graph.groupBy("src").agg(F.min("sim").alias("worst"), F.count("*").alias("n"))
-    nodes = packed.join(kth.withColumnRenamed("src", "cid"), "cid", "left").select("cid", "size", "vec", F.when(F.col("n") >= k, F.col("worst")).otherwise(-2.0).alias("worst"))
-    named = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim", "fresh")
-    order = Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst")
-    named = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * k).drop("rank")
-    around = graph.unionByName(named).groupBy("src", "dst").agg(F.max("fresh").alias("fresh"))
+    per = graph.groupBy(F.col("src").alias("cid")).agg(F.min("sim").alias("least"), F.count("*").alias("n"), F.count_if(F.col("sim") >= threshold).alias("links"))
+    nodes = packed.join(per, "cid", "left").withColumn("dense", F.coalesce(F.col("links") >= k, F.lit(False)))
+    worst = F.when(F.col("links") >= k_most, 2.0).when(F.col("dense"), float(np.nextafter(threshold, -1))).when(F.col("n") >= k, F.col("least")).otherwise(-2.0)
+    nodes = nodes.select("cid", "size", "vec", worst.alias("worst"), "dense")
+    both = graph.select("src", "dst", "fresh", F.lit(0).alias("side")).unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "fresh", F.lit(1).alias("side")))
+    order = Window.partitionBy("src", "side").orderBy(F.xxhash64("src", "dst", F.lit(turn)), "dst")
+    some = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= drawn)
+    around = some.groupBy("src", "dst").agg(F.max("fresh").alias("fresh"))
     met = around.join(nodes, F.col("dst") == F.col("cid")).select("src", "dst", "size", "fresh", "worst", "vec")
+    met = met.join(nodes.select(F.col("cid").alias("src"), "dense"), "src").select("src", "dst", "size", (F.col("fresh") | F.col("dense")).alias("fresh"), "worst", "vec")
     met = met.repartition(parts, "src").sortWithinPartitions("src", "dst")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: list = []
-
-        def pairs(rows: list) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 1):
             size = rows[0][2]
             rows = [r for r in rows if r[2] == size]
             if len(rows) < 2 or not any(r[3] for r in rows):
-                return
+                continue
             s = (v := _unit([r[5] for r in rows], kind)) @ v.T
             fresh, worst = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
             better = (fresh[:, None] | fresh) & ((s > worst[:, None]) | (s > worst))
@@ -179,29 +184,26 @@ def _refined(graph: DataFrame, packed: DataFrame, kind: str, k: int, k_full: int
             if better.any():
                 yield _pair_rows(np.array([r[1] for r in rows]), s, better)
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if left and left[0][0] != row[0]:
-                    yield from pairs(left)
-                    left = []
-                left.append(row)
-        if left:
-            yield from pairs(left)
-
     found = met.mapInArrow(compare, _pairs_type(packed.schema["cid"].dataType)).withColumn("fresh", F.lit(True))
     # a neighbour that was there before is not fresh
-    both = graph.withColumn("fresh", F.lit(False)).unionByName(found).groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-    return _best(both, k, k_full, threshold)
+    every = graph.withColumn("fresh", F.lit(False)).unionByName(found).groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+    return _best(every, k, k_most, threshold)
 
 
-def neighbour_graph(packed: DataFrame, kind: str, threshold: float, k: int, k_full: int, orders: int, signs: int, leaf: int, rounds: int, settled: float, parts: int, seed: int) -> DataFrame:
-    """``src, dst, sim``: refined until a round changes less than ``settled`` of the neighbours."""
-    graph = materialize(_best(_started(packed, kind, orders, signs, leaf, k, parts, seed), k, k_full, threshold), "graph")
-    for _ in range(rounds):
-        graph = materialize(_refined(graph, packed, kind, k, k_full, threshold, parts), "graph")
+def neighbour_graph(packed: DataFrame, kind: str, threshold: float, k: int, k_most: int, drawn: int, orders: int, signs: int, leaf: int, rounds: int, settled: float, parts: int, seed: int) -> DataFrame:
+    """``src, dst, sim``: refined until a round changes less than ``settled`` of the neighbours.
+
+    Then long lists are drawn twice as far, for the few links that they still lack, until a
+    round changes less than a hundredth of that.
+    """
+    graph = materialize(_best(_started(packed, kind, orders, signs, leaf, k, parts, seed), k, k_most, threshold), "graph")
+    last = False
+    for turn in range(rounds):
+        graph = materialize(_refined(graph, packed, kind, k, k_most, threshold, 2 * drawn if last else drawn, turn, parts), "graph")
         n, fresh = graph.agg(F.count("*"), F.count_if("fresh")).first()
-        if fresh <= settled * n:
+        if last and fresh <= settled / 100 * n:
             break
+        last = last or fresh <= settled * n
     return graph
 
 
@@ -318,75 +320,64 @@ def _joined(groups: DataFrame, some: DataFrame, packed: DataFrame, kind: str, th
     return materialize(connected_components(held.unionByName(bridges), "src", "dst"), "groups")
 
 
-def _counted(groups: DataFrame, packed: DataFrame, sizes: DataFrame, kind: str, threshold: float, parts: int) -> DataFrame:
-    """``cid, links, near``: how many vectors, and different ones, each member of a group links with.
+def _counted(groups: DataFrame, full: DataFrame, packed: DataFrame, sizes: DataFrame, kind: str, threshold: float, parts: int) -> DataFrame:
+    """``cid, links, near``: how many vectors, and different ones, each of ``full`` links with, exactly.
 
-    A group is cut into blocks of ``BLOCK`` members, and each pair of its blocks is compared by one
-    task; only sums leave it. Pairs of vectors are never emitted, and groups of any size are whole.
+    The groups of such vectors are cut into blocks of ``BLOCK`` members, and each pair of blocks is
+    compared by one task; only sums leave it. Pairs of vectors are never emitted.
     """
-    members = groups.join(packed, F.col("node") == F.col("cid")).join(sizes, "cid").select("component", "cid", "n", "vec")
-    placed = _placed(members)
+    marked = groups.join(full.select(F.col("cid").alias("node"), F.lit(True).alias("full")), "node", "left")
+    concerned = marked.where("full").select("component").distinct()
+    members = marked.join(concerned, "component", "left_semi").join(packed, F.col("node") == F.col("cid")).join(sizes, "cid")
+    placed = _placed(members.select("component", "cid", "n", "vec", F.coalesce("full", F.lit(False)).alias("full")))
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = placed.withColumn("other", meets).select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "cid", "n", "vec")
+    spread = placed.withColumn("other", meets).select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "cid", "n", "vec", "full")
     spread = spread.repartition(parts, "component", "one", "two").sortWithinPartitions("component", "one", "two", "block")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: list = []
-
-        def links(rows: list) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 3):
             one, two = rows[0][1], rows[0][2]
             a = [r for r in rows if r[3] == one]
             b = a if one == two else [r for r in rows if r[3] == two]
             if not a or not b:
-                return
+                continue
             va = _unit([r[6] for r in a], kind)
             vb = va if one == two else _unit([r[6] for r in b], kind)
             near = va @ vb.T >= threshold
-            na, nb = np.array([r[5] for r in a], np.int64), np.array([r[5] for r in b], np.int64)
             if one == two:
                 np.fill_diagonal(near, False)
-                ids, sums, different = [r[4] for r in a], near @ nb, near.sum(1)
-            else:
-                ids = [r[4] for r in a] + [r[4] for r in b]
-                sums, different = np.concatenate([near @ nb, near.T @ na]), np.concatenate([near.sum(1), near.sum(0)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums), pa.array(different)], ["cid", "links", "near"])
+            na, nb = np.array([r[5] for r in a], np.int64), np.array([r[5] for r in b], np.int64)
+            for side, sums, different in ((a, near @ nb, near.sum(1)), (b, near.T @ na, near.sum(0)))[: 1 if one == two else 2]:
+                keep = np.array([r[7] for r in side])
+                yield pa.RecordBatch.from_arrays([pa.array([r[4] for r in side if r[7]], ids), pa.array(sums[keep], pa.int64()), pa.array(different[keep], pa.int64())], ["cid", "links", "near"])
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if left and left[0][:3] != row[:3]:
-                    yield from links(left)
-                    left = []
-                left.append(row)
-        if left:
-            yield from links(left)
+    from pyspark.sql.pandas.types import to_arrow_type
 
+    ids = to_arrow_type(packed.schema["cid"].dataType)
     schema = T.StructType([packed.schema["cid"], T.StructField("links", T.LongType()), T.StructField("near", T.LongType())])
     return spread.mapInArrow(count, schema).groupBy("cid").agg(F.sum("links").alias("links"), F.sum("near").alias("near"))
 
 
-def audit(links: DataFrame, groups: DataFrame, packed: DataFrame, kind: str, threshold: float, queries: int) -> float:
-    """The lesser recall of vectors in large groups and of all others, as ``links`` counts their true links.
+def audit(near: DataFrame, asked: DataFrame, packed: DataFrame, kind: str, threshold: float, k: int, queries: int) -> float:
+    """The recall of a graph's links: the lesser one of vectors with ``k`` links or more and of others.
 
-    ``queries`` vectors each of large groups (more than ``BLOCK`` members), of small groups and of
-    lone vectors, chosen by a hash of their id, are compared with all vectors, run by run. Every
-    vector that has links weighs the same. Lone vectors that have some are counted as missed, in
-    proportion to how many lone vectors there are.
+    ``near`` has ``cid, near``, how many links the graph gives a vector that has some; ``asked`` are the
+    vectors whose lists could hold more. Of these, ``queries`` vectors each of dense, sparse and lone ones, chosen by a
+    hash of their id, are compared with all vectors, run by run. Every vector that has links weighs the
+    same. Lone vectors that have some are counted as missed, in proportion to how many there are.
     """
-    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
-    kept = links.join(groups, F.col("cid") == F.col("node")).join(sizes, "component").select("cid", "near", F.when(F.col("near") == 0, "lone").when(F.col("members") > BLOCK, "large").otherwise("small").alias("among"))
-    every = packed.select("cid").join(kept, "cid", "left").select("cid", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("among", F.lit("lone")).alias("among"))
-    every = materialize(every, "audited")
+    among = F.when(F.col("near") == 0, "lone").when(F.col("near") >= k, "dense").otherwise("sparse")
+    every = materialize(asked.select("cid").join(near, "cid", "left").select("cid", F.coalesce("near", F.lit(0)).alias("near")).withColumn("among", among), "audited")
     there = {r["among"]: r["count"] for r in every.groupBy("among").count().collect()}
     picks = None
-    for among in sorted(there):
-        some = every.where(F.col("among") == among).orderBy(F.xxhash64("cid", F.lit(1)), "cid").limit(queries)
+    for kind_of in sorted(there):
+        some = every.where(F.col("among") == kind_of).orderBy(F.xxhash64("cid", F.lit(1)), "cid").limit(queries)
         picks = some if picks is None else picks.unionByName(some)
     if picks is None:
         return 1.0
     picks = materialize(picks, "queries")
-    chosen = packed.join(picks, "cid", "left_semi").collect()
     by_size: dict = {}
-    for r in chosen:
+    for r in packed.join(picks, "cid", "left_semi").collect():
         by_size.setdefault(r["size"], []).append(r)
     sent = {size: ([r["cid"] for r in rows], _unit([bytes(r["vec"]) for r in rows], kind)) for size, rows in by_size.items()}
 
@@ -403,28 +394,34 @@ def audit(links: DataFrame, groups: DataFrame, packed: DataFrame, kind: str, thr
     real = packed.mapInArrow(true_links, T.StructType([packed.schema["cid"], T.StructField("real", T.LongType())])).groupBy("cid").agg(F.sum("real").alias("real"))
     share = F.when(F.col("real") > 0, F.least("near", "real") / F.col("real"))
     rated = {r["among"]: r for r in picks.join(real, "cid").groupBy("among").agg(F.avg(share).alias("share"), F.avg((F.col("real") > 0).cast("int")).alias("linked")).collect()}
-    linked = {among: there[among] * (r["linked"] if among == "lone" else 1) for among, r in rated.items()}
-    had = {among: linked[among] * (r["share"] or 0.0) for among, r in rated.items()}
-    few = linked.get("small", 0) + linked.get("lone", 0)
-    return min(had["large"] / linked["large"] if "large" in had else 1.0, (had.get("small", 0) + had.get("lone", 0)) / few if few else 1.0)
+    linked = {a: there[a] * (r["linked"] if a == "lone" else 1) for a, r in rated.items()}
+    had = {a: linked[a] * (r["share"] or 0.0) for a, r in rated.items()}
+    few = linked.get("sparse", 0) + linked.get("lone", 0)
+    return min(had["dense"] / linked["dense"] if "dense" in had else 1.0, (had.get("sparse", 0) + had.get("lone", 0)) / few if few else 1.0)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 8, k_full: int = 32, orders: int = 8, leaf: int = 64, rounds: int = 4, settled: float = 0.01, recall: float = 0.99, queries: int = 512, tries: int = 3, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 8, k_most: int = 512, drawn: int = 24, orders: int = 8, leaf: int = 64, rounds: int = 12, settled: float = 0.01, wanted: float = 0.99, recall: float = 0.9, queries: int = 512, tries: int = 3, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors``.
 
-    Two vectors are linked when their cosine, in double precision, is ``threshold`` or more. Equal
-    vectors take part as one and count in full. There are ``orders`` orders or more, as the number of
-    vectors asks (:func:`spread_of_orders`). The graph is audited on ``queries`` vectors of each kind
-    (:func:`audit`); while its recall stays below ``recall``, the search runs again with other
-    projections, twice as many orders and lists twice as long, at most ``tries`` times in all, and
-    the links of all runs are kept. Lists end, so components that hold vectors with ``k`` links or
-    more are compared exactly for links between such vectors; if the last audit is still below
-    ``recall``, all components and lone vectors are.
+    Two vectors are linked when their cosine, in double precision, is ``threshold`` or more and the
+    neighbour graph holds the pair. Equal vectors take part as one and count in full. There are
+    ``orders`` orders or more, as the number of vectors asks (:func:`spread_of_orders`). A list has
+    ``k`` neighbours and grows while all of them are links. The links of the graph are counted and
+    joined to components. Lists of ``k_most`` links are not followed further: links of such vectors
+    are counted exactly within their component (:func:`_counted`), and components of such vectors are
+    compared exactly for links between them that both lists may have left out (:func:`_bridges`).
+
+    The graph's recall is measured on ``queries`` vectors of each kind (:func:`audit`). While it is
+    below ``wanted`` the search runs again with other projections, twice as many orders and lists
+    twice as long, at most ``tries`` times in all, and the links of all runs are kept. If it then is
+    below ``recall`` that is an error.
 
     ``component_id`` is the smallest id reachable over links, the row's own included, and ``kept``
-    marks the row that bears it. Vectors that are null, empty, zero or not finite link with nothing, and so do
+    marks the row that bears it. Neighbours of the same cosine are taken by the smaller id, which
+    decides no link. Vectors that are null, empty, zero or not finite link with nothing, and so do
     vectors of different lengths. Repeated rows get equal rows; rows that share an id count as one
-    vector; rows without an id link with nothing and are not kept. An empty table gives no rows.
+    vector, the smallest; rows without an id link with nothing and are not kept. Other columns are not
+    read, whatever their names. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     element = vectors.schema[vector_col].dataType.elementType
@@ -437,23 +434,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 8, k_f
     packed = materialize(classes.select("cid", "vector").repartition(parts, "cid").mapInArrow(_packed(kind), packed_type), "packed")
     signs, needed = spread_of_orders(packed.count(), threshold, leaf)
     orders = max(orders, needed)
-    pairs = full = None
+    pairs = None
     for i in range(tries):
-        graph = neighbour_graph(packed, kind, threshold, k << i, k_full << i, orders << i, signs, leaf, rounds, settled, parts, seed + i)
+        graph = neighbour_graph(packed, kind, threshold, k << i, max(k_most, k << i), drawn, orders << i, signs, leaf, rounds, settled, parts, seed + i)
         found = graph.where(F.col("sim") >= threshold).select("src", "dst")
-        pairs = found if pairs is None else pairs.unionByName(found)
-        # a link that was met and left out of both lists has k or more links in each of them
-        some = found.groupBy("src").count().where(F.col("count") >= k << i).select("src")
-        full = some if full is None else full.unionByName(some)
-        groups = materialize(connected_components(pairs, "src", "dst"), "groups")
-        groups = _joined(groups, groups.join(full, F.col("node") == F.col("src"), "left_semi"), packed, kind, threshold, parts)
-        links = materialize(_counted(groups, packed, sizes, kind, threshold, parts), "links")
-        if audit(links, groups, packed, kind, threshold, queries) >= recall:
+        both = found.unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        pairs = materialize((both if pairs is None else both.unionByName(pairs)).distinct(), "pairs")
+        near = materialize(pairs.join(sizes, F.col("dst") == F.col("cid")).groupBy("src").agg(F.count("*").alias("near"), F.sum("n").alias("links")).withColumnRenamed("src", "cid"), "near")
+        # lists of the last run that are as long as a list may be
+        full = materialize(found.groupBy(F.col("src").alias("cid")).count().where(F.col("count") >= max(k_most, k << i)).select("cid"), "full")
+        reached = audit(near, packed.join(full, "cid", "left_anti"), packed, kind, threshold, k, queries)
+        if reached >= wanted:
             break
-    else:
-        every = packed.select(F.col("cid").alias("node")).join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        groups = _joined(groups, materialize(every, "every"), packed, kind, threshold, parts)
-        links = materialize(_counted(groups, packed, sizes, kind, threshold, parts), "links")
+    if reached < recall:
+        raise ValueError(f"the graph holds {reached:.3f} of the links, less than {recall}, after {tries} searches")
+    groups = materialize(connected_components(pairs, "src", "dst"), "groups")
+    links = near.select("cid", "links")
+    if not full.isEmpty():
+        groups = _joined(groups, groups.join(full, F.col("node") == F.col("cid"), "left_semi"), packed, kind, threshold, parts)
+        exact = materialize(_counted(groups, full, packed, sizes, kind, threshold, parts), "exact")
+        links = links.join(full, "cid", "left_anti").unionByName(exact.select("cid", "links"))
     least = sizes.join(groups, F.col("cid") == F.col("node"), "left").join(links, "cid", "left")
     least = least.select("cid", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
     members = raw.join(classes, "vector").select("vec_id", "cid").join(least, "cid").select(F.col("vec_id").alias("id"), "n_links", "component_id")

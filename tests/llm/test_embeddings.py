@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from photolake.llm import nn_descent
 from tests.llm import brute
@@ -17,7 +18,7 @@ def graph(rows, threshold=0.95):
 
 def found(spark, rows, **options):
     df = spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v]) for i, v in rows], SCHEMA)
-    out = nn_descent.near_duplicates(df, orders=4, rounds=2, **options).collect()
+    out = nn_descent.near_duplicates(df, orders=4, **options).collect()
     assert all(r.kept == (r.vec_id == r.component_id) for r in out)
     return {r.vec_id: (r.n_links, r.component_id) for r in out}
 
@@ -65,9 +66,35 @@ def test_two_dense_halves_of_one_group_are_joined(spark):
     assert set(found(spark, rows).values()) == {(399, 0)}
 
 
-def test_what_the_last_audit_misses_is_compared_in_full(spark):
-    rows = clouds(150, 8)
-    assert found(spark, rows, recall=2.0, tries=1, k=1, k_full=1) == graph(rows)
+def test_two_halves_whose_lists_all_end_are_counted_exactly(spark):
+    rng = np.random.default_rng(6)
+    sides = [np.array([1.0] + [0.0] * 15), np.array([1.0, 0.25] + [0.0] * 14)]
+    rows = [(i, (sides[i % 2] + rng.normal(size=16) * 0.004).tolist()) for i in range(300)]
+    assert set(found(spark, rows, k_most=16).values()) == {(299, 0)}
+
+
+def test_links_of_a_dense_group_come_from_the_graph(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, (np.eye(16)[0] + rng.normal(size=16) * 0.02).tolist()) for i in range(400)]
+    seen = []
+    audit = nn_descent.audit
+    monkeypatch.setattr(nn_descent, "audit", lambda *a: seen.append(audit(*a)) or seen[-1])
+    monkeypatch.setattr(nn_descent, "_counted", None)
+    got = nn_descent.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sum(r.n_links for r in got) >= 0.9 * 400 * 399 and max(r.n_links for r in got) <= 399
+    assert {r.component_id for r in got} == {0} and seen[-1] >= 0.9
+
+
+def test_too_low_a_recall_is_an_error(spark):
+    with pytest.raises(ValueError, match="the graph holds"):
+        found(spark, clouds(150, 8), recall=2.0, wanted=2.0, tries=1)
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(1, [1e200, 2e200, -1e200]), (2, [1.0, 2.0, -1.0]), (3, [1e-200, 2e-200, -1e-200]), (4, [1.0, -2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_duplicates(df, orders=2, rounds=1).collect()}
+    assert out == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
 
 
 def hot_and_pairs(hot, pairs, dim=32):
@@ -89,13 +116,10 @@ def test_lone_pairs_are_found_beside_a_hot_group(spark):
 def test_the_audit_sees_lone_pairs_beside_a_hot_group(spark):
     rows = hot_and_pairs(300, 60)
     packed = spark.createDataFrame([(i, 32, np.array(v, "<f4").tobytes()) for i, v in rows], "cid long, size int, vec binary")
-    groups = spark.createDataFrame([(i, 0) for i in range(300)], "node long, component long")
-    links = spark.createDataFrame([(i, 299, 299) for i in range(300)], "cid long, links long, near long")
-    assert nn_descent.audit(links, groups, packed, "<f4", 0.95, 512) == 0
-    half = [(i, 300 + (i - 300) // 2 * 2) for i in range(300, 360)]
-    groups = groups.unionByName(spark.createDataFrame(half, groups.schema))
-    links = links.unionByName(spark.createDataFrame([(i, 1, 1) for i, _ in half], links.schema))
-    assert abs(nn_descent.audit(links, groups, packed, "<f4", 0.95, 512) - 0.5) < 0.01
+    near = spark.createDataFrame([(i, 299) for i in range(300)], "cid long, near long")
+    assert nn_descent.audit(near, packed, packed, "<f4", 0.95, 8, 512) == 0
+    near = near.unionByName(spark.createDataFrame([(i, 1) for i in range(300, 360)], near.schema))
+    assert abs(nn_descent.audit(near, packed, packed, "<f4", 0.95, 8, 512) - 0.5) < 0.01
 
 
 def test_orders_follow_the_number_of_vectors():
