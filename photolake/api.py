@@ -4,22 +4,30 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import Future
 
+from pyspark import InheritableThread
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from photolake import schema as S
 from photolake.config import Config
+from photolake.errors import NotFound, StorageFailure
 from photolake.functions import grading, images
 from photolake.operators import clustering, diff, enrichment, export, manual, models, people, views
 from photolake.sources import photos as sources
 from photolake.sources import projects, sinks
-from photolake.storage import materialize
+from photolake.storage import exists, materialize
 
+#: Rows that a run adds part by part, until they are taken over into the tables at its end.
+GRADES = "path string, content_hash string, new_grade string, new_score float, new_sharpness float, new_reason string, now long"
+SEARCHED = "path string, content_hash string, now long"
+FOUND = T.StructType([*S.FACES, T.StructField("content_hash", T.StringType())])
 
-class NotFound(LookupError):
-    """No project, photo or copy bears the name that was asked for."""
+Report = Callable[[str, DataFrame], None]
 
 
 class Library:
@@ -44,6 +52,8 @@ class Library:
 
     def import_folder(self, folder: str, name: str | None = None) -> str:
         """A new project of a folder's images; the same folder may be imported again."""
+        if not exists(self.spark, folder, folder=True):
+            raise NotFound(folder)
         files = sources.scanned(self.spark, folder, self.config)
         project = str(uuid.uuid4())
         self._save_photos(self._as_photos(diff.as_new_photos(files), project), project)
@@ -52,10 +62,12 @@ class Library:
         return project
 
     def open_project(self, project: str) -> int:
-        """Take over what changed in the project's folder; how many photos are new."""
+        """Take over what changed in the project's folder; how many photos are new, none if it is gone."""
         folder = self.get_project(project).first()["source_dir"]
+        if not exists(self.spark, folder, folder=True):
+            return 0
         files = sources.scanned(self.spark, folder, self.config)
-        stored, faces = self._stored(project), self.faces(project)
+        stored, faces = self._stored(project), self._stored_faces(project)
         changes = diff.changed(stored, files)
         new = diff.new_files(files, stored).count()
         if new or not changes.isEmpty():
@@ -69,7 +81,9 @@ class Library:
         return manual.with_manual_grades(self._stored(project), manual.latest_edits(edits))
 
     def faces(self, project: str) -> DataFrame:
-        return self.store.read("faces", project, S.FACES)
+        """All faces, with the place that their photo has now; a rescan may have moved it."""
+        now = self._stored(project).select("path", "photo_ord")
+        return self._stored_faces(project).drop("photo_ord").join(now, "path").select(*S.FACES.names)
 
     def clusters(self, project: str) -> DataFrame:
         """People, groups and landscapes as they are now."""
@@ -77,6 +91,9 @@ class Library:
         names = self.store.read_all("names", projects.NAMES).where(F.col("project_id") == project)
         return manual.renamed_clusters(found, names.groupBy("cluster_id").agg(F.max_by("new_label", "version").alias("new_label")))
 
+    def has_clusters(self, project: str) -> bool:
+        return not self.clusters(project).isEmpty()
+
     def view(self, project: str, cluster_id: int | None = None) -> DataFrame:
         return views.of_person(self.photos(project), self._flat_faces(project), cluster_id)
 
@@ -94,56 +111,163 @@ class Library:
     def check_models(self) -> bool:
         return models.available(*self.models)
 
-    def start_enrichment(self, project: str, report: Callable[[str, DataFrame], None] | None = None, now: int | None = None) -> DataFrame:
-        """Grade what has no grade, find faces where none were looked for, and group them; the progress afterwards."""
+    def start_enrichment(self, project: str, report: Report | None = None, now: int | None = None) -> DataFrame:
+        """Grade what has no grade, find faces where none were looked for, and group them; the progress afterwards.
+
+        Photos are taken in parts of ``config.part_photos``, and what came of each part is kept at once,
+        so a run that fails goes on from there. ``report`` is told ``photo_graded`` with ``path, grade,
+        grade_source`` of each part, ``grading`` and ``faces`` with the progress before and after these
+        stages, and ``complete`` at the end, also of a run that fails.
+        """
         now = int(time.time()) if now is None else now
-        folder = self.get_project(project).first()["source_dir"]
-        told = report or (lambda stage, progress: None)
+        self.get_project(project)
+        told = report or (lambda stage, rows: None)
         try:
-            stored = self.photos(project)
-            waiting = stored.where(grading.needs_grading(F.col("graded_at"), F.col("grade_source"))).select("path")
-            if not waiting.isEmpty():
-                pixels = sources.decoded(self.spark, folder).join(waiting, "path", "left_semi")
-                grades = enrichment.graded(images.measured(pixels, self.config), now, self.config)
-                self._save_photos(enrichment.with_grades(self._stored(project), grades), project)
-                told("grading", views.progress(self._stored(project)))
+            self._take_over(project)
+            self._grade(project, now, told)
             if self.check_models():
-                self._find_faces(project, folder, now)
-                told("faces", views.progress(self._stored(project)))
+                self._find_faces(project, now, told)
         finally:
             told("complete", views.progress(self._stored(project)))
         return views.progress(self.photos(project))
 
-    def _find_faces(self, project: str, folder: str, now: int) -> None:
+    def enrich_in_background(self, project: str, report: Report | None = None, now: int | None = None) -> Future:
+        """Make the small copies, then run :meth:`start_enrichment`, without keeping the caller waiting."""
+        done: Future = Future()
+
+        def run() -> None:
+            try:
+                self.generate_thumbnails(project, report)
+                done.set_result(self.start_enrichment(project, report, now))
+            except BaseException as x:  # handed to whoever asks for the result
+                done.set_exception(x)
+
+        InheritableThread(target=run, daemon=True).start()
+        return done
+
+    def polled(self, project: str, seconds: float | None = None) -> Iterator[DataFrame]:
+        """Photos that changed since the last look, all at first, until no photo waits for a stage.
+
+        A photo changed if its grade, the number of its faces or one of its times did. A look that fails
+        because a table is being replaced is passed over.
+        """
+        seconds, held = self.config.poll_seconds if seconds is None else seconds, None
+        while True:
+            try:
+                seen = materialize(views.with_face_counts(self.photos(project), self._stored_faces(project)), "seen")
+            except PySparkException:
+                time.sleep(seconds)
+                continue
+            yield seen if held is None else diff.updated(held, seen, "grade", "n_faces", "graded_at", "faces_detected_at")
+            if views.progress(seen).first()["stage"] == "complete":
+                return
+            held = seen
+            time.sleep(seconds)
+
+    def _parts(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """``rows`` with a ``path`` in parts of about ``config.part_photos``, by a hash of the path."""
+        n = -(-rows.count() // self.config.part_photos)
+        for i in range(n):
+            yield rows.where(F.pmod(F.xxhash64("path"), F.lit(n)) == i)
+
+    def _pixels(self, part: DataFrame) -> DataFrame | None:
+        """The decoded pictures of a part, whose size is bounded; no other file is read."""
+        paths = [r["path"] for r in part.select("path").collect()]
+        return sources.decoded(self.spark, paths) if paths else None
+
+    def _take_over(self, project: str) -> None:
+        """Bring what runs have added into the tables of photos and faces."""
+        grades = self.store.read_all("grades", GRADES, project)
+        searched = self.store.read_all("searched", SEARCHED, project)
+        if grades.isEmpty() and searched.isEmpty():
+            return
         stored = self._stored(project)
-        waiting = stored.where(grading.needs_detection(F.col("faces_detected_at"))).select("path", "photo_ord")
+        here = stored.select("path", "content_hash")
+        grades, searched = (x.join(here, ["path", "content_hash"], "left_semi") for x in (grades, searched))
+        seen = searched.groupBy("path").agg(F.min("now").alias("seen"))
+        if not seen.isEmpty():
+            found = self.store.read_all("found", FOUND, project).join(here, ["path", "content_hash"], "left_semi")
+            # a part that was run again has added its faces twice
+            found = found.select(*S.FACES.names).dropDuplicates(["path", "face_ord"])
+            faces = self._stored_faces(project).join(seen, "path", "left_anti").unionByName(found)
+            self.regroup(project, self.store.write(faces, "faces", project))
+        graded = enrichment.with_grades(stored, grades.drop("content_hash").dropDuplicates(["path"]).withColumn("error", F.lit(None)))
+        both = graded.join(seen, "path", "left").withColumn("faces_detected_at", F.coalesce("faces_detected_at", "seen"))
+        self._save_photos(both, project)
+        for table in ("grades", "searched", "found"):
+            self.store.drop(table, project)
+
+    def _grade(self, project: str, now: int, told: Report) -> None:
+        """Grade what waits, by its thumbnail where there is one that opens, else by the file itself."""
+        waiting = materialize(self.photos(project).where(grading.needs_grading(F.col("graded_at"), F.col("grade_source"))).select("path", "content_hash"), "waiting")
         if waiting.isEmpty():
             return
-        pixels = sources.decoded(self.spark, folder).join(waiting, "path", "left_semi")
-        # the detector runs once; the embedder and the table both read what it found
-        found = materialize(models.found_faces(models.raw_detections(pixels, self.models[0], self.config), self.config), "found")
-        vectors = models.embedded(pixels, found, self.models[1]).where("error is null")
-        box = F.struct(*(F.col(c).cast("float").alias(c) for c in ("x1", "y1", "x2", "y2")))
-        rows = found.join(vectors, ["path", "face_ord"]).join(waiting, "path")
-        new = rows.select(F.lit(project).alias("project_id"), "path", "photo_ord", F.col("face_ord").cast("int").alias("face_ord"), box.alias("bbox"), F.col("confidence").cast("float").alias("confidence"), "embedding", F.lit(None).cast("long").alias("cluster_id"))
-        every = self.store.write(self.faces(project).join(waiting.select("path"), "path", "left_anti").select(*S.FACES.names).unionByName(new), "faces", project)
-        self.regroup(project, every)
-        seen = F.when(F.col("faces_detected_at").isNull(), F.lit(now).cast("long")).otherwise(F.col("faces_detected_at"))
-        self._save_photos(stored.withColumn("faces_detected_at", seen), project)
+
+        def keep(measures: DataFrame, part: DataFrame) -> None:
+            grades = enrichment.graded(measures, now, self.config).join(part, "path").select(*(c.split()[0] for c in GRADES.split(", ")))
+            grades = materialize(grades, "graded")
+            self.store.append(grades, "grades", project)
+            told("photo_graded", grades.where("new_grade is not null").select("path", F.col("new_grade").alias("grade"), F.lit(S.AUTO).alias("grade_source")))
+
+        told("grading", views.progress(self._stored(project)))
+        small = self.store.read_all("copies", sinks.COPIES, project).where("kind = 'thumbnail' and error is null")
+        small = small.join(waiting, ["path", "content_hash"], "left_semi").dropDuplicates(["path", "content_hash"])
+        measured = materialize(images.measured(sinks.opened(small), self.config).where("error is null"), "measured")
+        if not measured.isEmpty():
+            keep(measured, waiting)
+        for part in self._parts(waiting.join(measured.select("path"), "path", "left_anti")):
+            pixels = self._pixels(part)
+            if pixels is not None:
+                keep(images.measured(pixels, self.config), part)
+        self._take_over(project)
+        told("grading", views.progress(self._stored(project)))
+
+    def _find_faces(self, project: str, now: int, told: Report) -> None:
+        """Look for faces where none were looked for, and group all of them anew."""
+        waiting = materialize(self._stored(project).where(grading.needs_detection(F.col("faces_detected_at"))).select("path", "content_hash", "photo_ord"), "waiting")
+        told("faces", views.progress(self._stored(project)))
+        for part in self._parts(waiting):
+            pixels = self._pixels(part)
+            if pixels is None:
+                continue
+            # the detector runs once; the embedder and the table both read what it found
+            found = materialize(models.found_faces(models.raw_detections(pixels, self.models[0], self.config), self.config), "found")
+            vectors = models.embedded(pixels, found, self.models[1]).where("error is null")
+            box = F.struct(*(F.col(c).cast("float").alias(c) for c in ("x1", "y1", "x2", "y2")))
+            rows = found.join(vectors, ["path", "face_ord"]).join(part, "path")
+            new = rows.select(F.lit(project).alias("project_id"), "path", "photo_ord", F.col("face_ord").cast("int").alias("face_ord"), box.alias("bbox"), F.col("confidence").cast("float").alias("confidence"), "embedding", F.lit(None).cast("long").alias("cluster_id"), "content_hash")
+            self.store.append(new, "found", project)
+            self.store.append(part.select("path", "content_hash", F.lit(now).cast("long").alias("now")), "searched", project)
+        self._take_over(project)
+        told("faces", views.progress(self._stored(project)))
 
     def regroup(self, project: str, faces: DataFrame | None = None) -> None:
-        """Cluster all faces of a project anew."""
-        faces = self.faces(project) if faces is None else faces
+        """Cluster all faces of a project anew, in the order of photos as they stand now."""
+        now = self._stored(project).select("path", "photo_ord")
+        faces = (self._stored_faces(project) if faces is None else faces).drop("photo_ord").join(now, "path")
+        # a photo's place is its own, and a photo has far fewer faces
         keyed = faces.withColumn("ord", F.col("photo_ord") * 1_000_000 + F.col("face_ord"))
         labels = clustering.dbscan(keyed.where("embedding is not null").select("ord", "embedding"), self.config.cluster_eps, self.config.cluster_min_samples)
-        self.store.write(keyed.drop("cluster_id").join(labels.select("ord", "cluster_id"), "ord", "left").select(*S.FACES.names), "faces", project)
+        of = keyed.select("path", "face_ord", "ord").join(labels.select("ord", "cluster_id"), "ord").drop("ord")
+        self.store.write(faces.drop("cluster_id").join(of, ["path", "face_ord"], "left").select(*S.FACES.names), "faces", project)
 
-    def generate_thumbnails(self, project: str) -> int:
-        """Make the copies that are missing; for how many photos there are copies now."""
-        folder = self.get_project(project).first()["source_dir"]
+    def generate_thumbnails(self, project: str, report: Report | None = None) -> int:
+        """Make the copies that are missing, part by part; for how many photos there are copies now.
+
+        ``report`` is told ``thumbnails`` with ``done, total`` after each part.
+        """
+        self.get_project(project)
         stored = self._stored(project)
-        missing = sinks.without_copies(stored, self.store.read_all("copies", sinks.COPIES, project)).select("path", "content_hash")
-        self.store.append(sinks.small_copies(sources.decoded(self.spark, folder).join(missing, "path"), self.config), "copies", project)
+        missing = materialize(sinks.without_copies(stored, self.store.read_all("copies", sinks.COPIES, project)).select("path", "content_hash"), "missing")
+        total, left = stored.count(), missing.count()
+        done = total - left
+        for part in self._parts(missing):
+            pixels, n = self._pixels(part), part.count()
+            if pixels is not None:
+                self.store.append(sinks.small_copies(pixels.join(part, "path"), self.config), "copies", project)
+            done += n
+            if report:
+                report("thumbnails", self._told_so_far(done, total))
         return self.store.read_all("copies", sinks.COPIES, project).where("error is null and kind = 'thumbnail'").join(stored, ["path", "content_hash"], "left_semi").select("path").distinct().count()
 
     def get_thumbnail(self, project: str, filename: str, kind: str = "thumbnail") -> bytes:
@@ -153,16 +277,30 @@ class Library:
             raise NotFound(filename)
         return bytes(row["png"])
 
-    def export_photos(self, project: str, folder: str, which: str = "All", by_person: bool = False, everyone: bool = False, trash_bad: bool = False) -> int:
+    def _told_so_far(self, done: int, total: int) -> DataFrame:
+        return self.spark.range(1).select(F.lit(done).cast("long").alias("done"), F.lit(total).cast("long").alias("total"))
+
+    def can_export(self, project: str, which: str = "All") -> bool:
+        """Whether the grade filter passes any photo."""
+        return not self.photos(project).where(grading.exported(F.col("grade"), which)).isEmpty()
+
+    def export_photos(self, project: str, folder: str, which: str = "All", by_person: bool = False, everyone: bool = False, trash_bad: bool = False, report: Report | None = None) -> int:
         """Copy the chosen photos, then move bad ones to the trash folder; how many were chosen.
 
-        A file that cannot be copied is an error; one that cannot be moved is not.
+        ``report`` is told ``export`` with ``done, total`` after each part. A file that cannot be copied
+        is an error, and no further part is copied; one that cannot be moved is not.
         """
         chosen, faces = self.photos(project), self._flat_faces(project)
         plan = export.plan_by_person(chosen, faces, people.people(faces), which, folder, everyone) if by_person else export.flat_plan(chosen, which, folder)
-        total, failed = sinks.apply_plan(plan).agg(F.count("*"), F.max(F.when(~F.col("done"), F.col("error")))).first()
-        if failed is not None:
-            raise OSError(failed)
+        plan = materialize(plan, "plan")
+        total, done = plan.count(), 0
+        for part in self._parts(plan):
+            copied, failed = sinks.apply_plan(part).agg(F.count_if("done"), F.max(F.when(~F.col("done"), F.col("error")))).first()
+            if failed is not None:
+                raise StorageFailure(failed.removeprefix(StorageFailure.prefix))
+            done += copied
+            if report:
+                report("export", self._told_so_far(done, total))
         if trash_bad:
             sinks.apply_plan(export.trash_plan(chosen), move=True).agg(F.count_if("done")).first()
         return total
@@ -178,6 +316,9 @@ class Library:
     def _stored(self, project: str) -> DataFrame:
         return self.store.read("photos", project, S.PHOTOS)
 
+    def _stored_faces(self, project: str) -> DataFrame:
+        return self.store.read("faces", project, S.FACES)
+
     def _flat_faces(self, project: str) -> DataFrame:
         return self.faces(project).select("*", *(F.col(f"bbox.{c}").cast("double").alias(c) for c in ("x1", "y1", "x2", "y2"))).drop("bbox")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photolake.config import Config
+from photolake.errors import ImageFailure, told
 
 MEASURES = "path string, sharpness double, bright double, dark double, contrast double, saturation double, error string"
 
@@ -31,19 +32,42 @@ def nearest(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return image[rows][:, columns]
 
 
-def _weights(old: int, new: int) -> np.ndarray:
-    """One row for each new pixel: how much it takes of each old one, by a triangle as wide as the scale."""
+def triangle(x: np.ndarray) -> np.ndarray:
+    return np.maximum(1 - np.abs(x), 0)
+
+
+def lanczos3(x: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0)
+
+
+def _along(image: np.ndarray, new: int, weight, reach: int) -> np.ndarray:
+    """The rows of an image at another number: each new one a weighted sum of the old ones within reach."""
+    old = len(image)
     scale = max(old / new, 1.0)
-    centre = (np.arange(new)[:, None] + 0.5) * old / new - 0.5
-    w = np.maximum(1 - np.abs(np.arange(old)[None] - centre) / scale, 0)
-    return w / w.sum(1, keepdims=True)
+    centre = (np.arange(new)[:, None] + 0.5) * old / new
+    at = np.floor(centre - reach * scale).astype(np.int64) + np.arange(int(np.ceil(2 * reach * scale)) + 2)
+    w = weight((at + 0.5 - centre) / scale) * ((at >= 0) & (at < old))
+    w /= w.sum(1, keepdims=True)
+    out, at = np.zeros((new, *image.shape[1:])), np.clip(at, 0, old - 1)
+    for t in np.flatnonzero(w.any(0)):
+        out += w[:, t].reshape(-1, *[1] * (image.ndim - 1)) * image[at[:, t]]
+    return out
+
+
+def resized(image: np.ndarray, height: int, width: int, weight, reach: int) -> np.ndarray:
+    tall = _along(image.astype(np.float64), height, weight, reach)
+    wide = np.moveaxis(_along(np.moveaxis(tall, 1, 0), width, weight, reach), 0, 1)
+    return np.clip(np.rint(wide), 0, 255).astype(np.uint8)
 
 
 def smooth(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """The image at another size by triangle weights along both sides."""
-    tall = np.tensordot(_weights(image.shape[0], height), image.astype(np.float64), 1)
-    wide = np.moveaxis(np.tensordot(_weights(image.shape[1], width), np.moveaxis(tall, 1, 0), 1), 0, 1)
-    return np.clip(np.rint(wide), 0, 255).astype(np.uint8)
+    return resized(image, height, width, triangle, 1)
+
+
+def lanczos(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The image at another size by windowed sines of three lobes along both sides."""
+    return resized(image, height, width, lanczos3, 3)
 
 
 def fitted(width: int, height: int, side: int) -> tuple[int, int]:
@@ -82,9 +106,10 @@ def measured(images: DataFrame, config: Config = Config()) -> DataFrame:
                         rgb = smooth(rgb, high, wide)
                     out.append((row["path"], *measure(rgb, side), None))
                 except (ValueError, TypeError, IndexError) as x:
-                    out.append((row["path"], None, None, None, None, None, f"not decoded: {x}"))
+                    out.append((row["path"], None, None, None, None, None, told(ImageFailure, x)))
             types = [pa.string(), *[pa.float64()] * 5, pa.string()]
             names = [c.split()[0] for c in MEASURES.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+            columns = list(zip(*out)) if out else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
 
     return images.select("path", "width", "height", "channels", "pixels").where(F.col("path").isNotNull()).mapInArrow(rate, MEASURES)

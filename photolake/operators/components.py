@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from photolake.storage import materialize
+from photolake.storage import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Returns ``node, component`` with the smallest id of the component, one row for each node that a
     link names. Self links and repeated links change nothing; links with a null end are left out.
     Each round costs a few shuffles of the links, and the rounds grow with the logarithm of the
-    longest path. Every round is cut with a written table. No link reaches the driver.
+    longest path. Every round is cut with a written table, which goes when the next one is there. No
+    link reaches the driver.
     """
     nodes = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     alone = nodes.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
@@ -39,7 +40,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # what tells whether the round changed anything is summed up while its links are written
         told = Observation()
         summed = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        before = links
         links = materialize(_small_star(_large_star(links)).observe(told, F.count("*").alias("n"), summed.alias("sum")), "stars")
+        discard(before)
         if told.get == seen:
             break
         seen = told.get

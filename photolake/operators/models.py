@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from photolake.config import Config
+from photolake.errors import InferenceFailure, told
 from photolake.functions.geometry import unletterbox
 from photolake.functions.images import rgb_of, smooth
 from photolake.operators import detection
@@ -83,8 +84,8 @@ def raw_detections(images: DataFrame, model: str, config: Config = Config(), run
                     for stride, (scores, distances, points) in zip(STRIDES, split_outputs(infer(x))):
                         for i in np.flatnonzero(scores >= floor - 1e-6).tolist():
                             out.append((*size, stride, i, float(scores[i]), *map(float, distances[i]), points[i].astype(float).tolist(), scale, float(left), float(top), None))
-                except (ValueError, TypeError, IndexError) as x:
-                    out.append((*size, *[None] * 11, f"not searched: {x}"))
+                except Exception as x:  # whatever a model raises, other photos are searched
+                    out.append((*size, *[None] * 11, told(InferenceFailure, x)))
             kinds = [pa.string(), *[pa.int32()] * 4, *[pa.float64()] * 5, pa.list_(pa.float64()), *[pa.float64()] * 3, pa.string()]
             columns = list(zip(*out)) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], [c.split()[0] for c in RAW.split(", ")])
@@ -156,8 +157,8 @@ def embedded(images: DataFrame, faces: DataFrame, model: str, run=None) -> DataF
                         v = np.asarray(infer(((square.astype(np.float32) - 127.5) / 127.5).transpose(2, 0, 1)[None])).ravel()
                         norm = float(np.sqrt((v * v).sum()))
                         out.append((row["path"], f["face_ord"], (v / norm if norm > 0 else v).astype(np.float32).tolist(), None))
-                    except (ValueError, TypeError, IndexError) as x:
-                        out.append((row["path"], f["face_ord"], None, f"not embedded: {x}"))
+                    except Exception as x:  # whatever a model raises, other faces are embedded
+                        out.append((row["path"], f["face_ord"], None, told(InferenceFailure, x)))
             kinds = [pa.string(), pa.int32(), pa.list_(pa.float32()), pa.string()]
             columns = list(zip(*out)) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["path", "face_ord", "embedding", "error"])

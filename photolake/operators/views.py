@@ -31,9 +31,10 @@ def by_path(photos: DataFrame, path: str) -> DataFrame:
 
 def at_place(photos: DataFrame, place: int, *by: str) -> DataFrame:
     """The photo at ``place``, counted from 0 in the order of file names."""
-    first = photos.orderBy("filename", "path").limit(place + 1) if not by else photos
+    if not by:
+        return ranked(photos, "filename", "path", name="_place").where(F.col("_place") == place).drop("_place")
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("filename", "path"))
-    return first.withColumn("_rank", rank).where(F.col("_rank") == place + 1).drop("_rank")
+    return photos.withColumn("_rank", rank).where(F.col("_rank") == place + 1).drop("_rank")
 
 
 def moved(place: Column, step: int, count: Column) -> Column:
@@ -47,6 +48,12 @@ def grade_counts(photos: DataFrame) -> DataFrame:
     return photos.agg(*(F.count_if(F.col("grade") == v).alias(k) for k, v in known.items()), F.count_if(~F.coalesce(F.col("grade").isin(*known.values()), F.lit(False))).alias("ungraded"), F.count("*").alias("total"))
 
 
+def with_face_counts(photos: DataFrame, faces: DataFrame) -> DataFrame:
+    """Photos with ``n_faces``, by which a viewer sees that faces were found."""
+    counts = faces.groupBy("path").agg(F.count("*").alias("n_faces"))
+    return photos.join(counts, "path", "left").withColumn("n_faces", F.coalesce("n_faces", F.lit(0)))
+
+
 def progress(photos: DataFrame) -> DataFrame:
     """How many photos wait for each stage, and the stage that runs."""
     counted = photos.agg(F.count_if(needs_grading(F.col("graded_at"), F.col("grade_source"))).alias("to_grade"), F.count_if(needs_detection(F.col("faces_detected_at"))).alias("to_detect"), F.count("*").alias("total"))

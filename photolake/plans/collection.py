@@ -169,10 +169,12 @@ def grade_edits_changed(spark, sf_dir: str) -> DataFrame:
     return views.changed_values(_edits(spark, sf_dir), "path", "grade", "version").select("path", "before", "grade", "version")
 
 
-@query(over("select n.path, n.grade, n.graded_at from photos n left join stored s on s.path = n.path where s.path is null or s.grade is distinct from n.grade or s.graded_at is distinct from n.graded_at or s.faces_detected_at is distinct from n.faces_detected_at", "photos", "stored"))
+@query(over("select n.path, n.grade, n.graded_at from photos n left join stored s on s.path = n.path left join (select path, count(*) as n_faces from faces group by path) f on f.path = n.path where s.path is null or s.grade is distinct from n.grade or s.graded_at is distinct from n.graded_at or s.faces_detected_at is distinct from n.faces_detected_at or coalesce(n_faces, 0) > 0", "photos", "stored", "faces"))
 def poll_changes(spark, sf_dir: str) -> DataFrame:
     """What a viewer that holds the stored table has to take over from the current one."""
-    return diff.updated(X.stored(spark, sf_dir), X.photos(spark, sf_dir), "grade", "graded_at", "faces_detected_at").select("path", "grade", "graded_at")
+    faces = X.faces(spark, sf_dir)
+    before, now = views.with_face_counts(X.stored(spark, sf_dir), faces.limit(0)), views.with_face_counts(X.photos(spark, sf_dir), faces)
+    return diff.updated(before, now, "grade", "n_faces", "graded_at", "faces_detected_at").select("path", "grade", "graded_at")
 
 
 @query("select c_custkey, c_custkey || case when c_custkey = 1 then ' photo' else ' photos' end as counted, upper(c_name[1]) as letter, case when c_nationkey > 0 then round(c_custkey % 7 * 100.0 / c_nationkey, 6) else 0 end::double as share, case when c_mktsegment like 'BUILD%' or c_mktsegment like 'AUTO%' then 'downloading' else c_mktsegment end as stage from customer")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +26,18 @@ def scanned(spark: SparkSession, folder: str, config: Config = Config()) -> Data
     return files.select("path", basename(F.col("path")).alias("filename"), content_hash(F.col("content"), config.hash_prefix_bytes).alias("content_hash"))
 
 
-def decoded(spark: SparkSession, folder: str) -> DataFrame:
+def _plain(path: str) -> str:
+    """A path whose letters stand for themselves where patterns are read."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def decoded(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """``path, width, height, channels, pixels`` with the bytes of each row in BGR order.
 
     Paths are written as the other readers do, with one slash behind the scheme of local files.
-    Files that cannot be decoded have a width and height of -1.
+    Files that cannot be decoded have a width and height of -1. ``folder`` may be a list of files, of
+    which only these are read.
     """
-    images = spark.read.format("image").load(folder)
+    images = spark.read.format("image").load(folder if isinstance(folder, str) else [_plain(p) for p in folder])
     found = images.select(F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("pixels"))
     return found.where(is_image(F.col("path")))

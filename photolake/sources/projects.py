@@ -55,6 +55,10 @@ class Store:
         """Add rows to a table that is never rewritten, of one project or of all."""
         df.write.mode("append").option("compression", "zstd").parquet(f"{self.root}/{table}/{project}")
 
+    def drop(self, table: str, project: str) -> None:
+        """Remove the rows that were added to a table of a project."""
+        self._fs.delete(self._path(f"{self.root}/{table}/{project}"), True)
+
     def read(self, table: str, project: str, schema: T.StructType | str) -> DataFrame:
         """The newest complete version; no rows where there is none."""
         path = self._complete(table, project)
@@ -80,17 +84,26 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 def documents_as_tables(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Projects, photos and faces of documents; places in lists become numbers."""
     projects = documents.select(F.col("id").alias("project_id"), "name", "source_dir")
-    rows = documents.select(F.col("id").alias("project_id"), F.posexplode("photos").alias("photo_ord", "p"))
+    return projects, *_as_tables(documents.select(F.col("id").alias("project_id"), F.posexplode("photos").alias("photo_ord", "p")))
+
+
+def photo_documents_as_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Photos and faces of what :func:`photo_documents` wrote; lines that are no such document are left out."""
+    rows = lines.select("project_id", "photo_ord", F.from_json("document", PHOTO).alias("p")).where("p.path is not null")
+    return _as_tables(rows)
+
+
+def _as_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     photos = rows.select("project_id", "p.path", "p.filename", F.col("photo_ord").cast("long").alias("photo_ord"), "p.grade", "p.grade_source", "p.aesthetic_score", "p.sharpness_score", "p.grade_reason", "p.content_hash", "p.graded_at", "p.faces_detected_at")
     faces = rows.select("project_id", "p.path", F.col("photo_ord").cast("long").alias("photo_ord"), F.posexplode("p.faces").alias("face_ord", "f"))
     box = F.struct(*(F.get("f.bbox", F.lit(i)).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))))
     cluster = F.col("f.cluster_id").cast("string")
     small = F.when(cluster.isin(*LEGACY_GROUPS), F.lit(S.GROUPS_ID)).when(cluster.isin(*LEGACY_LANDSCAPES), F.lit(S.LANDSCAPES_ID)).otherwise(F.expr("try_cast(f.cluster_id as bigint)"))
-    return projects, photos, faces.select("project_id", "path", "photo_ord", "face_ord", box.alias("bbox"), "f.confidence", "f.embedding", small.cast("long").alias("cluster_id"))
+    return photos, faces.select("project_id", "path", "photo_ord", "face_ord", box.alias("bbox"), "f.confidence", "f.embedding", small.cast("long").alias("cluster_id"))
 
 
 def photo_documents(photos: DataFrame, faces: DataFrame) -> DataFrame:
-    """``project_id, path, document``: each photo with its faces, in order, as one JSON text.
+    """``project_id, photo_ord, path, document``: each photo with its faces, in order, as one JSON text.
 
     The older format holds a whole project in one text; here a project is as many lines as photos, so
     that none is gathered in one row. The detector caps a photo's faces.
@@ -99,4 +112,4 @@ def photo_documents(photos: DataFrame, faces: DataFrame) -> DataFrame:
     of = faces.groupBy("project_id", "path").agg(F.sort_array(F.collect_list(face)).alias("faces"))
     bare = F.transform(F.coalesce("faces", F.array()), lambda f: f.dropFields("face_ord"))
     photo = F.struct("path", "filename", "grade", "grade_source", bare.alias("faces"), "aesthetic_score", "sharpness_score", "grade_reason", "content_hash", "graded_at", "faces_detected_at")
-    return photos.join(of, ["project_id", "path"], "left").select("project_id", "path", F.to_json(photo, {"ignoreNullFields": "false"}).alias("document"))
+    return photos.join(of, ["project_id", "path"], "left").select("project_id", "photo_ord", "path", F.to_json(photo, {"ignoreNullFields": "false"}).alias("document"))

@@ -12,7 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
     It is ``spark.checkpoint.dir`` where the cluster sets it. Otherwise a plain local session gets a
-    temporary folder of its own and a cluster gets a folder in the warehouse.
+    temporary folder of its own and a cluster gets a folder in the warehouse, which then must not be a
+    folder of one machine.
     """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir")
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
             found = "file://" + tempfile.mkdtemp(prefix="photolake-")
         else:
             found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+            if found.startswith(("file:", "/")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -37,6 +40,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, uri: str, folder: bool = False) -> bool:
+    """Whether a file or folder, or only a folder, is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return there.exists(path) and (not folder or there.getFileStatus(path).isDirectory())
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that :func:`materialize` wrote and nothing reads any more."""
+    root = shared_dir(df.sparkSession)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        there = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if there.toUri().getPath().startswith(df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()):
+            there.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 

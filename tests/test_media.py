@@ -200,3 +200,175 @@ def test_photos_of_a_project_are_not_ordered_in_one_task(spark, tmp_path):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "[project_id" not in "".join(line for line in plan.splitlines() if "Window" in line)
     assert "_range" in plan
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def part(field, data):
+    """A field of a protocol buffer: a number, or bytes."""
+    return varint(field << 3) + varint(data) if isinstance(data, int) else varint(field << 3 | 2) + varint(len(data)) + data
+
+
+def tensor(name, *sides):
+    shape = b"".join(part(1, part(1, n)) for n in sides)
+    return part(1, name.encode()) + part(2, part(1, part(1, 1) + part(2, shape)))
+
+
+def onnx_file(path, side):
+    """A model file: the mean of each colour of a square picture of ``side``."""
+    nodes = [part(1, b"x") + part(2, b"m") + part(4, b"GlobalAveragePool"), part(1, b"m") + part(2, b"y") + part(4, b"Flatten")]
+    graph = b"".join(part(1, n) for n in nodes) + part(2, b"g") + part(11, tensor("x", 1, 3, side, side)) + part(12, tensor("y", 1, 3))
+    path.write_bytes(part(1, 8) + part(7, graph) + part(8, part(1, b"") + part(2, 13)))
+    return str(path)
+
+
+def test_real_model_files_and_their_failures(spark, tmp_path):
+    pixels = np.zeros((200, 200, 3), np.uint8) + np.array([40, 90, 200], np.uint8)
+    image = spark.createDataFrame([("p", 200, 200, 3, bytearray(pixels.tobytes()))], "path string, width int, height int, channels int, pixels binary")
+    points = [{"x": 20.0 + 2 * x, "y": 10.0 + 2 * y} for x, y in ((38, 52), (73, 52), (56, 72), (41, 92), (70, 92))]
+    faces = spark.createDataFrame([("p", 0, points)], "path string, face_ord int, keypoints array<struct<x:double,y:double>>")
+    good = models.embedded(image, faces, onnx_file(tmp_path / "good.onnx", 112)).collect()
+    v = (np.array([200, 90, 40]) - 127.5) / 127.5
+    assert good[0].error is None and np.allclose(good[0].embedding, v / np.sqrt((v * v).sum()), atol=1e-4)
+    bad = models.embedded(image, faces, onnx_file(tmp_path / "bad.onnx", 64)).collect()
+    assert bad[0].embedding is None and bad[0].error.startswith("Inference error: ")
+    # a model with other outputs than a detector's, and one with another input
+    for name, side in (("one", 640), ("two", 64)):
+        raw = models.raw_detections(image, onnx_file(tmp_path / f"{name}.onnx", side)).collect()
+        assert len(raw) == 1 and raw[0].error.startswith("Inference error: ")
+
+
+def with_faces(library, spark, project, vectors):
+    from photolake import schema as S
+
+    rows = [(project, r.path, r.photo_ord, 0, (0.0, 0.0, 9.0, 9.0), 0.9, v, None) for r, v in zip(library.photos(project).orderBy("photo_ord").collect(), vectors)]
+    library.store.write(spark.createDataFrame(rows, S.FACES), "faces", project)
+
+
+def test_faces_follow_their_photos_when_an_earlier_file_appears(library, folder, spark):
+    project = library.import_folder(str(folder))
+    with_faces(library, spark, project, ([1.0, 0.0], [0.0, 1.0], [0.99, 0.1]))
+    save(folder / "a0.png", np.full((30, 30, 3), 60))
+    assert library.open_project(project) == 1
+    library.regroup(project)
+    found = {r.path.rsplit("/", 1)[1]: (r.photo_ord, r.cluster_id) for r in library.faces(project).collect()}
+    assert found == {"a.png": (0, 0), "b.PNG": (2, None), "c.png": (3, 0)}
+    assert library.faces(project).count() == 3
+    assert library.has_clusters(project)
+
+
+def test_the_trash_keeps_every_file(library, folder):
+    project = library.import_folder(str(folder))
+    trash = folder / "_trash"
+    trash.mkdir()
+    first = (folder / "c.png").read_bytes()
+    (trash / "c.png").write_bytes(bytes(len(first)))
+    plan = library.photos(project).where("filename = 'c.png'").withColumn("grade", F.lit("Bad"))
+    from photolake.operators.export import trash_plan
+
+    done = sinks.apply_plan(trash_plan(plan), move=True).collect()
+    assert done[0].done and done[0].dest.endswith("/c 2.png")
+    assert (trash / "c.png").read_bytes() == bytes(len(first)) and (trash / "c 2.png").read_bytes() == first
+    assert not (folder / "c.png").exists()
+
+
+def test_a_stale_copy_of_equal_size_is_replaced(spark, tmp_path):
+    (tmp_path / "new.tif").write_bytes(b"new content")
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "new.tif").write_bytes(b"old content")
+    plan = spark.createDataFrame([(f"file:{tmp_path}/new.tif", f"file:{tmp_path}/out/new.tif"), (f"file:{tmp_path}/none.tif", f"file:{tmp_path}/out/none.tif")], "path string, dest string")
+    done = {r.path.rsplit("/", 1)[1]: r for r in sinks.apply_plan(plan).collect()}
+    assert done["new.tif"].done and (tmp_path / "out" / "new.tif").read_bytes() == b"new content"
+    assert not done["none.tif"].done and done["none.tif"].error.startswith("IO error: ")
+    assert (tmp_path / "new.tif").exists() and [p.name for p in (tmp_path / "out").iterdir() if "part" in p.name] == []
+
+
+def test_graded_photos_are_told_one_by_one_and_kept_part_by_part(spark, tmp_path, folder):
+    library = Library(spark, f"file://{tmp_path}/library", Config(part_photos=1))
+    project = library.import_folder(str(folder))
+    told, graded = [], []
+
+    def report(stage, rows):
+        told.append(stage)
+        if stage == "photo_graded":
+            graded.extend((r.path.rsplit("/", 1)[1], r.grade, r.grade_source) for r in rows.collect())
+            if told.count("photo_graded") == 2:
+                raise RuntimeError("the run breaks off")
+
+    with pytest.raises(RuntimeError):
+        library.start_enrichment(project, report, now=5)
+    assert told[-1] == "complete" and graded
+    library.start_enrichment(project, report, now=6)
+    assert sorted(name for name, _, _ in graded) == ["a.png", "b.PNG", "c.png"]
+    times = {r.filename: r.graded_at for r in library.photos(project).collect()}
+    assert 5 in times.values() and set(times.values()) <= {5, 6}
+
+
+def test_thumbnails_serve_for_grading_and_a_run_in_the_background_ends(library, folder):
+    project = library.import_folder(str(folder))
+    told = []
+    done = library.enrich_in_background(project, lambda stage, rows: told.append((stage, rows.first())), now=9)
+    looks = list(library.polled(project, 0.5)) if library.check_models() else []
+    assert looks == [] and done.result(120).first().to_grade == 0
+    assert [s for s, _ in told][0] == "thumbnails" and told[-1][0] == "complete"
+    assert ("thumbnails", (4, 4)) in [(s, tuple(r)) for s, r in told if s == "thumbnails"]
+    assert grades(library, project)["c.png"][2].endswith("Overexposed")
+    picture = np.arange(2700, dtype=np.uint8).reshape(30, 30, 3)
+    assert (sinks.opened_png(sinks.png(picture)) == picture).all()
+
+
+def test_polling_shows_changes_and_stops_by_itself(library, folder, spark):
+    project = library.import_folder(str(folder))
+    looks = library.polled(project, 0)
+    assert next(looks).count() == 4
+    path = library.photos(project).where("filename = 'b.PNG'").first().path
+    library.update_grade(project, path, "Good")
+    assert [r.path for r in next(looks).collect()] == [path]
+    stored = library._stored(project).withColumn("graded_at", F.lit(1).cast("long")).withColumn("faces_detected_at", F.lit(2).cast("long"))
+    library._save_photos(stored, project)
+    assert next(looks).count() == 4
+    assert next(looks, None) is None
+
+
+def test_folders_that_are_not_there(library, folder, tmp_path):
+    with pytest.raises(NotFound, match="Not found: "):
+        library.import_folder(str(tmp_path / "nowhere"))
+    project = library.import_folder(str(folder))
+    folder.rename(tmp_path / "elsewhere")
+    assert library.open_project(project) == 0 and library.photos(project).count() == 4
+    assert not library.has_clusters(project) and library.can_export(project) and not library.can_export(project, "GoodOnly")
+
+
+def test_lines_of_a_project_can_be_read_back(library, folder, spark):
+    project = library.import_folder(str(folder))
+    with_faces(library, spark, project, ([1.0, 0.0], [0.0, 1.0]))
+    lines = projects.photo_documents(library.photos(project), library.faces(project))
+    photos_, faces = projects.photo_documents_as_tables(lines)
+    assert sorted(r.path for r in photos_.collect()) == sorted(r.path for r in library.photos(project).collect())
+    assert [(r.face_ord, r.bbox.x2, r.embedding) for r in faces.orderBy("photo_ord").collect()] == [(0, 9.0, [1.0, 0.0]), (0, 9.0, [0.0, 1.0])]
+
+
+def test_settings_in_sections(tmp_path):
+    import json
+
+    nested = {"detection": {"min_confidence": 0.6, "min_face_size": 40, "nms_threshold": 0.3, "input_size": [320, 320]}, "clustering": {"eps": 0.5, "min_samples": 4}, "grading": {"sharpness_threshold": 50, "exposure_clip_threshold": 0.2, "aesthetic_good_threshold": 4.5}, "thumbnails": {"max_size": 200}}
+    (tmp_path / "c.json").write_text(json.dumps(nested))
+    found = Config.load(str(tmp_path / "c.json"))
+    assert (found.detector_size, found.cluster_min_samples, found.sharpness_threshold, found.thumbnail_side, found.max_faces) == (320, 4, 50.0, 200, 30)
+    del nested["clustering"]["eps"]
+    (tmp_path / "c.json").write_text(json.dumps(nested))
+    assert Config.load(str(tmp_path / "c.json")) == Config()
+
+
+def test_sizes_of_pictures():
+    from photolake.functions.images import lanczos, smooth
+
+    flat = np.full((40, 60, 3), 77, np.uint8)
+    assert (smooth(flat, 7, 11) == 77).all() and (lanczos(flat, 7, 11) == 77).all() and lanczos(flat, 80, 90).shape == (80, 90, 3)
+    ramp = np.repeat(np.arange(64, dtype=np.uint8)[None, :, None] * 4, 3, 2).repeat(64, 0)
+    assert np.abs(lanczos(ramp, 32, 32)[16, 4:28, 0].astype(int) - (np.arange(4, 28) * 8 + 2)).max() <= 1
