@@ -15,88 +15,218 @@ from photolake.operators.order import ranked
 from photolake.storage import materialize
 
 
-#: Vectors that are compared as one block, on average.
-BLOCK = 256
+#: Vectors of a group; pairs of groups are compared by one task each.
+TILE = 4096
+#: Rows of a group that are compared at once.
+RUN = 512
 
 
-def neighbours(vectors: DataFrame, eps: float) -> DataFrame:
-    """Pairs ``a < b`` (``ord``) of vectors (``ord, embedding``) at most ``eps`` apart, with ``d2``.
+def _classes(vectors: DataFrame) -> DataFrame:
+    """``embedding, cid, n``: different vectors in doubles, their smallest ``ord``, and how many rows bear each.
+
+    Null and empty vectors are left out.
+    """
+    doubles = vectors.select("ord", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    return doubles.where(F.size("embedding") > 0).groupBy("embedding").agg(F.min("ord").alias("cid"), F.count("*").alias("n"))
+
+
+def _packed(classes: DataFrame) -> DataFrame:
+    """``cid, n, size, vec``: vectors as bytes of doubles, written down."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [x.values.to_numpy(zero_copy_only=False).astype("<f8") for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in data], pa.int32()), pa.array([x.tobytes() for x in data], pa.binary())], ["cid", "n", "size", "vec"])
 
-    The distances of two vectors to a pivot differ by no more than their own distance. Each vector
-    goes to the bucket of its distance to the pivot, buckets as wide as ``eps``, so partners meet in
-    one bucket or the next. A bucket is dealt to blocks of about :data:`BLOCK` vectors, and each pair
-    of blocks that may hold partners is compared by one task in double precision; only pairs that are
-    near leave it. The pivot is the vector whose place has the smallest hash; it changes the cost only.
-    Null and empty vectors are near nothing.
+    kind = classes.schema["cid"].dataType.simpleString()
+    return materialize(classes.select("cid", "n", "embedding").mapInArrow(pack, f"cid {kind}, n long, size int, vec binary"), "packed")
+
+
+def _grouped(packed: DataFrame, eps: float) -> DataFrame:
+    """``packed`` with the ``group`` of each vector and the range ``low, high`` of groups that may hold partners.
+
+    Vectors stand in the order of their distance from a pivot, the one of the smallest hash, and
+    :data:`TILE` of them, or fewer where there are too few groups for all cores, are a group. Distances
+    from the pivot differ by no more than the vectors' own distance, so groups whose ranges lie
+    further apart than ``eps`` never meet. The driver sees one row for each group.
     """
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    whole = vectors.select("ord", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).where(F.size("embedding") > 0)
-    pivot = whole.orderBy(F.xxhash64("ord")).limit(1).collect()
-    if not pivot:
-        return vectors.select(F.col("ord").alias("a"), F.col("ord").alias("b"), F.lit(0.0).alias("d2"))
+    spark = packed.sparkSession
+    first = packed.orderBy(F.xxhash64("cid")).limit(1).collect()
+    if not first:
+        return packed.select("*", F.lit(0).alias("group"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+    pivot, parts = np.frombuffer(first[0]["vec"], "<f8"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [np.frombuffer(x, "<f8") for x in batch.column(3).to_pylist()]
+            away = np.array([np.sqrt(((x - pivot) ** 2).sum()) if len(x) == len(pivot) else -1.0 for x in data])
+            away[~np.isfinite(away)] = -1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(away, pa.float64())], [*batch.schema.names, "away"])
+
+    kind = packed.schema["cid"].dataType.simpleString()
+    placed = materialize(ranked(packed.mapInArrow(measure, f"cid {kind}, n long, size int, vec binary, away double"), "away", "cid"), "placed")
+    each = max(1, min(TILE, -(-placed.count() // max(1, int(np.sqrt(2 * parts))))))
+    grouped = placed.withColumn("group", F.floor(F.col("place") / each).cast("int"))
+    ranges = grouped.groupBy("group").agg(F.min("away").alias("a"), F.max("away").alias("b")).orderBy("group").collect()
     # a little wider than eps, against rounding at the edges
-    away = F.sqrt(squared_distance(F.col("embedding"), F.array(*(F.lit(x) for x in pivot[0].embedding)))) / (eps * (1 + 1e-9) + 1e-9)
-    known = materialize(whole.withColumn("bucket", F.floor(F.coalesce(away, F.lit(0.0)))), "buckets")
-    sizes = known.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    sides = sizes.select("bucket", "blocks").join(sizes.select((F.col("bucket") - 1).alias("bucket"), F.col("blocks").alias("after")), "bucket", "left").join(sizes.select((F.col("bucket") + 1).alias("bucket"), F.col("blocks").alias("before")), "bucket", "left")
-    own = F.struct(F.col("bucket"), F.col("block"))
-    every = lambda n, k: F.transform(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>")), lambda j: F.struct((F.col("bucket") + k).alias("bucket"), j.alias("block")))
-    spread = known.join(sides, "bucket").withColumn("block", F.pmod(F.xxhash64("ord"), F.col("blocks")).cast("int"))
-    spread = spread.select("ord", "embedding", own.alias("own"), F.explode(F.concat(every("blocks", 0), every("after", 1), every("before", -1))).alias("other"))
-    met = spread.select(F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).alias("second"), "ord", "embedding")
-    met = met.repartition(parts, "one", "two").sortWithinPartitions("one", "two", "second")
+    near, far = np.array([r["a"] for r in ranges]), np.array([r["b"] for r in ranges])
+    reach = eps * (1 + 1e-9) + 1e-9
+    low, high = np.searchsorted(far, near - reach, "left"), np.searchsorted(near, far + reach, "right") - 1
+    # vectors of another length than the pivot's, or without a distance, stand together in the first groups
+    known = spark.createDataFrame([(r["group"], int(x), int(y)) for r, x, y in zip(ranges, low, high)], "group int, low int, high int")
+    return grouped.join(known, "group").drop("place", "away")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: list = []
 
-        def near(rows: list) -> Iterator[pa.RecordBatch]:
-            alone = rows[0][0] == rows[0][1]
-            for size in {len(r[4]) for r in rows}:
-                first = [r for r in rows if not r[2] and len(r[4]) == size]
-                second = first if alone else [r for r in rows if r[2] and len(r[4]) == size]
-                if not first or not second:
-                    continue
-                x, y = np.array([r[4] for r in first]), np.array([r[4] for r in second])
-                rough = (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T
-                i, j = np.nonzero(rough <= eps * eps + 1e-6 * (1 + rough.max(initial=0)))
-                ids, others = np.array([r[3] for r in first])[i], np.array([r[3] for r in second])[j]
-                d2 = ((x[i] - y[j]) ** 2).sum(1)
-                keep = (d2 <= eps * eps) & ((ids < others) if alone else (ids != others))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, others)[keep]), pa.array(np.maximum(ids, others)[keep]), pa.array(d2[keep])], ["a", "b", "d2"])
+def _tiles(grouped: DataFrame, *carried: str) -> DataFrame:
+    """Rows dealt to the pairs of groups ``one, two`` that they are compared in: ``one, two, second, cid, n, size, vec``."""
+    parts = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = grouped.withColumn("other", F.explode(F.sequence("low", "high")))
+    met = spread.select(F.least("group", "other").alias("one"), F.greatest("group", "other").alias("two"), (F.col("group") > F.col("other")).alias("second"), "cid", "n", "size", "vec", *carried)
+    return met.repartition(parts, "one", "two").sortWithinPartitions("one", "two", "second", "cid")
+
 
+def _met(batches: Iterator[pa.RecordBatch], eps: float) -> Iterator[tuple]:
+    """For each tile and length of vectors: the rows of both sides as columns, and which are near.
+
+    Both sides are the same in a tile of one group; a row is never near itself.
+    """
+
+    def tables() -> Iterator[pa.Table]:
+        left: list = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if left and left[0][:2] != row[:2]:
-                    yield from near(left)
+            one, two = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(one) != 0) | (np.diff(two) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                some = batch.slice(a, b - a)
+                if left and (left[0].column(0)[0] != some.column(0)[0] or left[0].column(1)[0] != some.column(1)[0]):
+                    yield pa.Table.from_batches(left)
                     left = []
-                left.append(row)
+                left.append(some)
         if left:
-            yield from near(left)
+            yield pa.Table.from_batches(left)
+
+    for t in tables():
+        alone = t.column("one")[0] == t.column("two")[0]
+        for size in set(t.column("size").to_pylist()):
+            mine = t.filter(pa.array(t.column("size").to_numpy() == size))
+            second = np.array(mine.column("second").to_pylist(), bool)
+            a = mine.filter(pa.array(~second))
+            b = a if alone else mine.filter(pa.array(second))
+            if not a.num_rows or not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(side.column("vec").to_pylist()), "<f8").reshape(side.num_rows, size) for side in (a, b))
+            near, yy = np.zeros((len(x), len(y)), bool), (y * y).sum(1)
+            for i in range(0, len(x), RUN):
+                xs = x[i : i + RUN]
+                rough = (xs * xs).sum(1)[:, None] + yy - 2 * xs @ y.T
+                slack = 1e-9 * (1 + eps * eps + np.abs(rough).max(initial=0))
+                near[i : i + RUN] = rough <= eps * eps
+                # what rounding may decide is summed up anew
+                p, q = np.nonzero(np.abs(rough - eps * eps) <= slack)
+                near[i + p, q] = ((xs[p] - y[q]) ** 2).sum(1) <= eps * eps
+            if alone:
+                np.fill_diagonal(near, False)
+            yield alone, a, b, near, x, y
+
+
+def _roots(near: np.ndarray, core: list, alone: bool) -> list:
+    """For the core rows of both sides, the first row of their component among these; -1 for others.
+
+    Rows of the second side are counted on behind those of the first.
+    """
+    sides = [np.full(len(c), -1) for c in core]
+    if alone:
+        sides[1] = sides[0]
+    steps = (near,) if alone else (near, near.T)
+    for k in range(len(steps)):
+        for start in np.flatnonzero(core[k]).tolist():
+            if sides[k][start] >= 0:
+                continue
+            name = start + (len(core[0]) if k else 0)
+            sides[k][start] = name
+            at, front = k, np.array([start])
+            while len(front):
+                to = 0 if alone else 1 - at
+                front = np.flatnonzero(steps[at][front].any(0) & core[to] & (sides[to] < 0))
+                sides[to][front] = name
+                at = to
+    return sides
+
 
+def neighbours(vectors: DataFrame, eps: float) -> DataFrame:
+    """Pairs ``a < b`` (``ord``) of vectors (``ord, embedding``) at most ``eps`` apart, with ``d2``.
+
+    All pairs are the result here, as many as there are. Vectors are compared in double precision by
+    pairs of groups (:func:`_grouped`). Null and empty vectors are near nothing.
+    """
     kind = vectors.schema["ord"].dataType.simpleString()
-    return met.mapInArrow(compare, f"a {kind}, b {kind}, d2 double")
+    # every row is a vector of its own
+    rows = vectors.select(F.col("ord").alias("cid"), F.lit(1).cast("long").alias("n"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    packed = _packed(rows.where(F.size("embedding") > 0))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for alone, a, b, near, x, y in _met(batches, eps):
+            ids, others = (np.array(side.column("cid").to_pylist()) for side in (a, b))
+            for i in range(0, len(x), RUN):
+                p, q = np.nonzero(np.triu(near[i : i + RUN], i + 1) if alone else near[i : i + RUN])
+                one, two = ids[i + p], others[q]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(((x[i + p] - y[q]) ** 2).sum(1))], ["a", "b", "d2"])
 
+    return _tiles(_grouped(packed, eps)).mapInArrow(compare, f"a {kind}, b {kind}, d2 double")
 
-def dbscan(vectors: DataFrame, eps: float, min_samples: int, edges: DataFrame | None = None) -> DataFrame:
+
+def dbscan(vectors: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """``ord, degree, cluster_id``: labels of the sequential algorithm, whatever the partitioning.
 
     ``degree`` counts the vector itself. Core vectors have ``min_samples`` or more; their components
     are numbered by their smallest core; a border vector goes to the smallest number next to it, and
     the rest, noise, has null.
+
+    Equal vectors take part as one. Pairs of groups are compared twice: first only numbers of
+    neighbours leave a task, then the links that its core vectors' components need, one for each
+    vector, and one for each such component next to a border vector. Pairs are never written out.
     """
-    pairs = materialize((edges if edges is not None else neighbours(vectors, eps)).select("a", "b"), "pairs")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = vectors.select("ord").join(both.groupBy(F.col("a").alias("ord")).agg(F.count("*").alias("n")), "ord", "left").select("ord", (F.coalesce("n", F.lit(0)) + 1).alias("degree"))
-    degree = materialize(degree, "degrees")
-    core = degree.where(F.col("degree") >= min_samples).select("ord")
-    inner = pairs.join(core.withColumnRenamed("ord", "a"), "a", "left_semi").join(core.withColumnRenamed("ord", "b"), "b", "left_semi")
-    joined = connected_components(inner)
-    rooted = core.join(joined, F.col("ord") == F.col("node"), "left").select("ord", F.coalesce("component", "ord").alias("root"))
-    roots = rooted.select("root").distinct()
-    numbers = ranked(roots, "root", name="cluster_id")
-    labels = materialize(rooted.join(numbers, "root").select("ord", "cluster_id"), "cores")
-    reached = both.join(labels.withColumnRenamed("ord", "b"), "b").groupBy(F.col("a").alias("ord")).agg(F.min("cluster_id").alias("near"))
-    return degree.join(labels, "ord", "left").join(reached, "ord", "left").select("ord", "degree", F.coalesce("cluster_id", "near").alias("cluster_id"))
+    kind = vectors.schema["ord"].dataType.simpleString()
+    packed = _packed(_classes(vectors))
+    grouped = materialize(_grouped(packed, eps), "grouped")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for alone, a, b, near, _, _ in _met(batches, eps):
+            for side, other, m in ((a, b, near), (b, a, near.T))[: 1 if alone else 2]:
+                yield pa.RecordBatch.from_arrays([side.column("cid").combine_chunks(), pa.array(m @ other.column("n").to_numpy().astype(np.int64))], ["cid", "k"])
+
+    counts = _tiles(grouped).mapInArrow(count, f"cid {kind}, k long").groupBy("cid").agg(F.sum("k").alias("k"))
+    degree = materialize(packed.select("cid", "n").join(counts, "cid", "left").select("cid", (F.col("n") + F.coalesce("k", F.lit(0))).alias("degree")), "degrees")
+    marked = grouped.join(degree.select("cid", (F.col("degree") >= min_samples).alias("core")), "cid")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for alone, a, b, near, _, _ in _met(batches, eps):
+            ids = [np.array(side.column("cid").to_pylist()) for side in (a, b)]
+            core = [np.array(side.column("core").to_pylist(), bool) for side in (a, b)]
+            root = _roots(near, core, alone)
+            out: list = []
+            for k in (0,) if alone else (0, 1):
+                here, there = (near, root[1]) if k == 0 else (near.T, root[0])
+                heads = np.concatenate([ids[0], ids[1]])
+                linked = np.flatnonzero(core[k] & (root[k] >= 0))
+                out.append((heads[root[k][linked]], ids[k][linked], np.ones(len(linked), bool)))
+                for i in np.flatnonzero(~core[k]).tolist():
+                    beside = np.unique(there[here[i] & (there >= 0)])
+                    out.append((heads[beside], np.repeat(ids[k][i : i + 1], len(beside)), np.zeros(len(beside), bool)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in range(3)], ["a", "b", "inner"])
+
+    links = materialize(_tiles(marked, "core").mapInArrow(link, f"a {kind}, b {kind}, inner boolean"), "links")
+    joined = connected_components(links.where("inner and a <> b"))
+    core = degree.where(F.col("degree") >= min_samples).select("cid")
+    rooted = core.join(joined, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("component", "cid").alias("root"))
+    numbers = ranked(rooted.select("root").distinct(), "root", name="cluster_id")
+    labels = materialize(rooted.join(numbers, "root").select("cid", "cluster_id"), "cores")
+    beside = links.where("not inner").join(labels.withColumnRenamed("cid", "a"), "a").groupBy(F.col("b").alias("cid")).agg(F.min("cluster_id").alias("near"))
+    found = degree.join(labels, "cid", "left").join(beside, "cid", "left").select("cid", "degree", F.coalesce("cluster_id", "near").alias("cluster_id"))
+    doubles = vectors.select("ord", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    of = doubles.join(_classes(vectors).drop("n"), "embedding").select("ord", "cid").join(found, "cid")
+    return vectors.select("ord").join(of, "ord", "left").select("ord", F.coalesce("degree", F.lit(1)).cast("long").alias("degree"), "cluster_id")
 
 
 def consecutive_duplicates(vectors: DataFrame, least: float) -> DataFrame:

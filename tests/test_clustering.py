@@ -35,15 +35,36 @@ def labels(spark, points, eps, least):
 @pytest.mark.parametrize(
     "points, eps, least, expected",
     [
-        ([], 0.5, 2, []),
-        ([[1, 0, 0]], 0.5, 2, [None]),
-        ([[1, 0], [1, 0.01]], 0.5, 2, [0, 0]),
-        ([[0, 0], [10, 10]], 0.5, 2, [None, None]),
-        ([[0, 0], [0.1, 0], [0, 0.1], [10, 10], [10.1, 10], [10, 10.1]], 0.5, 2, [0, 0, 0, 1, 1, 1]),
+        ([], 1.0, 3, []),
+        ([[2, 2, 2, 2]], 1.0, 2, [None]),
+        ([[5, 5]] * 3 + [[5, 6]], 1.0, 4, [0, 0, 0, 0]),
+        # a chain whose ends are border points, a point that is shared by two cores, and noise
+        ([[0, 0], [0, 3], [0, 6], [0, 9], [0, 40]], 3.0, 3, [0, 0, 0, 0, None]),
+        ([[0, 0], [1, 0], [-1, 0], [3, 0], [5, 0], [6, 0], [7, 0]], 2.0, 4, [0, 0, 0, 0, 1, 1, 1]),
     ],
 )
 def test_known_clusters(spark, points, eps, least, expected):
     assert labels(spark, points, eps, least) == expected
+    assert expected == sequential(np.array(points, float), eps, least)
+
+
+def test_groups_of_vectors_do_not_change_the_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(size=(60, 3)), np.repeat(rng.normal(size=(3, 3)), 20, 0)]).astype(np.float32)
+    expected = sequential(points.astype(np.float64), 0.7, 4)
+    monkeypatch.setattr(clustering, "TILE", 7)
+    assert labels(spark, points, 0.7, 4) == expected
+
+
+def test_pairs_within_reach(spark):
+    points = np.random.default_rng(2).normal(size=(80, 3)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)] + [(90, None), (91, []), (92, [1.0])], "ord long, embedding array<float>")
+    found = {(r.a, r.b): r.d2 for r in clustering.neighbours(df, 0.8).collect()}
+    p = points.astype(np.float64)
+    real = {(i, j): ((p[i] - p[j]) ** 2).sum() for i in range(80) for j in range(i + 1, 80) if ((p[i] - p[j]) ** 2).sum() <= 0.64}
+    assert set(found) == set(real) and all(abs(found[k] - real[k]) < 1e-12 for k in real)
+    lone = clustering.dbscan(df, 0.8, 2).where("ord >= 90").orderBy("ord").collect()
+    assert [(r.degree, r.cluster_id) for r in lone] == [(1, None)] * 3
 
 
 @pytest.mark.parametrize("seed, eps, least", [(1, 0.6, 2), (2, 0.8, 4), (3, 0.5, 3)])
