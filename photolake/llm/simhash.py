@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -53,49 +52,72 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(scan, picked.select("doc_id", "text_hash").withColumn("fp", F.lit(0).cast("long")).schema)
 
 
-def segment_counts(fp: Column) -> Column:
-    """The bit counts of the 32 two-bit segments of a fingerprint, two bits each in one number.
+def segment_counts(fp: Column, width: int) -> Column:
+    """The bit counts of the segments of ``width`` bits (1, 2 or 4) of a fingerprint, ``width`` bits each in one number."""
+    counts = fp
+    if width >= 2:
+        # two bits a and b have (a xor b) + 2 (a and b) of them set; a plain sum would reach the sign
+        low = F.lit(0x5555555555555555)
+        a, b = fp.bitwiseAND(low), F.shiftrightunsigned(fp, 1).bitwiseAND(low)
+        counts = a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
+    if width == 4:
+        low = F.lit(0x3333333333333333)
+        counts = counts.bitwiseAND(low) + F.shiftrightunsigned(counts, 2).bitwiseAND(low)
+    return counts
 
-    The count of bits a and b is (a xor b) + 2 (a and b); both halves are taken for all segments at once.
-    """
-    low = F.lit(0x5555555555555555)
-    high = F.shiftrightunsigned(fp, 1)
-    return fp.bitwiseXOR(high).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(high).bitwiseAND(low), 1))
+
+def manhattan(a: Column, b: Column, width: int, first: int, last: int) -> Column:
+    """The Manhattan distance of two points made by :func:`segment_counts`, over segments from ``first`` to before ``last``."""
+    count = lambda x, i: F.shiftrightunsigned(x, width * i).bitwiseAND(F.lit((1 << width) - 1))
+    return sum((F.abs(count(a, i) - count(b, i)) for i in range(first, last)), F.lit(0))
 
 
-def manhattan(a: Column, b: Column) -> Column:
-    """The Manhattan distance of two points made by :func:`segment_counts`."""
-    count = lambda x, i: F.shiftrightunsigned(x, 2 * i).bitwiseAND(F.lit(3))
-    return sum((F.abs(count(a, i) - count(b, i)) for i in range(32)), F.lit(0))
+def segment_width(points: int) -> int:
+    """Bits of a segment: short ones, whose grid has many cells, for many points."""
+    return 4 if points <= 1 << 12 else 2 if points <= 1 << 24 else 1
 
 
-def fingerprint_links(fps: DataFrame, most: int = 3, blocks: int = 6) -> DataFrame:
+def fingerprint_links(fps: DataFrame, most: int = 3, width: int | None = None) -> DataFrame:
     """All pairs ``a < b`` of different fingerprints ``fp`` that differ in at most ``most`` bits.
 
-    A fingerprint is a point whose coordinates are the bit counts of its two-bit segments; the
-    Manhattan distance of two points never exceeds the number of differing bits. The coordinates fall
-    into ``blocks`` groups. Points within ``most`` of each other agree in all but ``most`` groups at
-    least, so the grid is cut once for each choice of ``blocks - most`` groups, and a cell of such a
-    cut is the chosen coordinates' values: partners share a cell of some cut, for any input. A pair is
-    taken in its first common cut only; the join then holds the Manhattan bound and the exact count of
-    differing bits against it, so nothing but links leaves the join. Nothing is capped.
+    A fingerprint is a point whose coordinates are the bit counts of its segments; the Manhattan
+    distance of two points never exceeds the number of differing bits. The segments fall into
+    ``most // 2 + 1`` runs, so of two points within ``most`` one run at least has a distance of 1 or
+    0. For each run there is a grid over its coordinates, and partners within 1 stand in one cell or in
+    two that are neighbours along one coordinate: each point is in its own cell, and looks into those
+    of its neighbours whose count is higher by one. A pair is taken in the first run that brings it
+    together, and its differing bits are counted exactly. Nothing is capped; a fingerprint has no more
+    partners than there are numbers within ``most`` bits of it (43,744 others for 3), however many
+    documents are alike.
     """
-    if not 0 <= most < blocks:
-        raise ValueError("there must be more blocks than differing bits")
-    ends = [round(i * 32 / blocks) for i in range(blocks + 1)]
-    masks = [_signed(sum(3 << 2 * i for i in range(x, y))) for x, y in zip(ends, ends[1:])]
-    cuts = [_signed(sum(m % (1 << 64) for m in cut)) for cut in combinations(masks, blocks - most)]
-    points = materialize(fps.select("fp").distinct(), "points").withColumn("counts", segment_counts(F.col("fp")))
-    cells = F.array(*(F.struct(F.lit(k).alias("cut"), F.col("counts").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(cuts)))
-    cut_up = points.select("fp", F.inline(cells))
-    a, b = cut_up.alias("a"), cut_up.alias("b")
-    at, to = segment_counts(F.col("a.fp")), segment_counts(F.col("b.fp"))
-    first = F.lit(None)
-    for k, m in reversed(list(enumerate(cuts))):
-        first = F.when(at.bitwiseXOR(to).bitwiseAND(F.lit(m)) == 0, F.lit(k)).otherwise(first)
-    near = (F.col("a.cut") == F.col("b.cut")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))
-    bits = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
-    return a.join(b, near & (manhattan(at, to) <= most) & (bits <= most) & (first == F.col("a.cut"))).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    points = materialize(fps.select("fp").distinct(), "points")
+    width = width or segment_width(points.count())
+    segments, runs = 64 // width, most // 2 + 1
+    reach = min(1, most // runs)
+    ends = [round(i * segments / runs) for i in range(runs + 1)]
+    counts = points.withColumn("counts", segment_counts(F.col("fp"), width))
+    full = (1 << width) - 1
+    own, above = [], []
+    for r, (x, y) in enumerate(zip(ends, ends[1:])):
+        mask = _signed(sum(full << width * i for i in range(x, y)))
+        cell = F.col("counts").bitwiseAND(F.lit(mask))
+        own.append(F.struct(F.lit(r).alias("run"), cell.alias("cell"), F.lit(False).alias("up")))
+        for i in range(x, y) if reach else ():
+            fits = F.shiftrightunsigned("counts", width * i).bitwiseAND(F.lit(full)) < width
+            higher = F.shiftleft(F.shiftrightunsigned(cell, width * i) + 1, width * i).bitwiseOR(cell.bitwiseAND(F.lit(_signed((1 << width * i) - 1))))
+            # a null cell joins with nothing
+            above.append(F.struct(F.lit(r).alias("run"), F.when(fits, higher).alias("cell"), F.lit(True).alias("up")))
+    there = counts.select("fp", "counts", F.inline(F.array(*own))).drop("up").alias("there")
+    looks = counts.select("fp", "counts", F.inline(F.array(*own, *above))).where("cell is not null").alias("looks")
+    bits = F.bit_count(F.col("looks.fp").bitwiseXOR(F.col("there.fp")))
+    earlier = F.lit(True)
+    for r in range(runs - 1):
+        apart = manhattan(F.col("looks.counts"), F.col("there.counts"), width, ends[r], ends[r + 1]) > reach
+        earlier = earlier & ((F.col("looks.run") <= r) | apart)
+    near = (F.col("looks.run") == F.col("there.run")) & (F.col("looks.cell") == F.col("there.cell"))
+    once = F.col("up") | (F.col("looks.fp") < F.col("there.fp"))
+    met = looks.join(there, near & once & (bits <= most) & earlier)
+    return met.select(F.least("looks.fp", "there.fp").alias("a"), F.greatest("looks.fp", "there.fp").alias("b"))
 
 
 def _signed(x: int) -> int:
@@ -108,8 +130,10 @@ def near_duplicates(docs: DataFrame, most: int = 3, id_col: str = "doc_id", text
     Rows whose fingerprints differ in ``most`` bits or fewer are linked; ``component_id`` is the
     smallest id reachable over links, the row's own included. Equal fingerprints (empty and null
     texts: all zero bits) are one class, of which one point takes part in the join, so a large group
-    of copies costs no more than one document. Repeated rows stay. A row with a null id is labelled
-    with the smallest id of its class, null if there is none. An empty table gives no rows.
+    of copies costs no more than one document. A bit that is set in just half the hashes is 0. Texts of
+    any length are taken whole, their hashes counted in runs. Repeated rows stay. A row with a null id
+    is labelled with the smallest id of its class, null if there is none. Other columns are not read,
+    whatever their names. An empty table gives no rows.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, words_each), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -124,14 +148,19 @@ def near_duplicates(docs: DataFrame, most: int = 3, id_col: str = "doc_id", text
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that bear their group's smallest id, with all their columns.
 
-    Equal rows leave one. Rows that share an id are judged each by its own text. Groups in which no
-    row has an id keep all their different texts.
+    Rows that agree in id and text leave one, any of them. Rows that share an id are judged each by its
+    own text. Groups in which no row has an id keep all their different texts. Null and empty texts are
+    one group. Texts are as long as they are, other columns stay whatever their names, and an empty
+    table gives no rows.
     """
-    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    i, h = unused(docs, "id", "hash")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct()
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(h)), "left_semi")
-    return rows.dropDuplicates([id_col, text_col])
+    groups = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "groups")
+    i, h, n = unused(docs, "id", "hash", "n")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).agg(F.count("*").alias(n))
+    same = F.col(id_col).eqNullSafe(F.col(i)) & F.xxhash64(text_col).eqNullSafe(F.col(h))
+    alone = docs.join(kept.where(F.col(n) == 1), same, "left_semi")
+    # only rows of which there are several are compared with each other
+    several = docs.join(kept.where(F.col(n) > 1), same, "left_semi").dropDuplicates([id_col, text_col])
+    return alone.unionByName(several)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

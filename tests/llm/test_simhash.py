@@ -42,33 +42,39 @@ def test_groups_against_brute_force(spark):
     assert len({c for _, c in found.values()}) < len(rows)
 
 
-@pytest.mark.parametrize("most, blocks", [(0, 2), (2, 5), (3, 6), (3, 8)])
-def test_links_between_close_fingerprints(spark, most, blocks):
+@pytest.mark.parametrize("most, width", [(0, 4), (1, 2), (2, 1), (3, 1), (3, 2), (3, 4), (5, 2)])
+def test_links_between_close_fingerprints(spark, most, width):
     rng = random.Random(most)
     fps = {rng.getrandbits(64) for _ in range(40)}
     for x in list(fps):
-        for k in range(1, 6):
+        for k in range(1, 8):
             y = x
             for b in rng.sample(range(64), k):
                 y ^= 1 << b
             fps.add(y)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    found = {frozenset((r.a, r.b)) for r in simhash.fingerprint_links(df, most, blocks).collect()}
+    found = {frozenset((r.a, r.b)) for r in simhash.fingerprint_links(df, most, width).collect()}
     mask = (1 << 64) - 1
     real = {frozenset((a, b)) for i, a in enumerate(signed) for b in signed[i + 1 :] if bin((a ^ b) & mask).count("1") <= most}
     assert found == real
-    assert simhash.fingerprint_links(df, most, blocks).count() == len(found)
+    assert simhash.fingerprint_links(df, most, width).count() == len(found)
 
 
 def test_the_distance_of_bit_counts_is_a_lower_bound(spark):
     rng = random.Random(9)
     rows = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(200)]
     df = spark.createDataFrame(rows, "a long, b long")
-    bound = simhash.manhattan(simhash.segment_counts(F.col("a")), simhash.segment_counts(F.col("b")))
-    for r in df.select("a", "b", bound.alias("d")).collect():
-        pairs = lambda x: [bin(x >> 2 * i & 3).count("1") for i in range(32)]
-        assert r.d == sum(abs(x - y) for x, y in zip(pairs(r.a), pairs(r.b))) <= bin(r.a ^ r.b).count("1")
+    for width in (1, 2, 4):
+        bound = simhash.manhattan(simhash.segment_counts(F.col("a"), width), simhash.segment_counts(F.col("b"), width), width, 0, 64 // width)
+        for r in df.select("a", "b", bound.alias("d")).collect():
+            counts = lambda x: [bin(x >> width * i & (1 << width) - 1).count("1") for i in range(64 // width)]  # noqa: E731, B023
+            assert r.d == sum(abs(x - y) for x, y in zip(counts(r.a), counts(r.b))) <= bin(r.a ^ r.b).count("1")
+
+
+def test_the_grid_follows_the_number_of_points():
+    widths = [simhash.segment_width(10**k) for k in range(12)]
+    assert widths == sorted(widths, reverse=True) and set(widths) == {1, 2, 4}
 
 
 def test_empty_null_and_repeated_rows(spark):
