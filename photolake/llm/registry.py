@@ -17,4 +17,4 @@ QUERIES = {
     "op10_mixture": mixture.op10_mixture,
 }
 
-ORACLES = {"op3_decontamination": suffix_match.ORACLE_SQL, "op10_mixture": mixture.ORACLE_SQL}
+ORACLES = {"op4_license_scan": license_scan.ORACLE_SQL, "op3_decontamination": suffix_match.ORACLE_SQL, "op10_mixture": mixture.ORACLE_SQL}

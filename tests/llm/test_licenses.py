@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from photolake.llm import license_scan as L
+from tests.compare import same
 from tests.llm import brute
 
 
@@ -23,6 +24,28 @@ def test_all_documents_against_brute_force(spark, sf_dir):
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
 
 
+def test_the_query_against_its_sql(spark, sf_dir, duck):
+    same(L.op4_license_scan(spark, sf_dir).toPandas(), duck.execute(L.ORACLE_SQL).df())
+
+
+def test_grams_with_a_template_s_hash_and_other_words_do_not_vote(spark):
+    rows, texts = L.template_grams([("x", "one two three four")], {}, 3)
+    assert [r[4] for r in rows] == [0, 1] and set(texts.values()) == {b"one two three", b"two three four"}
+    df = spark.createDataFrame([(1, "one two three", 5)], "doc_id long, text string, text_hash long")
+    wrong = dict.fromkeys(texts, b"other words here")
+    assert [r.grams for r in L._scanned(df, 3, wrong).collect()] == [[0]]
+    assert [r.grams for r in L._scanned(df, 3, texts).collect()] == [[rows[0][0]]]
+
+
+def test_whole_license_texts(spark):
+    long = [(i, "before " + t + " after") for i, (label, t) in enumerate(L.TEMPLATES) if len(t) > 400]
+    _, spans = digest(spark, long)
+    best = {}
+    for r in spans.where("not is_phrase and coverage = 1").collect():
+        best.setdefault(r.doc_id, set()).add(r.label)
+    assert {i: {L.TEMPLATES[i][0]} for i, _ in long} == best
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_phrases_against_brute_force(spark, seed):
     rng = random.Random(seed)
