@@ -1,4 +1,8 @@
-"""Benchmark decontamination by suffix arrays over the training documents."""
+"""Benchmark decontamination by suffix arrays over the training documents.
+
+A task sorts all suffixes of its documents, shard by shard, and binary-searches every test suffix in
+each of these arrays.
+"""
 
 from __future__ import annotations
 
@@ -12,128 +16,128 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from photolake.llm.tables import table
-from photolake.llm.words import ALNUM, mixed, runs_of, words_of
+from photolake.llm.words import ALNUM, Words, runs_of, words_of
+from photolake.storage import materialize
 
 #: Words of one suffix array; a longer document is an array of its own.
 SHARD_WORDS = 1 << 19
-#: UTF-8 bytes of test texts that are sent to every task at once; more go in several passes.
-TEST_BYTES = 32 << 20
+#: Words of test items that are sent to every task at once; more go in several passes.
+TEST_WORDS = 1 << 22
+
+
+def ranked_suffixes(hashes: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
+    """Each suffix's place, from 1, in the order of its first ``depth`` words; equal ones share a place.
+
+    ``end`` is where each suffix ends, and nothing comes before every word. Places by one word are
+    doubled to two, four and so on, the last time with an overlap.
+    """
+    rank, k = np.unique(hashes, return_inverse=True)[1].astype(np.int64).ravel() + 1, 1
+    at = np.arange(len(hashes))
+    while k < depth:
+        step = min(k, depth - k)
+        to = np.minimum(at + step, max(len(hashes) - 1, 0))
+        behind = np.where(at + step < end, rank[to], 0)
+        rank = np.unique(rank * (len(hashes) + 1) + behind, return_inverse=True)[1].ravel() + 1
+        k += step
+    return rank
 
 
 class Tests(NamedTuple):
-    """Different windows of the test items, as rows of word hashes (0 past a short item's end).
+    """Words of the test items, and the suffixes that begin a window, ``window`` words or a whole shorter item.
 
-    ``owner`` has, for windows in order, the items and places that they stand at; ``first`` is where
-    each window's owners begin.
+    ``head`` has a place of each different window and ``length`` its words; the places of window i are
+    ``place[first[i]:first[i + 1]]``. Item i has the words from ``begins[i]`` to ``begins[i + 1]``.
     """
 
-    windows: np.ndarray
-    lengths: np.ndarray
-    owner: np.ndarray
+    words: Words
+    items: list
+    begins: np.ndarray
+    head: np.ndarray
+    length: np.ndarray
     place: np.ndarray
     first: np.ndarray
-    items: list
-    starts: np.ndarray
+    window: int
 
 
-def test_windows(items: list[tuple[object, str | None]], window: int) -> Tests:
-    """Every suffix of every item that starts a window: ``window`` words, or all of a shorter item."""
+def test_suffixes(items: list[tuple[object, str | None]], window: int) -> Tests:
+    """Every suffix of every item that begins a window, equal windows together."""
     w = words_of([text for _, text in items], ALNUM)
-    rows, owner, place = [], [], []
-    for i, (a, b) in enumerate(zip(w.first, w.first[1:])):
-        n = int(b - a)
-        for j in range(n - window + 1 if n > window else min(n, 1)):
-            row = np.zeros(window, np.uint64)
-            row[: min(n, window)] = w.hash[a + j : a + j + window][:n]
-            rows.append(row)
-            owner.append(i)
-            place.append(j)
-    every = np.array(rows, np.uint64).reshape(-1, window)
-    windows, which = np.unique(every, axis=0, return_inverse=True)
-    which = which.ravel()
-    order = np.argsort(which, kind="stable")
-    lengths = (windows != 0).sum(1)
-    starts = np.unique(_prefix(windows[:, 0], windows[:, 1] if window > 1 and (lengths > 1).all() else None)) if len(windows) else np.zeros(0, np.uint64)
-    return Tests(windows, lengths, np.array(owner, np.int64)[order], np.array(place, np.int64)[order], np.searchsorted(which[order], np.arange(len(windows) + 1)), [k for k, _ in items], starts)
-
-
-def _prefix(one: np.ndarray, two: np.ndarray | None) -> np.ndarray:
-    return one if two is None else mixed(one) + two
-
-
-def _member(x: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Places of ``x`` whose values stand in the sorted ``found``, by a bit table first."""
-    table_ = np.zeros(1 << 20, bool)
-    table_[(found & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    maybe = np.flatnonzero(table_[(x & np.uint64((1 << 20) - 1)).astype(np.int64)])
-    at = np.searchsorted(found, x[maybe])
-    return maybe[found[np.minimum(at, len(found) - 1)] == x[maybe]]
-
-
-def _bound(keys: np.ndarray, windows: np.ndarray, lengths: np.ndarray, right: bool) -> np.ndarray:
-    """For all windows at once, the binary search of each in the sorted suffixes ``keys``."""
-    low, high = np.zeros(len(windows), np.int64), np.full(len(windows), len(keys), np.int64)
-    while (open_ := low < high).any():
-        mid = (low + high) // 2
-        suffix = keys[np.minimum(mid, len(keys) - 1)]
-        less, same = np.zeros(len(windows), bool), np.ones(len(windows), bool)
-        for d in range(windows.shape[1]):
-            within = same & (d < lengths)
-            less |= within & (suffix[:, d] < windows[:, d])
-            same &= (d >= lengths) | (suffix[:, d] == windows[:, d])
-        ahead = less | same if right else less
-        low, high = np.where(open_ & ahead, mid + 1, low), np.where(open_ & ~ahead, mid, high)
+    n = np.diff(w.first)
+    begin, end, at = np.repeat(w.first[:-1], n), np.repeat(w.first[1:], n), np.arange(len(w.hash))
+    rank = ranked_suffixes(w.hash, end, window)
+    asked = np.flatnonzero((end - at >= window) | (at == begin))
+    asked = asked[np.argsort(rank[asked], kind="stable")]
+    first = np.flatnonzero(np.diff(rank[asked], prepend=-1))
+    head = asked[first]
+    return Tests(w, [k for k, _ in items], w.first, head, np.minimum(end[head] - head, window), asked, np.append(first, len(asked)), window)
+
+
+def _bound(hashes: np.ndarray, end: np.ndarray, order: np.ndarray, tests: Tests, right: bool) -> np.ndarray:
+    """For all windows at once, the binary search of each in the suffix array ``order``."""
+    low, high = np.zeros(len(tests.head), np.int64), np.full(len(tests.head), len(order), np.int64)
+    while len(open_ := np.flatnonzero(low < high)):
+        mid = (low[open_] + high[open_]) // 2
+        suffix = order[mid]
+        ahead = np.full(len(open_), right)
+        alike = np.arange(len(open_))
+        for d in range(tests.window):
+            alike = alike[d < tests.length[open_[alike]]]
+            if not len(alike):
+                break
+            to = suffix[alike] + d
+            theirs = np.where(to < end[suffix[alike]], hashes[np.minimum(to, len(hashes) - 1)], 0)
+            ours = tests.words.hash[tests.head[open_[alike]] + d]
+            differ = theirs != ours
+            ahead[alike[differ]] = theirs[differ] < ours[differ]
+            alike = alike[~differ]
+        low[open_] = np.where(ahead, mid + 1, low[open_])
+        high[open_] = np.where(ahead, high[open_], mid)
     return low
 
 
-def find_windows(hashes: np.ndarray, doc_of: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
-    """Where windows occur: word places and windows, ordered by place.
+def longest_matches(w: Words, begin: np.ndarray, end: np.ndarray, tests: Tests) -> np.ndarray:
+    """Rows ``place, test place, words``: the longest verbatim matches of a shard with the test items.
 
-    The suffix array of the shard holds every suffix that begins as some test suffix does; it is
-    sorted by as many words as a window has, no further than its document, and all windows are
-    searched in it.
+    The suffix array of the shard is searched for every window. Where one occurs, and no word before
+    it agrees as well, the match is followed word by word to its end. The words of each match are
+    compared then, so that no hash decides.
     """
-    n, width = len(hashes), tests.windows.shape[1]
-    none = np.zeros(0, np.int64)
-    if not n or not len(tests.windows):
-        return none, none
-    two = None
-    if len(tests.starts) and width > 1 and (tests.lengths > 1).all():
-        two = np.zeros(n, np.uint64)
-        two[:-1] = np.where(doc_of[1:] == doc_of[:-1], hashes[1:], 0)
-    at = _member(_prefix(hashes, two), tests.starts)
-    if not len(at):
-        return none, none
-    keys = np.zeros((len(at), width), np.uint64)
-    for d in range(width):
-        to = np.minimum(at + d, n - 1)
-        inside = (at + d < n) & (doc_of[to] == doc_of[at])
-        keys[:, d] = np.where(inside, hashes[to], 0)
-    order = np.lexsort(keys.T[::-1])
-    suffixes, sorted_keys = at[order], keys[order]
-    low = _bound(sorted_keys, tests.windows, tests.lengths, False)
-    high = _bound(sorted_keys, tests.windows, tests.lengths, True)
+    if not len(w.hash) or not len(tests.head):
+        return np.zeros((0, 3), np.int64)
+    order = np.argsort(ranked_suffixes(w.hash, end, tests.window), kind="stable")
+    low, high = (_bound(w.hash, end, order, tests, right) for right in (False, True))
     times = high - low
     which = np.repeat(np.arange(len(times)), times)
-    place = suffixes[np.repeat(low, times) + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)]
-    order = np.lexsort((which, place))
-    return place[order], which[order]
-
-
-def longest_matches(place: np.ndarray, which: np.ndarray, doc_of: np.ndarray, tests: Tests) -> np.ndarray:
-    """Longest verbatim matches as rows ``place, item, item place, words``, from windows that follow
-    each other on the same diagonal of a document and an item."""
-    times = np.diff(tests.first)[which]
-    at = np.repeat(tests.first[which], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-    item, off, p = tests.owner[at], tests.place[at], np.repeat(place, times)
-    length = np.repeat(tests.lengths[which], times)
-    order = np.lexsort((p, p - off, item))
-    item, off, p, length = item[order], off[order], p[order], length[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (item[1:] != item[:-1]) | (p[1:] - off[1:] != p[:-1] - off[:-1]) | (p[1:] != p[:-1] + 1) | (doc_of[p[1:]] != doc_of[p[:-1]])
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(p)) - 1
-    return np.stack([p[head], item[head], off[head], p[tail] + length[tail] - p[head]], 1) if len(p) else np.zeros((0, 4), np.int64)
+    place = order[np.repeat(low, times) + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)]
+    owners = np.diff(tests.first)[which]
+    p = np.repeat(place, owners)
+    q = tests.place[np.repeat(tests.first[which], owners) + np.arange(len(p)) - np.repeat(np.cumsum(owners) - owners, owners)]
+    item = np.searchsorted(tests.begins, q, "right") - 1
+    starts, stops = tests.begins[item], tests.begins[item + 1]
+    theirs = tests.words.hash
+    whole = stops - starts < tests.window
+    longer = ~whole & (p > begin[p]) & (q > starts) & (w.hash[p - 1] == theirs[q - 1])
+    p, q, stops, whole = p[~longer], q[~longer], stops[~longer], whole[~longer]
+    n = np.minimum(stops - q, tests.window)
+    going = np.flatnonzero(~whole)
+    while len(going):
+        a, b = p[going] + n[going], q[going] + n[going]
+        more = (a < end[p[going]]) & (b < stops[going])
+        more &= w.hash[np.minimum(a, len(w.hash) - 1)] == theirs[np.minimum(b, len(theirs) - 1)]
+        going = going[more]
+        n[going] += 1
+    rows: list = []
+    word = lambda x, i: x.data[x.start[i] : x.end[i]]
+    for a, b, k in zip(p.tolist(), q.tolist(), n.tolist()):
+        least, run = min(k, tests.window), 0
+        for d in range(k + 1):
+            if d < k and word(w, a + d) == word(tests.words, b + d):
+                run += 1
+                continue
+            if run >= least:
+                rows.append((a + d - run, b + d - run, run))
+            run = 0
+    return np.array(rows, np.int64).reshape(-1, 3)
 
 
 class Found(NamedTuple):
@@ -149,10 +153,10 @@ def search(texts: list[str | None], tests: Tests) -> Iterator[tuple[int, int, Fo
         w = words_of(texts[a:b], ALNUM)
         n = np.diff(w.first)
         doc_of = np.repeat(np.arange(b - a), n)
-        place, which = find_windows(w.hash, doc_of, tests)
+        found = longest_matches(w, np.repeat(w.first[:-1], n), np.repeat(w.first[1:], n), tests)
         hit = np.zeros(len(w.hash) + 1, np.int64)
-        np.add.at(hit, place, 1)
-        np.add.at(hit, place + tests.lengths[which], -1)
+        np.add.at(hit, found[:, 0], 1)
+        np.add.at(hit, found[:, 0] + found[:, 2], -1)
         covered = np.cumsum(hit[:-1]) > 0
         spans, matches = [[] for _ in range(b - a)], [[] for _ in range(b - a)]
         edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
@@ -163,26 +167,28 @@ def search(texts: list[str | None], tests: Tests) -> Iterator[tuple[int, int, Fo
                 stop = min(e, int(w.first[d + 1]))
                 spans[d].append({"start": s - int(w.first[d]), "end": stop - int(w.first[d])})
                 s = stop
-        for p, item, off, words in longest_matches(place, which, doc_of, tests).tolist():
+        item = np.searchsorted(tests.begins, found[:, 1], "right") - 1
+        for p, q, words, i in zip(*found.T.tolist(), item.tolist()):
             d = int(doc_of[p])
-            matches[d].append({"item_id": tests.items[item], "start": p - int(w.first[d]), "item_start": off, "words": words})
+            matches[d].append({"item_id": tests.items[i], "start": p - int(w.first[d]), "item_start": q - int(tests.begins[i]), "words": words})
         n_hit = np.bincount(doc_of[covered], minlength=b - a)
         yield a, b, Found(n, n_hit, spans, matches)
 
 
 def _passes(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> list[DataFrame]:
-    """The test items in parts of about ``most`` bytes, by a hash of their text, however many there are."""
+    """The test items in parts of about ``most`` words, by a hash of item and text, however many there are."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    total = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), F.lit(0))).first()[0]
     parts = max(1, -(-total // most))
-    return [items if parts == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == i) for i in range(parts)]
+    return [items if parts == 1 else items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(parts)) == i) for i in range(parts)]
 
 
 def _collected(part: DataFrame, window: int) -> Tests:
-    return test_windows([tuple(r) for r in part.toLocalIterator()], window)
+    found = part.toArrow()
+    return test_suffixes(list(zip(found["item_id"].to_pylist(), found["text"].to_pylist())), window)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, test_bytes: int = TEST_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, test_words: int = TEST_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Verbatim test passages in whole documents: ``doc_id, n_words, spans, matches``.
 
     ``spans`` are the covered words as ``start, end``; ``matches`` the longest matches, ``item_id,
@@ -191,14 +197,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
     Each task builds suffix arrays over shards of its own documents and searches every test suffix in
     them, so documents are not shuffled and a passage that many share is found in each where it is.
-    The test items are sent to the tasks while they hold at most ``test_bytes``; a larger set goes in
-    parts, a pass each, whose spans are merged by document.
-
-    Null texts have no words; repeated documents get rows of their own; repeated items and null item
-    ids are matches as well; empty tables give no rows, or rows without matches.
+    The test items are sent to the tasks while they hold about ``test_words`` at most; a larger set
+    goes in parts, a pass each, which is written down before the next part is sent, and their spans are
+    merged by document.
+
+    Null texts have no words; a text of any length is searched whole; repeated documents get rows of
+    their own; repeated items and null item ids are matches as well, and of equal matches all come;
+    other columns are not read, whatever their names; empty tables give no rows, or rows without
+    matches.
     """
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    parts = _passes(benchmark, item_col, item_text_col, test_bytes)
+    parts = _passes(benchmark, item_col, item_text_col, test_words)
     item_type = parts[0].schema["item_id"].dataType
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     match = T.StructType([T.StructField("item_id", item_type), *(T.StructField(c, T.LongType()) for c in ("start", "item_start", "words"))])
@@ -217,7 +226,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                 for a, b, f in search(batch.column(1).to_pylist(), sent.value):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(f.n_words), pa.array(f.spans, arrow_span), pa.array(f.matches, arrow_match)], schema.names)
 
-        return keyed.mapInArrow(scan, schema)
+        result = keyed.mapInArrow(scan, schema)
+        if len(parts) > 1:
+            result = materialize(result, "matches")
+            sent.destroy()
+        return result
 
     found = [one_pass(_collected(p, window)) for p in parts]
     if len(found) == 1:
@@ -246,9 +259,15 @@ def kept_rows(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list]
     return docs.mapInArrow(keep, docs.schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, test_bytes: int = TEST_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents in which no window of any item occurs, with all their columns."""
-    for part in _passes(benchmark, item_col, item_text_col, test_bytes):
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, test_words: int = TEST_WORDS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents in which no window of any item occurs, with all their columns, whatever their names.
+
+    Test items go to the tasks as in :func:`find_contamination`; if there are several passes, what one
+    keeps is written down before the next. Null and empty texts have no words and stay, repeated rows
+    are judged alike, a text of any length is searched whole, and empty tables take nothing away.
+    """
+    parts = _passes(benchmark, item_col, item_text_col, test_words)
+    for part in parts:
         sent = docs.sparkSession.sparkContext.broadcast(_collected(part, window))
 
         def make(sent=sent):
@@ -258,6 +277,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, test_
             return wanted
 
         docs = kept_rows(docs, text_col, make)
+        if len(parts) > 1:
+            docs = materialize(docs, "clean")
+            sent.destroy()
     return docs
 
 

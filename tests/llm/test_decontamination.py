@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from photolake.llm import suffix_match
@@ -41,10 +42,10 @@ def test_the_query_against_its_sql(spark, sf_dir, duck):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("test_bytes", [1 << 20, 60])
-def test_windows_against_brute_force(spark, seed, test_bytes):
+@pytest.mark.parametrize("test_words", [1 << 20, 25])
+def test_windows_against_brute_force(spark, seed, test_words):
     docs, items = drawn(seed)
-    assert digest(spark, docs, items, window=4, test_bytes=test_bytes) == sorted(brute.contamination(docs, items, 4), key=str)
+    assert digest(spark, docs, items, window=4, test_words=test_words) == sorted(brute.contamination(docs, items, 4), key=str)
 
 
 def test_longest_matches_have_places(spark):
@@ -57,12 +58,52 @@ def test_longest_matches_have_places(spark):
     assert [r.doc_id for r in suffix_match.decontaminate(d, b).collect()] == [2]
 
 
+def test_suffixes_are_ranked_by_their_first_words():
+    rng = random.Random(7)
+    texts = [[rng.randint(1, 3) for _ in range(rng.randint(0, 12))] for _ in range(30)]
+    flat = np.array([x for t in texts for x in t], np.uint64)
+    end = np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
+    for depth in (1, 2, 3, 5, 10):
+        keys = [tuple(t[i : i + depth]) for t in texts for i in range(len(t))]
+        order = {k: n + 1 for n, k in enumerate(sorted(set(keys)))}
+        assert suffix_match.ranked_suffixes(flat, end, depth).tolist() == [order[k] for k in keys]
+
+
+def test_longest_matches_against_brute_force(spark):
+    docs, items = drawn(11, 30, 8)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, m.item_id, m.start, m.item_start, m.words) for r in suffix_match.find_contamination(d, b, window=4).collect() for m in r.matches}
+    real = set()
+    for i, t in docs:
+        w = brute.words(t)
+        for k, text in items:
+            x = brute.words(text)
+            least = min(4, len(x))
+            for p in range(len(w)):
+                for q in range(len(x) if len(x) >= 4 else min(1, len(x))):
+                    n = 0
+                    while p + n < len(w) and q + n < len(x) and w[p + n] == x[q + n]:
+                        n += 1
+                    before = p and q and w[p - 1] == x[q - 1]
+                    if n >= least and least and not before:
+                        real.add((i, k, p, q, n))
+    assert found == real and len(real) > 20
+
+
+def test_words_decide_and_not_hashes(spark, monkeypatch):
+    real = suffix_match.words_of
+    monkeypatch.setattr(suffix_match, "words_of", lambda texts, kind: real(texts, kind)._replace(hash=np.full(len(real(texts, kind).hash), 5, np.uint64)))
+    tests = suffix_match.test_suffixes([(1, "a b c")], 3)
+    (_, _, f), = suffix_match.search(["a b c", "x b c", "a b"], tests)
+    assert f.n_hit.tolist() == [3, 0, 0]
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     docs = [(1, None), (1, ""), (2, "Short ITEM."), (2, "Short ITEM."), (None, "short item")]
     items = [(5, "short item"), (5, "short item"), (None, "short item"), (6, None), (7, "")]
     found = digest(spark, docs, items)
     assert found == sorted([(1, 0, 0, []), (1, 0, 0, []), (2, 2, 2, ["5"]), (2, 2, 2, ["5"]), (None, 2, 2, ["5"])], key=str)
-    assert digest(spark, docs, items, test_bytes=4) == found
+    assert digest(spark, docs, items, test_words=1) == found
     assert digest(spark, [], items) == []
     assert all(h == 0 for _, _, h, _ in digest(spark, docs, []))
 
