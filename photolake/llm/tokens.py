@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -42,18 +43,21 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+#: Places where the byte-level pre-tokenizer always starts a new piece: white space behind anything else,
+#: and a mark behind a letter. The marks that begin contractions and stand inside special tokens are not here.
+_CUT = re.compile(r"(?<=\S)(?=[ \t\n\r\f\v])|(?<=[^\W\d_])(?=[!\"#$%&()*+,\-./:;<=>?@\[\]^_`{}~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
+
+
 def split_safely(text: str, size: int) -> list[str]:
     """``text`` in parts of about ``size`` characters whose tokens are those of the whole text.
 
-    A cut is made only before a single space that stands between two ASCII letters: the byte-level
-    pre-tokenizer always starts a new piece there, and no special token holds a space. A text
-    without such a place stays whole.
+    Cuts are made where a new piece always starts, in any script: before white space, and before a mark
+    behind a letter. A text without such a place (one run of digits, say) stays whole.
     """
     if len(text) <= size:
         return [text]
     parts, at = [], 0
-    cut = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
-    while len(text) - at > size and (m := cut.search(text, at + size)):
+    while len(text) - at > size and (m := _CUT.search(text, at + size)):
         parts.append(text[at : m.start()])
         at = m.start()
     parts.append(text[at:])
@@ -78,7 +82,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 512
     Arrow batches go to the encoder in runs balanced by bytes, texts beyond ``part_chars`` in parts
     cut at safe places, and only lengths come back. One narrow pass, no shuffle. Null texts count
     as empty (0 bytes, 0 tokens); repeated rows and null ids give a row each; an empty table gives
-    no rows; other columns are not read.
+    no rows; other columns are not read, whatever their names.
     """
     path = tokenizer or default_tokenizer()
 
@@ -197,12 +201,38 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _put(uri: str, data: bytes, attempt: str) -> None:
-    """Write a file under another name and move it into place, so that a retried task ends alike."""
-    there, path = _filesystem(uri)
-    with there.open_output_stream(f"{path}.{attempt}") as f:
-        f.write(data)
-    there.move(f"{path}.{attempt}", path)
+#: What the files of a shard are called.
+_NAMES = {"tokens": "bin", "offsets": "idx", "ids": "idx"}
+
+
+class _Shard:
+    """Files of one shard that are written as documents come, under names of the attempt, and moved into place at the end."""
+
+    def __init__(self, root: str, name: str, attempt: str, plain: bool) -> None:
+        self.root, self.name, self.attempt, self.plain = root, name, attempt, plain
+        self.there, _ = _filesystem(root)
+        self.out = {k: self.there.open_output_stream(f"{self._path(k)}.{attempt}") for k in _NAMES}
+        self.n_docs = self.n_tokens = 0
+        self.out["offsets"].write(np.zeros(1, "<i8").tobytes())
+
+    def _path(self, kind: str) -> str:
+        return _filesystem(f"{self.root}/{kind}-{self.name}.{_NAMES[kind]}")[1]
+
+    def add(self, ids: list, found: list[bytes], width: int) -> None:
+        ends = self.n_tokens + np.cumsum(np.fromiter((len(x) // width for x in found), np.int64, len(found)))
+        self.out["tokens"].write(b"".join(found))
+        self.out["offsets"].write(ends.astype("<i8").tobytes())
+        if self.plain:
+            # a number and a 0/1 mark for null
+            self.out["ids"].write(np.array([(x or 0, x is None) for x in ids], "<i8").tobytes())
+        else:
+            self.out["ids"].write("".join(json.dumps(x) + "\n" for x in ids).encode())
+        self.n_docs, self.n_tokens = self.n_docs + len(ids), int(ends[-1])
+
+    def close(self) -> None:
+        for kind, out in self.out.items():
+            out.close()
+            self.there.move(f"{self._path(kind)}.{self.attempt}", self._path(kind))
 
 
 def _get(uri: str, dtype: str) -> np.ndarray:
@@ -214,19 +244,24 @@ def _get(uri: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype=dtype)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = 1 << 20) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = 1 << 20, shard_bytes: int = 1 << 30) -> DataFrame:
     """Encode every text and write flat files of ids below ``folder`` in ascending id order.
 
-    ``docs`` is dealt by ranges of the id, so shard k holds smaller ids than shard k + 1. Each shard is
+    ``docs`` is dealt by ranges of id and text, so the shards of task k hold smaller ids than those of
+    task k + 1, or the same where an id has many rows. A task writes as documents come, and begins
+    another shard behind ``shard_bytes`` of ids, so it never holds more than a run of them. A shard is
 
     * ``tokens-k.bin``: ids as little-endian unsigned integers, 16 bits wide where the vocabulary
       allows it, else 32;
     * ``offsets-k.idx``: 64-bit offsets into it, one more than documents;
-    * ``ids-k.idx``: 64-bit document ids and, behind them, a 0/1 mark for each null id.
-
-    Returns the manifest ``shard, n_docs, n_tokens, token_base, doc_base``, written as a table too;
-    the bases are prefix sums over the shards. Null texts are empty and give just the end id. Null
-    ids come first; rows that share an id follow by their text. An empty table gives no shard.
+    * ``ids-k.idx``: for each document its 64-bit id and a 64-bit 0/1 mark for null; ids that are no
+      whole numbers are lines of JSON instead.
+
+    Returns the manifest ``shard, piece, name, n_docs, n_tokens, token_base, doc_base``, written as a
+    table too; the bases are prefix sums over the shards. Null and empty texts give just the end id; a
+    text of any length is encoded whole. Null ids come first; rows that share an id, repeated ones too,
+    follow by a hash of their text, null ones first. Other columns are not read, whatever their names. An empty table
+    gives no shard.
     """
     spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
@@ -235,38 +270,37 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     end = array(code, [end_id]).tobytes()
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     root = folder.rstrip("/")
+    plain = isinstance(docs.schema[id_col].dataType, T.IntegralType)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        cache, shard = _cache(path, code), context.partitionId()
-        attempt = str(context.taskAttemptId())
-        ids, lengths, tokens = [], [], bytearray()
+        cache, part, piece, shard, done = _cache(path, code), context.partitionId(), 0, None, []
         for batch in batches:
-            ids += batch.column(0).to_pylist()
-            texts = batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in _batches([len(x or "") for x in texts], run_bytes):
-                for found in cache.encode(texts[a:b], end):
-                    lengths.append(len(found) // len(end))
-                    tokens += found
-        if not ids:
-            return
-        offsets = np.zeros(len(ids) + 1, "<i8")
-        np.cumsum(lengths, out=offsets[1:])
-        named = np.array([x or 0 for x in ids] + [x is None for x in ids], "<i8")
-        for name, data in (("tokens", bytes(tokens)), ("offsets", offsets.tobytes()), ("ids", named.tobytes())):
-            _put(f"{root}/{name}-{shard:06d}.{'bin' if name == 'tokens' else 'idx'}", data, attempt)
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([int(offsets[-1])], pa.int64())})
+                if shard is None:
+                    shard = _Shard(root, f"{part:06d}-{piece:04d}", str(context.taskAttemptId()), plain)
+                shard.add(ids[a:b], cache.encode(texts[a:b], end), len(end))
+                if shard.n_tokens * len(end) >= shard_bytes:
+                    done.append((piece, shard))
+                    shard.close()
+                    piece, shard = piece + 1, None
+        if shard is not None:
+            done.append((piece, shard))
+            shard.close()
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([part] * len(done), pa.int64()), "piece": pa.array([k for k, _ in done], pa.int64()), "name": pa.array([x.name for _, x in done], pa.string()), "n_docs": pa.array([x.n_docs for _, x in done], pa.int64()), "n_tokens": pa.array([x.n_tokens for _, x in done], pa.int64())})
 
     _make_folder(spark, root)
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dealt = picked.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
-    written = materialize(dealt.mapInArrow(write, "shard long, n_docs long, n_tokens long"), "shards")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    picked = docs.select(F.col(id_col).cast("long" if plain else "string").alias("id"), F.col(text_col).alias("text"), F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col)).alias("text_hash"))
+    dealt = picked.repartitionByRange(shards, "id", "text_hash").sortWithinPartitions("id", "text_hash").select("id", "text")
+    written = materialize(dealt.mapInArrow(write, "shard long, piece long, name string, n_docs long, n_tokens long"), "shards")
+    # one row for each shard
+    before = Window.orderBy("shard", "piece").rowsBetween(Window.unboundedPreceding, -1)
     bases = written.select("*", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for c, n in (("n_tokens", "token_base"), ("n_docs", "doc_base"))))
-    bases.write.parquet(f"{root}/manifest")
-    return spark.read.parquet(f"{root}/manifest").withColumn("width", F.lit(width))
+    bases.select("*", F.lit(width).alias("width"), F.lit(plain).alias("plain")).write.parquet(f"{root}/manifest")
+    return spark.read.parquet(f"{root}/manifest")
 
 
 def _make_folder(spark, uri: str) -> None:
@@ -274,26 +308,33 @@ def _make_folder(spark, uri: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
 
 
-def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """Documents of written files: ``doc_id, start, n_tokens, ids_crc32`` (long each), in file order
-    within a shard. Each shard's files are mapped by one task and read document by document.
+def read_token_files(manifest: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
+    """Documents of written files: ``doc_id, start, n_tokens, ids_crc32``, in file order within a shard.
+
+    Each shard's files are mapped by one task and read document by document. Null ids come back as
+    null. ``id_type`` is ``string`` for ids that are no whole numbers. No shards give no rows.
     """
-    root = folder.rstrip("/")
+    root, kind = folder.rstrip("/"), pa.int64() if id_type == "long" else pa.string()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                tokens = _get(f"{root}/tokens-{row['shard']:06d}.bin", row["width"])
-                offsets = _get(f"{root}/offsets-{row['shard']:06d}.idx", "<i8")
-                named = np.array(_get(f"{root}/ids-{row['shard']:06d}.idx", "<i8"))
-                n, at = row["n_docs"], offsets.tolist()
-                for a in range(0, n, 10_000):
-                    b = min(n, a + 10_000)
-                    sums = [zlib.crc32(tokens[i:j].astype("<u4").tobytes()) for i, j in zip(at[a:b], at[a + 1 : b + 1])]
-                    yield pa.RecordBatch.from_arrays([pa.array(named[a:b], mask=named[n + a : n + b] == 1), pa.array(offsets[a:b] + row["token_base"]), pa.array(np.diff(offsets[a : b + 1])), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    spread = manifest.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                tokens = _get(f"{root}/tokens-{row['name']}.bin", row["width"])
+                offsets = _get(f"{root}/offsets-{row['name']}.idx", "<i8")
+                if row["plain"]:
+                    named = _get(f"{root}/ids-{row['name']}.idx", "<i8").reshape(-1, 2)
+                    ids = lambda a, b, x=named: pa.array(np.array(x[a:b, 0]), mask=x[a:b, 1] == 1)
+                else:
+                    lines = bytes(_get(f"{root}/ids-{row['name']}.idx", "u1")).decode().split("\n")
+                    ids = lambda a, b, x=lines: pa.array([json.loads(y) for y in x[a:b]], kind)
+                for a in range(0, row["n_docs"], 10_000):
+                    b = min(row["n_docs"], a + 10_000)
+                    at = offsets[a : b + 1].tolist()
+                    sums = [zlib.crc32(tokens[i:j].astype("<u4").tobytes()) for i, j in zip(at, at[1:])]
+                    yield pa.RecordBatch.from_arrays([ids(a, b), pa.array(offsets[a:b] + row["token_base"]), pa.array(np.diff(offsets[a : b + 1])), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    spread = manifest.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "piece")
+    return spread.mapInArrow(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_files(spark, sf_dir: str) -> DataFrame:

@@ -83,10 +83,10 @@ def test_files_of_odd_texts(spark, tokenizer):
 def test_files_hold_what_the_format_says(spark, tokenizer):
     folder, manifest, _ = write(spark, [(3, "some words"), (1, "x"), (None, "null id")], shards=1)
     path = folder.removeprefix("file://")
-    ids = np.fromfile(f"{path}/tokens-000000.bin", "<u2").tolist()
+    ids = np.fromfile(f"{path}/tokens-000000-0000.bin", "<u2").tolist()
     assert ids == [i for t in ("null id", "x", "some words") for i in [*real(tokenizer, t), 2]]
-    assert np.fromfile(f"{path}/offsets-000000.idx", "<i8").tolist()[-1] == len(ids)
-    assert np.fromfile(f"{path}/ids-000000.idx", "<i8").tolist() == [0, 1, 3, 1, 0, 0]
+    assert np.fromfile(f"{path}/offsets-000000-0000.idx", "<i8").tolist()[-1] == len(ids)
+    assert np.fromfile(f"{path}/ids-000000-0000.idx", "<i8").tolist() == [0, 1, 1, 0, 3, 0]
 
 
 def test_files_of_repeats_nulls_and_nothing(spark):
@@ -97,6 +97,32 @@ def test_files_of_repeats_nulls_and_nothing(spark):
     assert found == [] and manifest.count() == 0
 
 
+def test_one_id_with_many_rows_and_many_small_shards(spark, tokenizer):
+    rows = [(None if i % 3 else 7, f"text {i} " * (i % 5)) for i in range(200)]
+    _, manifest, found = write(spark, rows, shards=4, shard_bytes=100, run_bytes=50)
+    assert manifest.select("shard").distinct().count() > 2 and manifest.where("piece > 0").count() > 4
+    assert sorted(r.ids_crc32 for r in found) == sorted(crc([*real(tokenizer, t), 2]) for _, t in rows)
+    found.sort(key=lambda r: r.start)
+    assert [r.doc_id is None for r in found] == [True] * 133 + [False] * 67
+    assert [r.start for r in found] == [sum(x.n_tokens for x in found[:k]) for k in range(len(found))]
+
+
+def test_ids_that_are_no_numbers(spark):
+    df = spark.createDataFrame([("b\n", "x"), ("a", "y y"), (None, "z")], "doc_id string, text string")
+    folder = scratch_path(spark, "t")
+    manifest = tokens.write_token_files(df, folder, shards=1)
+    found = tokens.read_token_files(manifest, folder, "string").collect()
+    assert [(r.doc_id, r.n_tokens) for r in found] == [(None, 2), ("a", 3), ("b\n", 2)]
+
+
+@pytest.mark.parametrize("text", ["слово " * 500, "λέξη, " * 500, "日本語。" * 900, "1234 " * 500, "a<|endoftext|>" * 200, "x'll " * 300, "ab\n\n  cd" * 300, "½²_a!" * 400])
+def test_long_texts_of_any_script_are_split(tokenizer, text):
+    parts = tokens.split_safely(text, 100)
+    assert "".join(parts) == text
+    assert [i for p in parts for i in real(tokenizer, p)] == real(tokenizer, text)
+    assert max(map(len, parts)) < 250 or not any(c in text for c in " \n。!")
+
+
 def test_a_second_write_gives_the_same(spark):
     rows = [(i, t) for i, t in enumerate(texts(60, 5))]
     key = lambda found: sorted((r.doc_id, r.start, r.ids_crc32) for r in found)
