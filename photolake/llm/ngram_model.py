@@ -239,8 +239,10 @@ def score(docs: DataFrame, held_out, block_words: int = 1 << 20, bucket_grams: i
     counts (deleted estimation), over a histogram of the estimates that has a fixed number of cells.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. A null text is an
-    empty one and has only its end; repeated rows and null ids get rows of their own; an empty table
-    gives no rows. N-grams are told apart by 64-bit hashes.
+    empty one and has only its end; a text of any length stands whole in one block; repeated rows and
+    null ids get rows of their own, and are learned from as often as they stand; other columns are not
+    read, whatever their names; an empty table gives no rows. Where weights are equally likely, those
+    of all buckets together decide. N-grams are told apart by 64-bit hashes.
     """
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     blocks = materialize(_cut(picked, block_words), "blocks")

@@ -171,8 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = 20_00
 def score(docs: DataFrame, model: Rules, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, predicted`` of every row: no shuffle, no Python.
 
-    Null and empty texts are scored by the statistics of an empty text; repeated rows and null ids
-    give a row each; an empty table gives no rows. Without labels to learn from all scores are 0.5.
+    Null and empty texts are scored by the statistics of an empty text, texts of any length by those of
+    the whole; a value equal to a rule's cut is not above it. Repeated rows and null ids give a row
+    each; other columns are not read, whatever their names; an empty table gives no rows. Without
+    labels to learn from all scores are 0.5.
     """
     s = statistics(docs, id_col, text_col).select("doc_id", compiled(model).alias("score"))
     return s.withColumn("predicted", (F.col("score") >= cut).cast("int"))
