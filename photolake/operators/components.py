@@ -32,17 +32,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     longest path. Every round is cut with a written table, which goes when the next one is there. No
     link reaches the driver.
     """
-    nodes = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    alone = nodes.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    links = materialize(nodes.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = None
+    ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
+    # the links are made once, whatever it takes to make them
+    given = materialize(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    alone = given.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
+    links, seen = given.where("a <> b"), None
     while True:
         # what tells whether the round changed anything is summed up while its links are written
         told = Observation()
         summed = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        before = links
+        before = links if seen else None
         links = materialize(_small_star(_large_star(links)).observe(told, F.count("*").alias("n"), summed.alias("sum")), "stars")
-        discard(before)
+        if before is not None:
+            discard(before)
         if told.get == seen:
             break
         seen = told.get
