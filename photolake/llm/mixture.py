@@ -106,8 +106,8 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1,
     turn that takes some of them, in order. So a source's words differ from its target by less than
     a block or two, and no row exceeds ``most`` times its size.
 
-    Places in the line are prefix sums in two steps, over 4096 parts of each source by the MD5's first
-    digits, each dealt by size, and within them, so a source or an id may hold any part of the rows;
+    Places in the line are prefix sums in three steps, over 4096 parts of each source by the MD5's first
+    digits, over 64 deals of each by size, and within them, so a source or an id may hold any part of the rows;
     rows equal in id, source and size stand side by side. A text of any length is a row of the blocks
     it reaches. A null text has size 0, a null source is a source of its own, null ids stand where an
     empty id would, rows of one id and size in any order, as they give the same rows; repeated rows are
@@ -124,8 +124,11 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1,
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = sized.join(names, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("key", key)
     rows = rows.withColumn("part", F.substring("key", 1, 3)).withColumn("deal", F.pmod("size", F.lit(64)))
-    parts = rows.groupBy("sid", "part", "deal").agg(F.sum("size").alias("n"))
-    base = parts.select("sid", "part", "deal", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("part", "deal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    upto = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    deals = rows.groupBy("sid", "part", "deal").agg(F.sum("size").alias("n"))
+    parts = deals.groupBy("sid", "part").agg(F.sum("n").alias("n")).select("sid", "part", F.coalesce(F.sum("n").over(upto("sid", "part")), F.lit(0)).alias("before"))
+    deals = deals.withColumn("base", F.coalesce(F.sum("n").over(upto("sid", "part", "deal")), F.lit(0)))
+    base = deals.join(parts, ["sid", "part"]).select("sid", "part", "deal", (F.col("before") + F.col("base")).alias("base"))
     within = F.coalesce(F.sum("size").over(Window.partitionBy("sid", "part", "deal").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = rows.where("size > 0").withColumn("within", within).join(base, ["sid", "part", "deal"]).withColumn("start", F.col("base") + F.col("within"))
     placed = placed.select("doc_id", "source", "size", "source_size", "target", "sid", "start", "block_words", "blocks")
