@@ -25,6 +25,8 @@ END = np.uint64(0xE7D55A10C0FFEE11)
 STEPS, CELLS = 4, 64 * 4
 #: Buckets of context counts: 0, then one for each doubling.
 BUCKETS = 40
+#: Tasks of a shuffle at most; beyond, a task takes several groups one after another.
+TASKS = 1 << 15
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -125,8 +127,11 @@ def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
     return blocks.select("block", "held", "lengths", "tokens", "vocab").mapInArrow(ask, "gram int, bucket int, block long, keys binary, counts binary")
 
 
-def _answers(requests: DataFrame) -> DataFrame:
-    """The summed counts of each request, and in one row of a bucket how many n-grams it has learned."""
+def _answers(requests: DataFrame, buckets: int) -> DataFrame:
+    """The summed counts of each request, and in one row of a bucket how many n-grams it has learned.
+
+    Tasks follow the number of buckets, so that what one reads does not grow with the corpus.
+    """
 
     def add(rows: pa.Table) -> pa.Table:
         rows = rows.to_pylist()
@@ -138,11 +143,11 @@ def _answers(requests: DataFrame) -> DataFrame:
         distinct = int((sums > 0).sum())
         return pa.Table.from_pydict({"gram": pa.array([r["gram"] for r in rows], pa.int32()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "block": pa.array([r["block"] for r in rows], pa.int64()), "found": pa.array([_planes(sums[at[e - len(k) : e]].astype("<u8")) for k, e in zip(keys, ends)], pa.binary()), "distinct": pa.array([distinct if i == 0 else 0 for i in range(len(rows))], pa.int64())})
 
-    return requests.groupBy("gram", "bucket").applyInArrow(add, "gram int, bucket int, block long, found binary, distinct long")
+    return requests.repartition(min(2 * buckets, TASKS), "gram", "bucket").groupBy("gram", "bucket").applyInArrow(add, "gram int, bucket int, block long, found binary, distinct long")
 
 
-def _counted(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Documents with the corpus counts of each token and of its bigram."""
+def _counted(blocks: DataFrame, answers: DataFrame, n_blocks: int) -> DataFrame:
+    """Documents with the corpus counts of each token and of its bigram, in tasks of about one block."""
     kind = blocks.schema["ids"].dataType.elementType
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +165,9 @@ def _counted(blocks: DataFrame, answers: DataFrame) -> DataFrame:
 
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("one", T.BinaryType()), T.StructField("two", T.BinaryType())])
     # a block's answers are as many numbers as it has different n-grams, so the list is bounded
-    found = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("gram", "bucket", "found"))).alias("found"))
-    return blocks.select("block", "ids", "held", "lengths", "tokens", "vocab").join(found, "block").mapInArrow(look_up, schema)
+    tasks = max(1, min(n_blocks, TASKS))
+    found = answers.repartition(tasks, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("gram", "bucket", "found"))).alias("found"))
+    return blocks.select("block", "ids", "held", "lengths", "tokens", "vocab").repartition(tasks, "block").join(found, "block").mapInArrow(look_up, schema)
 
 
 def _counts_of(row: dict, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,10 +252,11 @@ def score(docs: DataFrame, held_out, block_words: int = 1 << 20, bucket_grams: i
     """
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     blocks = materialize(_cut(picked, block_words), "blocks")
-    size, n, n_docs = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_learned", "n_docs"))).first()
-    answers = materialize(_answers(_requests(blocks, max(1, -(-size // bucket_grams)))), "counts")
+    n_blocks, size, n, n_docs = blocks.agg(F.count("*"), *(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_learned", "n_docs"))).first()
+    buckets = max(1, -(-size // bucket_grams))
+    answers = materialize(_answers(_requests(blocks, buckets), buckets), "counts")
     v = answers.where("gram = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
-    counted = materialize(_counted(blocks, answers), "counted")
+    counted = materialize(_counted(blocks, answers, n_blocks), "counted")
     weights = fit_weights(_histogram(counted, n, v, n_docs))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
