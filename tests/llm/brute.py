@@ -4,7 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
-from math import ceil, floor, log10
+from math import ceil, floor, log2, log10
 
 import xxhash
 
@@ -105,6 +105,57 @@ def unigrams(docs):
     return {i: (fold(i) % 7 == 2, len(ws), sum(counts[w] > 0 for w in ws), n, sum(log10((counts[w] + 1) / (n + v + 1)) for w in ws)) for i, ws in split.items()}
 
 
+def interpolated(docs):
+    """``{doc_id: score}`` of a bigram model by deleted interpolation, counted word by word.
+
+    Estimates are rounded to quarters of a doubling for the weights, as the operator's histogram has them.
+    """
+    split = {i: [*words(t, NO_SPACE), "</s>"] for i, t in docs}
+    learned = [ws for i, ws in split.items() if fold(i) % 7 != 2]
+    one = Counter(w for ws in learned for w in ws)
+    two = Counter(p for ws in learned for p in zip(["<s>", *ws], ws))
+    before = Counter({**one, "<s>": len(learned)})
+    n, v = sum(one.values()), len(one)
+    bucket = lambda c: int(log2(c)) + 1 if c else 0
+    rounded = lambda p: 2 ** (round(log2(p * (v + 1)) * 4) / 4) if p else 0.0
+    seen = Counter()
+    for ws in learned:
+        for p in zip(["<s>", *ws], ws):
+            c, u, b = before[p[0]] - 1, one[p[1]] - 1, two[p] - 1
+            seen[bucket(c), rounded(u / (n - 1)), rounded(b / c) if c else 0.0] += 1
+
+    def fitted(cells, prior, start):
+        w = start
+        for _ in range(50):
+            total = [prior * x for x in start]
+            for (_, p1, p2), k in cells.items():
+                parts = [w[0], w[1] * p1, w[2] * p2]
+                total = [t + k * x / sum(parts) for t, x in zip(total, parts)]
+            w = [t / sum(total) for t in total]
+        return w
+
+    pooled = fitted(seen, 0, [0.1, 0.4, 0.5])
+    weights = {}
+
+    def of(b):
+        if b not in weights:
+            w = fitted({k: c for k, c in seen.items() if k[0] == b}, 10, pooled)
+            w = [w[0], w[1] + w[2], 0.0] if b == 0 else w
+            w = [max(w[0], 1e-6), max(w[1], 1e-6), w[2]]
+            weights[b] = [x / sum(w) for x in w]
+        return weights[b]
+
+    def score(ws):
+        total = 0.0
+        for p in zip(["<s>", *ws], ws):
+            c = before[p[0]]
+            w = of(bucket(c))
+            total += log10(w[0] / (v + 1) + w[1] * one[p[1]] / n + (w[2] * two[p] / c if c else 0.0))
+        return total
+
+    return {i: score(ws) for i, ws in split.items()}
+
+
 def mixture(docs, share=1.5, weights=(3, 1, 2), most=2, block_words=4096, least_slots=1 << 14):
     """``[(doc_id, size, source_size, target, taken, first slot)]`` of ``(doc_id, text, source)`` rows, word by word."""
     sized = [(i, len(words(t, NO_SPACE)), s) for i, t, s in docs]

@@ -49,6 +49,13 @@ def test_how_the_rows_are_cut_changes_nothing(spark, options):
         assert a[i][:5] == b[i][:5] and a[i].score == pytest.approx(b[i].score, abs=1e-6)
 
 
+def test_scores_against_brute_force(spark):
+    rows = chains(300, 4) + [(1000, None), (1001, ""), (1002, "never seen before t1 t2")]
+    expected = brute.interpolated(rows)
+    found = {r.doc_id: r.score for r in scored(spark, rows)}
+    assert found == pytest.approx(expected, rel=1e-6)
+
+
 def test_scores_against_counts(spark):
     """The model's probabilities lie between the estimates that it mixes, and beat either on new texts."""
     rows = chains(400)
