@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from photolake.llm import license_scan, merkle, mixture, ngram_model, nn_descent, quality_rules, simhash, suffix_match, tokens, toxicity
+from photolake.llm import hard_negatives, license_scan, merkle, mixture, ngram_model, nn_descent, quality_rules, simhash, suffix_match, tokens, toxicity
 
 QUERIES = {
     "op1_nn_descent": nn_descent.op1_nn_descent,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_mixture": mixture.op10_mixture,
     "op11_merkle": merkle.op11_merkle,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
 }
 
-ORACLES = {"op4_license_scan": license_scan.ORACLE_SQL, "op3_decontamination": suffix_match.ORACLE_SQL, "op10_mixture": mixture.ORACLE_SQL, "op11_merkle": merkle.ORACLE_SQL}
+ORACLES = {"op4_license_scan": license_scan.ORACLE_SQL, "op3_decontamination": suffix_match.ORACLE_SQL, "op10_mixture": mixture.ORACLE_SQL, "op11_merkle": merkle.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL}
