@@ -17,7 +17,7 @@ from photolake import schema as S
 from photolake.config import Config
 from photolake.errors import NotFound, StorageFailure
 from photolake.functions import grading, images
-from photolake.operators import clustering, diff, enrichment, export, manual, models, people, views
+from photolake.operators import clustering, diff, enrichment, export, identity, manual, models, people, views
 from photolake.sources import photos as sources
 from photolake.sources import projects, sinks
 from photolake.storage import exists, materialize
@@ -27,6 +27,9 @@ GRADES = "path string, content_hash string, new_grade string, new_score float, n
 SEARCHED = "path string, content_hash string, now long"
 FOUND = T.StructType([*S.FACES, T.StructField("content_hash", T.StringType())])
 
+#: Faces that people had when they were last seen; a person's id is the ``cluster_id`` of faces.
+MEMBERS = "path string, face_ord int, person_id long"
+
 Report = Callable[[str, DataFrame], None]
 
 
@@ -72,6 +75,7 @@ class Library:
         new = diff.new_files(files, stored).count()
         if new or not changes.isEmpty():
             self.store.write(diff.drop_changed_faces(faces, changes), "faces", project)
+            self.store.write(diff.drop_changed_faces(self.store.read("members", project, MEMBERS), changes), "members", project)
             self._save_photos(self._as_photos(diff.merged(stored.drop("photo_ord"), files), project), project)
         return new
 
@@ -145,19 +149,23 @@ class Library:
         InheritableThread(target=run, daemon=True).start()
         return done
 
-    def polled(self, project: str, seconds: float | None = None) -> Iterator[DataFrame]:
+    def polled(self, project: str, seconds: float | None = None, failures: int = 5) -> Iterator[DataFrame]:
         """Photos that changed since the last look, all at first, until no photo waits for a stage.
 
-        A photo changed if its grade, the number of its faces or one of its times did. A look that fails
-        because a table is being replaced is passed over.
+        A photo changed if its grade, the number of its faces or one of its times did. A look that fails,
+        as when a table is being replaced, is passed over; after ``failures`` in a row the error is raised.
         """
-        seconds, held = self.config.poll_seconds if seconds is None else seconds, None
+        seconds, held, failed = self.config.poll_seconds if seconds is None else seconds, None, 0
         while True:
             try:
                 seen = materialize(views.with_face_counts(self.photos(project), self._stored_faces(project)), "seen")
             except PySparkException:
+                failed += 1
+                if failed >= failures:
+                    raise
                 time.sleep(seconds)
                 continue
+            failed = 0
             yield seen if held is None else diff.updated(held, seen, "grade", "n_faces", "graded_at", "faces_detected_at")
             if views.progress(seen).first()["stage"] == "complete":
                 return
@@ -207,7 +215,10 @@ class Library:
             grades = enrichment.graded(measures, now, self.config).join(part, "path").select(*(c.split()[0] for c in GRADES.split(", ")))
             grades = materialize(grades, "graded")
             self.store.append(grades, "grades", project)
-            told("photo_graded", grades.where("new_grade is not null").select("path", F.col("new_grade").alias("grade"), F.lit(S.AUTO).alias("grade_source")))
+            graded = grades.where("new_grade is not null").select("path", F.col("new_grade").alias("grade"), F.lit(S.AUTO).alias("grade_source"))
+            # a part may hold pictures alone that do not open
+            if not graded.isEmpty():
+                told("photo_graded", graded)
 
         told("grading", views.progress(self._stored(project)))
         small = self.store.read_all("copies", sinks.COPIES, project).where("kind = 'thumbnail' and error is null")
@@ -242,13 +253,21 @@ class Library:
         told("faces", views.progress(self._stored(project)))
 
     def regroup(self, project: str, faces: DataFrame | None = None) -> None:
-        """Cluster all faces of a project anew, in the order of photos as they stand now."""
+        """Cluster all faces of a project anew, in the order of photos as they stand now.
+
+        A ``cluster_id`` stays with a person (:mod:`photolake.operators.identity`), and with it the name:
+        the cluster that shares most faces with the person has it, whatever its number in the grouping.
+        """
         now = self._stored(project).select("path", "photo_ord")
         faces = (self._stored_faces(project) if faces is None else faces).drop("photo_ord").join(now, "path")
         # a photo's place is its own, and a photo has far fewer faces
         keyed = faces.withColumn("ord", F.col("photo_ord") * 1_000_000 + F.col("face_ord"))
         labels = clustering.dbscan(keyed.where("embedding is not null").select("ord", "embedding"), self.config.cluster_eps, self.config.cluster_min_samples)
-        of = keyed.select("path", "face_ord", "ord").join(labels.select("ord", "cluster_id"), "ord").drop("ord")
+        of = materialize(keyed.select("path", "face_ord", "ord").join(labels.select("ord", "cluster_id"), "ord").drop("ord"), "grouped")
+        members = self.store.read("members", project, MEMBERS)
+        who = materialize(identity.lasting(members, of, "path", "face_ord"), "people")
+        self.store.write(identity.remembered(members, of, who, "path", "face_ord"), "members", project)
+        of = of.join(who.select("cluster_id", "person_id"), "cluster_id", "left").select("path", "face_ord", F.col("person_id").alias("cluster_id"))
         self.store.write(faces.drop("cluster_id").join(of, ["path", "face_ord"], "left").select(*S.FACES.names), "faces", project)
 
     def generate_thumbnails(self, project: str, report: Report | None = None) -> int:

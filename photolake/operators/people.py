@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photolake import schema as S
-from photolake.operators.order import ranked
 
 
 def people(faces: DataFrame) -> DataFrame:
     """One row for each cluster: label, most confident face, number of photos.
 
+    The label tells the cluster's number, from 1, so it stays while the number does.
     The first of equally confident faces, by photo and place, stands for the cluster. A cluster
     without a face of confidence over 0 has no representative and a box of zeros.
     """
@@ -20,7 +20,7 @@ def people(faces: DataFrame) -> DataFrame:
     shown = F.struct("path", "x1", "y1", "x2", "y2")
     grouped = faces.where("cluster_id is not null").groupBy("cluster_id").agg(F.countDistinct("path").alias("photo_count"), F.max_by(F.when(sure, shown), F.when(sure, place)).alias("best"))
     zero = lambda c: F.coalesce(F.col(f"best.{c}"), F.lit(0.0)).alias(c)
-    return ranked(grouped, "cluster_id").select("cluster_id", F.concat(F.lit("Person "), (F.col("place") + 1).cast("string")).alias("label"), F.coalesce("best.path", F.lit("")).alias("representative"), zero("x1"), zero("y1"), zero("x2"), zero("y2"), "photo_count")
+    return grouped.select("cluster_id", F.concat(F.lit("Person "), (F.col("cluster_id") + 1).cast("string")).alias("label"), F.coalesce("best.path", F.lit("")).alias("representative"), zero("x1"), zero("y1"), zero("x2"), zero("y2"), "photo_count")
 
 
 def group_photos(faces: DataFrame) -> DataFrame:

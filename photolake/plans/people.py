@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photolake.functions import vectors as V
-from photolake.operators import clustering, export, manual, people, views
+from photolake.operators import clustering, export, identity, manual, people, views
 from photolake.plans import fixtures as X
 from photolake.plans.catalog import query
 from photolake.plans.views import D2, over
@@ -97,6 +97,22 @@ def renamed_people(spark, sf_dir: str) -> DataFrame:
     return manual.renamed_clusters(found, names)
 
 
+GREEDY_SQL = """seen as (select label::bigint as person_id, cluster_id from clustered),
+    pairs as (select *, row_number() over (order by shared desc, faces, person_id, cluster_id) as r from (select person_id, cluster_id, count(*) as shared from seen where cluster_id is not null group by 1, 2) join (select person_id, count(*) as faces from seen group by 1) using (person_id)),
+    walk as (select 0::bigint as r, []::bigint[] as p, []::bigint[] as c, []::bigint[] as kept
+        union all select w.r + 1, case when ok then list_append(p, person_id) else p end, case when ok then list_append(c, cluster_id) else c end, case when ok then list_append(kept, n) else kept end
+        from (select w.r, w.p, w.c, w.kept, x.person_id, x.cluster_id, x.r as n, not list_contains(w.p, x.person_id) and not list_contains(w.c, x.cluster_id) as ok from walk w join pairs x on x.r = w.r + 1) w),
+    matched as (select person_id, cluster_id, shared from pairs where list_contains((select arg_max(kept, r) from walk), r)),
+    free as (select cluster_id, row_number() over (order by cluster_id) + (select max(person_id) from seen) as person_id from (select distinct cluster_id from seen where cluster_id is not null and cluster_id not in (select cluster_id from matched)))"""
+
+
+@query(over(f", {GREEDY_SQL}\nselect cluster_id, person_id, shared from matched union all select cluster_id, person_id, null from free", "clustered"))
+def lasting_people(spark, sf_dir: str) -> DataFrame:
+    """Which person of an earlier grouping (the labels) each cluster is, and new numbers for the others."""
+    found = _clustered(spark, sf_dir)
+    return identity.lasting(found.select("ord", F.col("label").cast("long").alias("person_id")), found.select("ord", "cluster_id"), "ord")
+
+
 @query(over("select path, grade from photos where path in (select path from faces where label = 3)", "photos", "faces"))
 def view_person(spark, sf_dir: str) -> DataFrame:
     faces = X.faces(spark, sf_dir).withColumn("cluster_id", F.col("label").cast("long"))

@@ -192,6 +192,59 @@ def test_people_of_a_project(library, folder, spark):
     assert library.photos(project).where(F.col("faces_detected_at").isNotNull()).count() == 0
 
 
+def test_names_stay_with_people_when_numbers_shift(spark, tmp_path, folder):
+    """Earlier files of another person take the first number of a grouping, a late one joins two people."""
+    from photolake import schema as S
+
+    library = Library(spark, f"file://{tmp_path}/library")
+    project = library.import_folder(str(folder))
+
+    def face(path, i, *vector):
+        return (project, path, None, i, (0.0, 0.0, 9.0, 9.0), 0.5, [float(x) for x in vector], None)
+
+    paths = [r.path for r in library.photos(project).orderBy("photo_ord").collect()]
+    ann, bob = (1, 0, 0), (0, 1, 0)
+
+    def regrouped(rows):
+        library.store.write(spark.createDataFrame(rows, S.FACES), "faces", project)
+        library.regroup(project)
+        people = {r.cluster_id: r.label for r in library.clusters(project).where("cluster_id >= 0").collect()}
+        return {(r.path, r.face_ord): people.get(r.cluster_id) for r in library.faces(project).collect()}
+
+    rows = [face(paths[2], 0, *ann), face(paths[3], 0, *ann)]
+    regrouped(rows)
+    library.rename_person(project, 0, "Ann")
+    rows += [face(paths[0], 0, *bob), face(paths[1], 0, *bob)]
+    now = regrouped(rows)
+    assert now[paths[2], 0] == now[paths[3], 0] == "Ann"
+    assert now[paths[0], 0] == now[paths[1], 0] == "Person 2"
+    library.rename_person(project, 1, "Bob")
+    # one face of each alone is noise; both are known again when they come back
+    assert set(regrouped([rows[0], rows[2]]).values()) == {None}
+    now = regrouped(rows)
+    assert (now[paths[2], 0], now[paths[0], 0]) == ("Ann", "Bob")
+    # a bridge joins them: the one with more faces stays, and the other is back after it is gone
+    bridge = [face(paths[1], 1, 0.6, 0.6, 0), face(paths[2], 1, 1, 0.1, 0)]
+    assert set(regrouped(rows + bridge).values()) == {"Ann"}
+    now = regrouped(rows)
+    assert (now[paths[2], 0], now[paths[0], 0]) == ("Ann", "Bob")
+
+
+def test_polling_gives_up_after_some_failures(library, folder, monkeypatch):
+    from pyspark.errors import AnalysisException
+
+    project, looks = library.import_folder(str(folder)), []
+
+    def broken(*_):
+        looks.append(1)
+        raise AnalysisException("a table is missing")
+
+    monkeypatch.setattr(library, "photos", broken)
+    with pytest.raises(AnalysisException):
+        next(library.polled(project, 0, failures=3))
+    assert len(looks) == 3
+
+
 def test_photos_of_a_project_are_not_ordered_in_one_task(spark, tmp_path):
     library = Library(spark, str(tmp_path / "library"))
     rows = spark.createDataFrame([(f"/p/{i % 7}{i}.png", f"{i % 7}{i}.png") for i in range(50)], "path string, filename string")
@@ -296,13 +349,15 @@ def test_graded_photos_are_told_one_by_one_and_kept_part_by_part(spark, tmp_path
     def report(stage, rows):
         told.append(stage)
         if stage == "photo_graded":
+            assert rows.count() > 0
             graded.extend((r.path.rsplit("/", 1)[1], r.grade, r.grade_source) for r in rows.collect())
             if told.count("photo_graded") == 1:
                 raise RuntimeError("the run breaks off")
 
     with pytest.raises(RuntimeError):
         library.start_enrichment(project, report, now=5)
-    assert told[-1] == "complete" and graded
+    # the part that was told about is there, and so is the end of the run that broke off
+    assert told[-1] == "complete" and len(graded) == 1
     library.start_enrichment(project, report, now=6)
     assert sorted(name for name, _, _ in graded) == ["a.png", "b.PNG", "c.png"]
     times = {r.filename: r.graded_at for r in library.photos(project).collect()}
