@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from photolake.functions.vectors import cosine, squared_distance
+from photolake.functions.vectors import cosine
 from photolake.operators.components import connected_components
 from photolake.operators.order import ranked
 from photolake.storage import materialize
 
-
-#: Vectors of a group; pairs of groups are compared by one task each.
+#: Vectors of a group at most; pairs of groups are compared by one task each.
 TILE = 4096
 #: Rows of a group that are compared at once.
 RUN = 512
+#: Pivots at most, vectors that they are chosen among, and groups whose spans are compared by one task.
+PIVOTS, SAMPLE, SPANS = 512, 4096, 1024
+#: About how many seconds a pair of vectors, a vector sent to a pair of groups, and such a pair cost.
+PAIR_S, COPY_S, TILE_S = 2e-8, 5e-6, 3e-4
 
 
-def _classes(vectors: DataFrame) -> DataFrame:
-    """``embedding, cid, n``: different vectors in doubles, their smallest ``ord``, and how many rows bear each.
-
-    Null and empty vectors are left out.
-    """
-    doubles = vectors.select("ord", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    return doubles.where(F.size("embedding") > 0).groupBy("embedding").agg(F.min("ord").alias("cid"), F.count("*").alias("n"))
+def _doubles(vectors: DataFrame) -> DataFrame:
+    """``ord, embedding`` in doubles, without null and empty vectors."""
+    return vectors.select("ord", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).where(F.size("embedding") > 0)
 
 
 def _packed(classes: DataFrame) -> DataFrame:
@@ -42,46 +44,212 @@ def _packed(classes: DataFrame) -> DataFrame:
     return materialize(classes.select("cid", "n", "embedding").mapInArrow(pack, f"cid {kind}, n long, size int, vec binary"), "packed")
 
 
-def _grouped(packed: DataFrame, eps: float) -> DataFrame:
-    """``packed`` with the ``group`` of each vector and the range ``low, high`` of groups that may hold partners.
+def pivots_of(packed: DataFrame, rows: int) -> np.ndarray:
+    """Vectors that lie far apart, each the farthest from those before, among at most :data:`SAMPLE` of the smallest hashes.
 
-    Vectors stand in the order of their distance from a pivot, the one of the smallest hash, and
-    :data:`TILE` of them, or fewer where there are too few groups for all cores, are a group. Distances
-    from the pivot differ by no more than the vectors' own distance, so groups whose ranges lie
-    further apart than ``eps`` never meet. The driver sees one row for each group.
+    All have the length that most of the sample have. Which vectors are pivots decides how many pairs of
+    groups are compared, and never the result.
+    """
+    some = [np.frombuffer(r["vec"], "<f8") for r in packed.orderBy(F.xxhash64("cid")).limit(SAMPLE).select("vec").collect()]
+    some = [x for x in some if np.isfinite(x).all()]
+    if not some:
+        return np.empty((0, 0))
+    lengths = [len(x) for x in some]
+    size = max(sorted(set(lengths)), key=lengths.count)
+    x = np.array([v for v in some if len(v) == size])
+    chosen, away = [0], ((x - x[0]) ** 2).sum(1)
+    while len(chosen) < min(len(x), PIVOTS, max(4, rows // 16)) and away.max() > 0:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen]
+
+
+def distances(vectors: list[bytes], pivots: np.ndarray) -> np.ndarray:
+    """The distance of each vector from each pivot; not a number where the lengths differ or it has none."""
+    out = np.full((len(vectors), len(pivots)), np.nan)
+    fits = [i for i, v in enumerate(vectors) if len(v) == 8 * pivots.shape[1]]
+    if fits and len(pivots):
+        x = np.frombuffer(b"".join(vectors[i] for i in fits), "<f8").reshape(len(fits), -1)
+        with np.errstate(all="ignore"):
+            out[fits] = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T, 0))
+    out[~np.isfinite(out).all(1)] = np.nan
+    return out
+
+
+def in_cells(packed: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``packed`` with the ``cell`` of each vector, the number of its nearest pivot, and its distance ``away``.
+
+    Vectors without distances have a cell for each length, below 0.
     """
-    spark = packed.sparkSession
-    first = packed.orderBy(F.xxhash64("cid")).limit(1).collect()
-    if not first:
-        return packed.select("*", F.lit(0).alias("group"), F.lit(0).alias("low"), F.lit(0).alias("high"))
-    pivot, parts = np.frombuffer(first[0]["vec"], "<f8"), int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [np.frombuffer(x, "<f8") for x in batch.column(3).to_pylist()]
-            away = np.array([np.sqrt(((x - pivot) ** 2).sum()) if len(x) == len(pivot) else -1.0 for x in data])
-            away[~np.isfinite(away)] = -1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(away, pa.float64())], [*batch.schema.names, "away"])
-
-    kind = packed.schema["cid"].dataType.simpleString()
-    placed = materialize(ranked(packed.mapInArrow(measure, f"cid {kind}, n long, size int, vec binary, away double"), "away", "cid"), "placed")
-    each = max(1, min(TILE, -(-placed.count() // max(1, int(np.sqrt(2 * parts))))))
-    grouped = placed.withColumn("group", F.floor(F.col("place") / each).cast("int"))
-    ranges = grouped.groupBy("group").agg(F.min("away").alias("a"), F.max("away").alias("b")).orderBy("group").collect()
-    # a little wider than eps, against rounding at the edges
-    near, far = np.array([r["a"] for r in ranges]), np.array([r["b"] for r in ranges])
-    reach = eps * (1 + 1e-9) + 1e-9
-    low, high = np.searchsorted(far, near - reach, "left"), np.searchsorted(near, far + reach, "right") - 1
-    # vectors of another length than the pivot's, or without a distance, stand together in the first groups
-    known = spark.createDataFrame([(r["group"], int(x), int(y)) for r, x, y in zip(ranges, low, high)], "group int, low int, high int")
-    return grouped.join(known, "group").drop("place", "away")
-
-
-def _tiles(grouped: DataFrame, *carried: str) -> DataFrame:
+            d = distances(batch.column("vec").to_pylist(), pivots)
+            known = np.isfinite(d).all(1) & (len(pivots) > 0)
+            cell = -batch.column("size").to_numpy().astype(np.int64)
+            away = np.zeros(len(cell))
+            cell[known], away[known] = d[known].argmin(1), d[known].min(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], [*batch.schema.names, "cell", "away"])
+
+    schema = T.StructType([*packed.schema, T.StructField("cell", T.LongType()), T.StructField("away", T.DoubleType())])
+    return packed.mapInArrow(place, schema)
+
+
+def in_groups(placed: DataFrame, groups: dict[int, int], each: int) -> DataFrame:
+    """``placed`` with the ``group`` of each vector: what ``groups`` has for its cell, cut by the distance from the pivot where it holds more than ``each``."""
+    known = placed.sparkSession.createDataFrame(list(groups.items()) or [(0, 0)], "cell long, _group long")
+    # a row for each cell
+    grouped = placed.join(F.broadcast(known), "cell", "left").withColumn("group", F.shiftleft(F.coalesce("_group", "cell"), 32)).drop("_group", "cell")
+    counts = materialize(grouped.groupBy("group").agg(F.count("*").alias("k")), "counts")
+    if (counts.agg(F.max("k")).first()[0] or 0) <= each:
+        return grouped.drop("away")
+    bases = counts.select("group", F.coalesce(F.sum("k").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    found = ranked(grouped, "group", "away", "cid").join(F.broadcast(bases), "group")
+    return found.withColumn("group", F.col("group") + F.floor((F.col("place") - F.col("base")) / each)).drop("away", "place", "base")
+
+
+def _apart(sides: list[np.ndarray]) -> np.ndarray:
+    """How far two sets of vectors are apart at least, from the spans ``low, high, low, high`` of both sets' groups."""
+    gap = np.zeros((len(sides[0]), len(sides[2])))
+    for low, high, low2, high2 in zip(*(m.T for m in sides)):
+        gap = np.maximum(gap, np.maximum(low[:, None] - high2, low2 - high[:, None]))
+    return gap
+
+
+def _slack(eps: float, spans: list[np.ndarray]) -> float:
+    """``eps``, a little wider against rounding of the distances."""
+    most = max((np.abs(m[np.isfinite(m)]).max(initial=0) for m in spans), default=0)
+    return eps + 1e-6 * (1 + eps + most)
+
+
+def wide_enough(cells: np.ndarray, counts: np.ndarray, low: np.ndarray, high: np.ndarray, pivots: np.ndarray, eps: float, parts: int) -> tuple[dict[int, int], list[tuple[int, int]] | None]:
+    """The group of each cell, and the pairs of groups that meet where none has to be cut: cells alone where most of them never meet, else several side by side together.
+
+    Small groups leave out more pairs of vectors, but each vector is sent to every group that its own
+    meets. Where the spans tell little, as with vectors that lie at random in many dimensions, few large
+    groups are cheaper; so the cost of both, and of what is between, is reckoned from the spans.
+    """
+    if not len(cells):
+        return {}, None
+    # cells near the same one of the first pivots stand side by side
+    far = pivots[: max(1, int(len(pivots) ** 0.5))]
+    beside = ((pivots[cells][:, None] - far) ** 2).sum(2).argmin(1) if len(pivots) else np.zeros(len(cells))
+    order = np.lexsort((cells, beside))
+    cells, counts, low, high = cells[order], counts[order], low[order], high[order]
+    best: tuple = (np.inf, None, None)
+    width = 1
+    while width < 2 * len(cells):
+        first = np.arange(0, len(cells), width)
+        n = np.add.reduceat(counts, first)
+        a, b = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+        near = np.triu(_apart([a, b, a, b]) <= _slack(eps, [a, b]))
+        # groups that hold more than a tile are cut, and their parts meet each other
+        tiles = -(-n // TILE)
+        pairs, sent = (near * np.outer(tiles, tiles)).sum(), (near * (np.outer(n, tiles) + np.outer(tiles, n))).sum()
+        cost = ((near * np.outer(n, n)).sum() * PAIR_S + sent * COPY_S + pairs * TILE_S) / min(max(pairs, 1), parts)
+        if cost < best[0]:
+            best = (cost, np.repeat(np.arange(len(first)), width)[: len(cells)], np.argwhere(near).tolist() if tiles.max() == 1 else None)
+        width *= 2
+    return dict(zip(cells.tolist(), best[1].tolist())), best[2]
+
+
+def spans_of(grouped: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``group, size, low, high``: between which distances from each pivot a group's vectors lie."""
+
+    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            d, groups = distances(batch.column("vec").to_pylist(), pivots), batch.column("group").to_numpy()
+            sizes = batch.column("size").to_numpy()
+            order = np.argsort(groups, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(groups[order]) != 0]) if len(groups) else []
+            for some in np.split(order, starts[1:]):
+                key = int(groups[some[0]]), int(sizes[some[0]])
+                # where there is no distance nothing is known
+                low, high = np.nan_to_num(d[some].min(0), nan=-np.inf), np.nan_to_num(d[some].max(0), nan=np.inf)
+                a, b = held.get(key, (low, high))
+                held[key] = np.minimum(a, low), np.maximum(b, high)
+        if held:
+            yield pa.RecordBatch.from_pylist([{"group": g, "size": n, "low": a.tolist(), "high": b.tolist()} for (g, n), (a, b) in held.items()], pa.schema([("group", pa.int64()), ("size", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))]))
+
+    parts = grouped.select("group", "size", "vec").mapInArrow(span, "group long, size int, low array<double>, high array<double>")
+    if not len(pivots):
+        return parts.groupBy("group", "size").agg(F.first("low").alias("low"), F.first("high").alias("high"))
+    each = parts.select("group", "size", F.posexplode(F.arrays_zip("low", "high")).alias("i", "x"))
+    each = each.groupBy("group", "size", "i").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
+    # a number for each pivot
+    lists = each.groupBy("group", "size").agg(F.sort_array(F.collect_list(F.struct("i", "low", "high"))).alias("x"))
+    return lists.select("group", "size", F.col("x.low").alias("low"), F.col("x.high").alias("high"))
+
+
+def meeting(spans: DataFrame, eps: float) -> DataFrame:
+    """``one, two``: the pairs of groups (``one <= two``) that may hold vectors at most ``eps`` apart.
+
+    The distances of two vectors from a pivot differ by no more than the vectors' own distance, so two
+    groups never meet if their spans lie further apart than ``eps`` for any pivot. Spans with ``fresh``
+    false are compared with fresh ones alone.
+    """
+    if "fresh" not in spans.columns:
+        spans = spans.withColumn("fresh", F.lit(True))
+    spans = materialize(spans.select("group", "size", "low", "high", "fresh"), "spans")
+    blocks = max(1, -(-spans.count() // SPANS))
+    block = F.pmod(F.xxhash64("group"), F.lit(blocks)).cast("int")
+    spread = spans.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    spread = spread.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "group", "size", "low", "high", "fresh")
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows["x"].iloc[0], rows["y"].iloc[0]
+        a, b = rows[rows["block"] == x], rows[rows["block"] == y]
+        sides = [np.array([*some[c]]).reshape(len(some), -1) for some in (a, b) for c in ("low", "high")]
+        near = (_apart(sides) <= _slack(eps, sides)) & (a["size"].to_numpy()[:, None] == b["size"].to_numpy())
+        near &= a["fresh"].to_numpy()[:, None] | b["fresh"].to_numpy()
+        one, two = a["group"].to_numpy()[:, None], b["group"].to_numpy()
+        if x == y:
+            near &= one <= two
+        i, j = np.nonzero(near)
+        left, right = one[i, 0], two[j]
+        return pd.DataFrame({"one": np.minimum(left, right), "two": np.maximum(left, right)})
+
+    return spread.groupBy("x", "y").applyInPandas(meet, "one long, two long")
+
+
+def _grouped(packed: DataFrame, eps: float) -> tuple[DataFrame, DataFrame]:
+    """``packed`` with the ``group`` of each vector, and the pairs of groups that have to be compared, both written down.
+
+    Vectors go to the nearest of some pivots; groups whose spans of distances from any of the pivots lie
+    too far apart are not compared (:func:`meeting`). The driver sees the sample of pivots and the spans
+    of their cells, :data:`PIVOTS` rows at most.
+    """
+    spark, pivots = packed.sparkSession, pivots_of(packed, packed.count())
+    placed = materialize(in_cells(packed, pivots), "placed")
+    cells = placed.withColumn("group", F.col("cell"))
+    spans = spans_of(cells, pivots).join(cells.groupBy("group").agg(F.count("*").alias("k")), "group").orderBy("group")
+    # a row for each pivot, and for each length of vectors that have no distances, for which no span is taken
+    known = spans.where("group >= 0").collect() if len(pivots) else []
+    of = [np.array([r[c] for r in known]) for c in ("group", "k", "low", "high")]
+    groups, pairs = wide_enough(*of, pivots, eps, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if pairs is not None and placed.where("cell < 0").isEmpty():
+        numbers = [F.lit(x) for pair in groups.items() for x in pair]
+        grouped = placed.withColumn("group", F.shiftleft(F.create_map(*numbers)[F.col("cell")].cast("long"), 32)).drop("cell", "away")
+        return grouped, spark.createDataFrame([(a << 32, b << 32) for a, b in pairs], "one long, two long")
+    grouped = materialize(in_groups(placed, groups, TILE), "grouped")
+    return grouped, materialize(meeting(spans_of(grouped, pivots), eps), "meeting")
+
+
+def share_met(vectors: DataFrame, eps: float) -> float:
+    """The share of all pairs of groups that :func:`neighbours` and :func:`dbscan` have to compare."""
+    grouped, pairs = _grouped(_packed(_doubles(vectors).select(F.col("ord").alias("cid"), F.lit(1).cast("long").alias("n"), "embedding")), eps)
+    n = grouped.select("group").distinct().count()
+    return pairs.count() / max(1, n * (n + 1) // 2)
+
+
+def _tiles(grouped: DataFrame, pairs: DataFrame, *carried: str) -> DataFrame:
     """Rows dealt to the pairs of groups ``one, two`` that they are compared in: ``one, two, second, cid, n, size, vec``."""
     parts = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = grouped.withColumn("other", F.explode(F.sequence("low", "high")))
-    met = spread.select(F.least("group", "other").alias("one"), F.greatest("group", "other").alias("two"), (F.col("group") > F.col("other")).alias("second"), "cid", "n", "size", "vec", *carried)
+    first, second = (F.struct(F.col(c).alias("group"), F.lit(c == "two").alias("second")) for c in ("one", "two"))
+    sides = F.when(F.col("one") == F.col("two"), F.array(first)).otherwise(F.array(first, second))
+    met = pairs.select("one", "two", F.inline(sides))
+    met = grouped.join(met, "group").select("one", "two", "second", "cid", "n", "size", "vec", *carried)
     return met.repartition(parts, "one", "two").sortWithinPartitions("one", "two", "second", "cid")
 
 
@@ -153,6 +321,47 @@ def _roots(near: np.ndarray, core: list, alone: bool) -> list:
     return sides
 
 
+def _counted(eps: float) -> Callable:
+    """Tiles to ``cid, k``: how many rows of the other side are near, by the numbers ``n`` that each stands for."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for alone, a, b, near, _, _ in _met(batches, eps):
+            for side, other, m in ((a, b, near), (b, a, near.T))[: 1 if alone else 2]:
+                yield pa.RecordBatch.from_arrays([side.column("cid").combine_chunks(), pa.array(m @ other.column("n").to_numpy().astype(np.int64))], ["cid", "k"])
+
+    return count
+
+
+def _linked(eps: float, asking: str | None = None) -> Callable:
+    """Tiles to ``a, b, inner``: links that join the core rows near each other, and each core component next to another row.
+
+    Of core rows that hang together in a tile each is linked to one of them alone. With ``asking`` only
+    pairs count of which that column holds for one row at least.
+    """
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for alone, a, b, near, _, _ in _met(batches, eps):
+            ids = [np.array(side.column("cid").to_pylist()) for side in (a, b)]
+            core = [np.array(side.column("core").to_pylist(), bool) for side in (a, b)]
+            if asking:
+                asks = [np.array(side.column(asking).to_pylist(), bool) for side in (a, b)]
+                near = near & (asks[0][:, None] | asks[1])
+            root = _roots(near, core, alone)
+            heads = np.concatenate(ids)
+            out: list = []
+            for k in (0,) if alone else (0, 1):
+                here, there = (near, root[1]) if k == 0 else (near.T, root[0])
+                linked = np.flatnonzero(core[k] & (root[k] >= 0))
+                out.append((heads[root[k][linked]], ids[k][linked], np.ones(len(linked), bool)))
+                for i in np.flatnonzero(~core[k]).tolist():
+                    beside = np.unique(there[here[i] & (there >= 0)])
+                    out.append((heads[beside], np.repeat(ids[k][i : i + 1], len(beside)), np.zeros(len(beside), bool)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in range(3)], ["a", "b", "inner"])
+
+    return link
+
+
 def neighbours(vectors: DataFrame, eps: float) -> DataFrame:
     """Pairs ``a < b`` (``ord``) of vectors (``ord, embedding``) at most ``eps`` apart, with ``d2``.
 
@@ -161,8 +370,7 @@ def neighbours(vectors: DataFrame, eps: float) -> DataFrame:
     """
     kind = vectors.schema["ord"].dataType.simpleString()
     # every row is a vector of its own
-    rows = vectors.select(F.col("ord").alias("cid"), F.lit(1).cast("long").alias("n"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    packed = _packed(rows.where(F.size("embedding") > 0))
+    packed = _packed(_doubles(vectors).select(F.col("ord").alias("cid"), F.lit(1).cast("long").alias("n"), "embedding"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for alone, a, b, near, x, y in _met(batches, eps):
@@ -172,7 +380,7 @@ def neighbours(vectors: DataFrame, eps: float) -> DataFrame:
                 one, two = ids[i + p], others[q]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(((x[i + p] - y[q]) ** 2).sum(1))], ["a", "b", "d2"])
 
-    return _tiles(_grouped(packed, eps)).mapInArrow(compare, f"a {kind}, b {kind}, d2 double")
+    return _tiles(*_grouped(packed, eps)).mapInArrow(compare, f"a {kind}, b {kind}, d2 double")
 
 
 def dbscan(vectors: DataFrame, eps: float, min_samples: int) -> DataFrame:
@@ -187,36 +395,16 @@ def dbscan(vectors: DataFrame, eps: float, min_samples: int) -> DataFrame:
     vector, and one for each such component next to a border vector. Pairs are never written out.
     """
     kind = vectors.schema["ord"].dataType.simpleString()
-    packed = _packed(_classes(vectors))
-    grouped = materialize(_grouped(packed, eps), "grouped")
+    doubles = _doubles(vectors)
+    classes = materialize(doubles.groupBy("embedding").agg(F.min("ord").alias("cid"), F.count("*").alias("n")), "classes")
+    packed = _packed(classes)
+    grouped, pairs = _grouped(packed, eps)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for alone, a, b, near, _, _ in _met(batches, eps):
-            for side, other, m in ((a, b, near), (b, a, near.T))[: 1 if alone else 2]:
-                yield pa.RecordBatch.from_arrays([side.column("cid").combine_chunks(), pa.array(m @ other.column("n").to_numpy().astype(np.int64))], ["cid", "k"])
-
-    counts = _tiles(grouped).mapInArrow(count, f"cid {kind}, k long").groupBy("cid").agg(F.sum("k").alias("k"))
+    counts = _tiles(grouped, pairs).mapInArrow(_counted(eps), f"cid {kind}, k long").groupBy("cid").agg(F.sum("k").alias("k"))
     degree = materialize(packed.select("cid", "n").join(counts, "cid", "left").select("cid", (F.col("n") + F.coalesce("k", F.lit(0))).alias("degree")), "degrees")
     marked = grouped.join(degree.select("cid", (F.col("degree") >= min_samples).alias("core")), "cid")
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for alone, a, b, near, _, _ in _met(batches, eps):
-            ids = [np.array(side.column("cid").to_pylist()) for side in (a, b)]
-            core = [np.array(side.column("core").to_pylist(), bool) for side in (a, b)]
-            root = _roots(near, core, alone)
-            out: list = []
-            for k in (0,) if alone else (0, 1):
-                here, there = (near, root[1]) if k == 0 else (near.T, root[0])
-                heads = np.concatenate([ids[0], ids[1]])
-                linked = np.flatnonzero(core[k] & (root[k] >= 0))
-                out.append((heads[root[k][linked]], ids[k][linked], np.ones(len(linked), bool)))
-                for i in np.flatnonzero(~core[k]).tolist():
-                    beside = np.unique(there[here[i] & (there >= 0)])
-                    out.append((heads[beside], np.repeat(ids[k][i : i + 1], len(beside)), np.zeros(len(beside), bool)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in range(3)], ["a", "b", "inner"])
-
-    links = materialize(_tiles(marked, "core").mapInArrow(link, f"a {kind}, b {kind}, inner boolean"), "links")
+    links = materialize(_tiles(marked, pairs, "core").mapInArrow(_linked(eps), f"a {kind}, b {kind}, inner boolean"), "links")
     joined = connected_components(links.where("inner and a <> b"))
     core = degree.where(F.col("degree") >= min_samples).select("cid")
     rooted = core.join(joined, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("component", "cid").alias("root"))
@@ -224,8 +412,10 @@ def dbscan(vectors: DataFrame, eps: float, min_samples: int) -> DataFrame:
     labels = materialize(rooted.join(numbers, "root").select("cid", "cluster_id"), "cores")
     beside = links.where("not inner").join(labels.withColumnRenamed("cid", "a"), "a").groupBy(F.col("b").alias("cid")).agg(F.min("cluster_id").alias("near"))
     found = degree.join(labels, "cid", "left").join(beside, "cid", "left").select("cid", "degree", F.coalesce("cluster_id", "near").alias("cluster_id"))
-    doubles = vectors.select("ord", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    of = doubles.join(_classes(vectors).drop("n"), "embedding").select("ord", "cid").join(found, "cid")
+    if classes.where("n > 1").isEmpty():
+        of = found.withColumnRenamed("cid", "ord")
+    else:
+        of = doubles.join(classes.drop("n"), "embedding").select("ord", "cid").join(found, "cid")
     return vectors.select("ord").join(of, "ord", "left").select("ord", F.coalesce("degree", F.lit(1)).cast("long").alias("degree"), "cluster_id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photolake.functions import vectors as V
-from photolake.operators import clustering, export, identity, manual, people, views
+from photolake.operators import clustering, export, identity, incremental, manual, people, views
 from photolake.plans import fixtures as X
 from photolake.plans.catalog import query
 from photolake.plans.views import D2, over
@@ -53,6 +53,16 @@ def dbscan_labels(spark, sf_dir: str) -> DataFrame:
     return _clustered(spark, sf_dir).select("ord", "cluster_id")
 
 
+@query(over("select ord, degree, cluster_id from labels_of", "labels_of"))
+def incremental_labels(spark, sf_dir: str) -> DataFrame:
+    """All faces grouped in three batches, each added to what was found before."""
+    faces = X.faces(spark, sf_dir).withColumn("ord", F.col("photo_ord") * 1_000_000 + F.col("face_ord"))
+    grouping = incremental.empty(spark, EPS, LEAST)
+    for low, high in ((0, 4), (4, 8), (8, 10)):
+        grouping = incremental.added(grouping, faces.where((F.col("label") >= low) & (F.col("label") < high)))
+    return incremental.labels(grouping)
+
+
 @query(f"select a.vec_id as ord, null::bigint as cluster_id from embeddings a")
 def dbscan_default(spark, sf_dir: str) -> DataFrame:
     """The default radius, at which no two of the supplied vectors are near."""

@@ -130,3 +130,34 @@ def test_transforms(spark):
     f, i = m(found[1].a, found[1].b, found[1].tx, found[1].ty), m(found[1].ia, found[1].ib, found[1].itx, found[1].ity)
     assert np.allclose(f @ i, np.eye(3), atol=1e-6)
     assert found[2].a is None
+
+
+def clustered(n, groups=40, size=32, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, size))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    return centres[rng.integers(0, groups, n)] + rng.normal(0, 0.03, (n, size))
+
+
+def test_most_pairs_of_groups_are_left_out_where_vectors_lie_in_clusters(spark, monkeypatch):
+    # as dear as if there were many more vectors
+    monkeypatch.setattr(clustering, "PAIR_S", 1e-5)
+    x = clustered(4000)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "ord long, embedding array<double>")
+    assert clustering.share_met(df, 0.75) < 0.1
+    found = {frozenset((r.a, r.b)) for r in clustering.neighbours(df, 0.22).collect()}
+    d2 = (x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * x @ x.T
+    i, j = np.nonzero(np.triu(d2 <= 0.22 * 0.22, 1))
+    assert found == {frozenset(p) for p in zip(i.tolist(), j.tolist())} and len(found) > 1000
+
+
+def test_groups_that_are_cut_and_spans_compared_in_blocks(spark, monkeypatch):
+    """One hot cluster of many tiles, other lengths, and vectors without distances."""
+    monkeypatch.setattr(clustering, "TILE", 50)
+    monkeypatch.setattr(clustering, "SPANS", 4)
+    monkeypatch.setattr(clustering, "PIVOTS", 9)
+    x = [[float(a) for a in v] for v in np.vstack([clustered(300, 1), clustered(200, 5)])] + [[1.0, 2.0], [1.0, 2.1], [float("nan")] * 32, [float("inf")] * 32]
+    df = spark.createDataFrame(list(enumerate(x)), "ord long, embedding array<double>")
+    found = sorted((r.a, r.b) for r in clustering.neighbours(df, 0.2).collect())
+    near = lambda v, w: len(v) == len(w) and sum((a - b) ** 2 for a, b in zip(v, w)) <= 0.04
+    assert found == [(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if near(x[i], x[j])]
