@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 from photolake import schema as S
 from photolake.config import Config
 from photolake.errors import NotFound, StorageFailure
-from photolake.functions import grading, images
+from photolake.functions import exif, grading, images
 from photolake.operators import clustering, diff, enrichment, export, identity, manual, models, people, views
+from photolake.operators.order import in_time_order
 from photolake.sources import photos as sources
 from photolake.sources import projects, sinks
 from photolake.storage import exists, materialize
@@ -27,6 +28,7 @@ GRADES = "path string, content_hash string, new_grade string, new_score float, n
 SEARCHED = "path string, content_hash string, now long"
 FOUND = T.StructType([*S.FACES, T.StructField("content_hash", T.StringType())])
 
+HEADERS = f"path string, content_hash string, {exif.HEADER}".replace("taken string", "taken timestamp_ntz")
 #: Faces that people had when they were last seen; a person's id is the ``cluster_id`` of faces.
 MEMBERS = "path string, face_ord int, person_id long"
 
@@ -62,6 +64,7 @@ class Library:
         self._save_photos(self._as_photos(diff.as_new_photos(files), project), project)
         row = self.spark.createDataFrame([(project, name or folder.rstrip("/").rsplit("/", 1)[-1], folder)], projects.PROJECTS)
         self.store.append(row, "projects")
+        self._read_headers(project)
         return project
 
     def open_project(self, project: str) -> int:
@@ -77,6 +80,7 @@ class Library:
             self.store.write(diff.drop_changed_faces(faces, changes), "faces", project)
             self.store.write(diff.drop_changed_faces(self.store.read("members", project, MEMBERS), changes), "members", project)
             self._save_photos(self._as_photos(diff.merged(stored.drop("photo_ord"), files), project), project)
+            self._read_headers(project)
         return new
 
     def photos(self, project: str) -> DataFrame:
@@ -178,10 +182,36 @@ class Library:
         for i in range(n):
             yield rows.where(F.pmod(F.xxhash64("path"), F.lit(n)) == i)
 
-    def _pixels(self, part: DataFrame) -> DataFrame | None:
-        """The decoded pictures of a part, whose size is bounded; no other file is read."""
-        paths = [r["path"] for r in part.select("path").collect()]
-        return sources.decoded(self.spark, paths) if paths else None
+    def _pixels(self, project: str, part: DataFrame) -> DataFrame | None:
+        """The decoded pictures of a part, whose size is bounded, upright; no other file is read."""
+        turns = self.headers(project).where("orientation > 1").select("path", "orientation")
+        rows = [(r["path"], r["orientation"]) for r in part.select("path").join(turns, "path", "left").collect()]
+        straight, others = [p for p, o in rows if o is None], [(p, o) for p, o in rows if o is not None]
+        found = sources.decoded(self.spark, straight) if straight else None
+        if others:
+            kinds = self.spark.createDataFrame(others, "path string, orientation int")
+            turned = images.turned(sources.decoded(self.spark, [p for p, _ in others]).join(kinds, "path"))
+            found = turned if found is None else found.unionByName(turned)
+        return found
+
+    def headers(self, project: str) -> DataFrame:
+        """What cameras wrote into the project's files as they are now (:data:`photolake.functions.exif.HEADER`)."""
+        here = self._stored(project).select("path", "content_hash")
+        return self.store.read_all("headers", HEADERS, project).join(here, ["path", "content_hash"]).dropDuplicates(["path"]).drop("content_hash")
+
+    def by_time(self, project: str) -> DataFrame:
+        """All photos with their headers and places in the order of the time that they were taken."""
+        return in_time_order(self.photos(project), self.headers(project))
+
+    def _read_headers(self, project: str) -> None:
+        """Read the headers of files whose content has none yet, part by part."""
+        stored = self._stored(project).select("path", "content_hash").where("content_hash is not null")
+        missing = materialize(stored.join(self.store.read_all("headers", HEADERS, project), ["path", "content_hash"], "left_anti"), "missing")
+        for part in self._parts(missing):
+            paths = [r["path"] for r in part.select("path").collect()]
+            if paths:
+                found = sources.headers(self.spark, paths, self.config).join(part, "path")
+                self.store.append(found.select(*(c.split()[0] for c in HEADERS.split(", "))), "headers", project)
 
     def _take_over(self, project: str) -> None:
         """Bring what runs have added into the tables of photos and faces."""
@@ -227,7 +257,7 @@ class Library:
         if not measured.isEmpty():
             keep(measured, waiting)
         for part in self._parts(waiting.join(measured.select("path"), "path", "left_anti")):
-            pixels = self._pixels(part)
+            pixels = self._pixels(project, part)
             if pixels is not None:
                 keep(images.measured(pixels, self.config), part)
         self._take_over(project)
@@ -238,7 +268,7 @@ class Library:
         waiting = materialize(self._stored(project).where(grading.needs_detection(F.col("faces_detected_at"))).select("path", "content_hash", "photo_ord"), "waiting")
         told("faces", views.progress(self._stored(project)))
         for part in self._parts(waiting):
-            pixels = self._pixels(part)
+            pixels = self._pixels(project, part)
             if pixels is None:
                 continue
             # the detector runs once; the embedder and the table both read what it found
@@ -281,7 +311,7 @@ class Library:
         total, left = stored.count(), missing.count()
         done = total - left
         for part in self._parts(missing):
-            pixels, n = self._pixels(part), part.count()
+            pixels, n = self._pixels(project, part), part.count()
             if pixels is not None:
                 self.store.append(sinks.small_copies(pixels.join(part, "path"), self.config), "copies", project)
             done += n

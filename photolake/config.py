@@ -36,6 +36,7 @@ class Config:
     thumbnail_side: int = 300
     working_side: int = 1280
     hash_prefix_bytes: int = 65_536
+    header_prefix_bytes: int = 131_072
     batch_photos: int = 5
     poll_seconds: int = 3
     part_photos: int = 2000

@@ -25,6 +25,34 @@ def gray_of(rgb: np.ndarray) -> np.ndarray:
     return rgb.astype(np.int64) @ np.array([2126, 7152, 722]) // 10000
 
 
+def upright(pixels: np.ndarray, orientation: int | None) -> np.ndarray:
+    """Pixels turned and mirrored as the orientation (1 to 8) of a picture's header asks for."""
+    if orientation in (5, 6, 7, 8):
+        pixels = np.swapaxes(pixels, 0, 1)
+    if orientation in (2, 3, 6, 7):
+        pixels = pixels[:, ::-1]
+    if orientation in (3, 4, 7, 8):
+        pixels = pixels[::-1]
+    return pixels
+
+
+def turned(images: DataFrame) -> DataFrame:
+    """Decoded pictures with an ``orientation``, upright; those that could not be decoded stay as they are."""
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                width, height, pixels = row["width"], row["height"], row["pixels"]
+                if width > 0 and len(pixels) == width * height * row["channels"]:
+                    shown = upright(np.frombuffer(pixels, np.uint8).reshape(height, width, -1), row["orientation"])
+                    height, width, pixels = *shown.shape[:2], np.ascontiguousarray(shown).tobytes()
+                yield pa.RecordBatch.from_pylist([{"path": row["path"], "width": width, "height": height, "channels": row["channels"], "pixels": pixels}], kinds)
+
+    kinds = pa.schema([("path", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("pixels", pa.binary())])
+    return images.select("path", "width", "height", "channels", "pixels", "orientation").mapInArrow(turn, "path string, width int, height int, channels int, pixels binary")
+
+
 def nearest(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """The image with each new pixel taken from the old one at its centre."""
     rows = np.minimum((np.arange(height) + 0.5) * image.shape[0] / height, image.shape[0] - 1).astype(int)

@@ -22,3 +22,12 @@ def ranked(rows: DataFrame, *by: str, name: str = "place") -> DataFrame:
     bases = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*by)) - 1
     return dealt.withColumn("_within", within).join(bases, "_range").withColumn(name, (F.col("_base") + F.col("_within")).cast("long")).drop("_range", "_base", "_within")
+
+
+def in_time_order(photos: DataFrame, headers: DataFrame, name: str = "place") -> DataFrame:
+    """``photos`` with the columns of their ``headers`` (by ``path``) and their places in the order of the time taken.
+
+    Photos of one time, and those without one, which come last, are in the order of name and path.
+    """
+    timed = photos.join(headers, "path", "left").withColumn("_last", F.col("taken").isNull())
+    return ranked(timed, "_last", "taken", "filename", "path", name=name).drop("_last")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photolake.config import Config
+from photolake.functions import exif
 from photolake.functions.text import basename, content_hash, is_image
 
 
@@ -26,6 +27,12 @@ def scanned(spark: SparkSession, folder: str, config: Config = Config()) -> Data
     return files.select("path", basename(F.col("path")).alias("filename"), content_hash(F.col("content"), config.hash_prefix_bytes).alias("content_hash"))
 
 
+def headers(spark: SparkSession, files: list[str], config: Config = Config()) -> DataFrame:
+    """``path`` and what stands in the headers of these files (:data:`photolake.functions.exif.HEADER`)."""
+    found = spark.read.format("binaryFile").load([_plain(p) for p in files])
+    return exif.headers(found.select("path", "content"), "path", F.col("content"), config.header_prefix_bytes)
+
+
 def _plain(path: str) -> str:
     """A path whose letters stand for themselves where patterns are read."""
     return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
