@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from photolake import schema as S
 from photolake.config import Config
-from photolake.errors import NotFound, StorageFailure
+from photolake.errors import ImageFailure, NotFound, StorageFailure
 from photolake.functions import exif, grading, images
 from photolake.operators import clustering, diff, enrichment, export, identity, manual, models, people, views
 from photolake.operators.order import in_time_order
@@ -259,7 +259,9 @@ class Library:
         for part in self._parts(waiting.join(measured.select("path"), "path", "left_anti")):
             pixels = self._pixels(project, part)
             if pixels is not None:
-                keep(images.measured(pixels, self.config), part)
+                # a file that no reader takes for a picture is marked as seen as well
+                found = part.select("path").join(images.measured(pixels, self.config), "path", "left")
+                keep(found.withColumn("error", F.coalesce("error", F.when(F.col("sharpness").isNull(), F.lit(f"{ImageFailure.prefix}no picture")))), part)
         self._take_over(project)
         told("grading", views.progress(self._stored(project)))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+# How the texts of failures begin.
 class Failure(Exception):
     prefix = ""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from photolake.config import Config
 from photolake.functions import exif
 from photolake.functions.text import basename, content_hash, is_image
+from photolake.sources import folder as source
 
 
 def listed(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,7 +23,14 @@ def listed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scanned(spark: SparkSession, folder: str, config: Config = Config()) -> DataFrame:
-    """``path, filename, content_hash`` of the images in a folder; the hash covers a prefix of the file."""
+    """``path, filename, content_hash`` of the images in a folder; the hash covers a prefix of the file.
+
+    Local and shared folders are read by :mod:`photolake.sources.folder`, which sees every file; stores
+    that only Spark knows by its own reader, which passes over empty files and names that begin with a
+    dot or an underscore.
+    """
+    if folder.startswith("file:") or "://" not in folder:
+        return source.scan(spark, folder, config).select("path", "filename", "content_hash")
     files = spark.read.format("binaryFile").load(folder).where(is_image(F.col("path")))
     return files.select("path", basename(F.col("path")).alias("filename"), content_hash(F.col("content"), config.hash_prefix_bytes).alias("content_hash"))
 

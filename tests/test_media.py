@@ -45,6 +45,17 @@ def test_scan_takes_images_of_the_top_folder(spark, folder):
     assert photos.listed(spark, str(folder)).count() == 4
 
 
+def test_empty_and_hidden_files_are_seen_and_marked(library, folder):
+    (folder / "empty.png").write_bytes(b"")
+    (folder / "._b.jpg").write_bytes(b"what a copying program leaves")
+    project = library.import_folder(str(folder))
+    assert library.photos(project).count() == 6
+    library.start_enrichment(project, now=5)
+    found = {r.filename: (r.grade, r.graded_at) for r in library.photos(project).collect()}
+    assert found["empty.png"] == found["._b.jpg"] == found["d.jpg"] == ("Ungraded", 5)
+    assert found["b.PNG"][0] != "Ungraded"
+
+
 def test_decoding_gives_pixels_back(spark, folder):
     rows = {r.path.rsplit("/", 1)[1]: r for r in photos.decoded(spark, str(folder)).collect()}
     assert rows["d.jpg"].width == -1
