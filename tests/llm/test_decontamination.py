@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -13,10 +14,15 @@ def digest(spark, docs, items, **options):
     found = suffix_match.find_contamination(d, b, **options).collect()
     out = []
     for r in found:
-        out.append((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), sorted({str(m.item_id) for m in r.matches if m.item_id is not None})))
+        out.append((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), r.n_items, r.items_sha256))
     return sorted(out, key=str)
 
 
+def digested(rows):
+    """Rows with the number and digest of their items."""
+    return sorted(((i, n, h, len(x), brute.sha(x)) for i, n, h, x in rows), key=str)
+
+
 def drawn(seed, n_docs=60, n_items=15):
     """Texts over few words, so that windows occur often, overlap and stand next to each other."""
     rng = random.Random(seed)
@@ -45,7 +51,7 @@ def test_the_query_against_its_sql(spark, sf_dir, duck):
 @pytest.mark.parametrize("test_words", [1 << 20, 25])
 def test_windows_against_brute_force(spark, seed, test_words):
     docs, items = drawn(seed)
-    assert digest(spark, docs, items, window=4, test_words=test_words) == sorted(brute.contamination(docs, items, 4), key=str)
+    assert digest(spark, docs, items, window=4, test_words=test_words) == digested(brute.contamination(docs, items, 4))
 
 
 def test_longest_matches_have_places(spark):
@@ -69,25 +75,50 @@ def test_suffixes_are_ranked_by_their_first_words():
         assert suffix_match.ranked_suffixes(flat, end, depth).tolist() == [order[k] for k in keys]
 
 
-def test_longest_matches_against_brute_force(spark):
-    docs, items = drawn(11, 30, 8)
+@pytest.mark.parametrize("seed", [11, 12])
+def test_longest_matches_against_brute_force(spark, seed):
+    docs, items = drawn(seed, 30, 8)
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    found = {(r.doc_id, m.item_id, m.start, m.item_start, m.words) for r in suffix_match.find_contamination(d, b, window=4).collect() for m in r.matches}
-    real = set()
+    rows = suffix_match.find_contamination(d, b, window=4).collect()
+    found = sorted((r.doc_id, m.start, m.words, m.places) for r in rows for m in r.matches)
+    parsed = {k: brute.words(text) for k, text in items}
+    real = []
     for i, t in docs:
-        w = brute.words(t)
-        for k, text in items:
-            x = brute.words(text)
-            least = min(4, len(x))
-            for p in range(len(w)):
-                for q in range(len(x) if len(x) >= 4 else min(1, len(x))):
+        w, before = brute.words(t), 0
+        for p in range(len(w)):
+            reach = []
+            for x in parsed.values():
+                for q in range(len(x) - 3):
                     n = 0
                     while p + n < len(w) and q + n < len(x) and w[p + n] == x[q + n]:
                         n += 1
-                    before = p and q and w[p - 1] == x[q - 1]
-                    if n >= least and least and not before:
-                        real.add((i, k, p, q, n))
-    assert found == real and len(real) > 20
+                    reach.append(n)
+            most = max(reach, default=0)
+            if most >= 4 and before != most + 1:
+                real.append((i, p, most, reach.count(most)))
+            before = most
+            for n in (1, 2, 3):
+                whole = sum(len(x) == n and w[p : p + n] == x for x in parsed.values())
+                if whole:
+                    real.append((i, p, n, whole))
+    assert found == sorted(real) and len(real) > 20
+    # the place that is told has the match
+    words = {i: brute.words(t) for i, t in docs}
+    for r in rows:
+        for m in r.matches:
+            assert parsed[m.item_id][m.item_start : m.item_start + m.words] == words[r.doc_id][m.start : m.start + m.words]
+
+
+def test_one_word_repeated_and_a_passage_that_all_share(spark):
+    """Time and memory grow with the words, not with pairs of places or of documents and items."""
+    begun = time.monotonic()
+    found = digest(spark, [(1, "no " * 100_000), (2, "yes")], [(7, "no " * 20_000), (8, "no no")])
+    assert found == digested([(1, 100_000, 100_000, ["7", "8"]), (2, 1, 0, [])])
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs, items = [(i, f"d{i} {passage} e{i}") for i in range(1000)], [(i, f"a{i} {passage} b{i}") for i in range(1000)]
+    names = sorted(str(i) for i in range(1000))
+    assert digest(spark, docs, items) == digested([(i, 32, 30, names) for i in range(1000)])
+    assert time.monotonic() - begun < 60
 
 
 def test_words_decide_and_not_hashes(spark, monkeypatch):
@@ -102,10 +133,10 @@ def test_nulls_repeats_and_empty_tables(spark):
     docs = [(1, None), (1, ""), (2, "Short ITEM."), (2, "Short ITEM."), (None, "short item")]
     items = [(5, "short item"), (5, "short item"), (None, "short item"), (6, None), (7, "")]
     found = digest(spark, docs, items)
-    assert found == sorted([(1, 0, 0, []), (1, 0, 0, []), (2, 2, 2, ["5"]), (2, 2, 2, ["5"]), (None, 2, 2, ["5"])], key=str)
+    assert found == digested([(1, 0, 0, []), (1, 0, 0, []), (2, 2, 2, ["5"]), (2, 2, 2, ["5"]), (None, 2, 2, ["5"])])
     assert digest(spark, docs, items, test_words=1) == found
     assert digest(spark, [], items) == []
-    assert all(h == 0 for _, _, h, _ in digest(spark, docs, []))
+    assert all(h == 0 for _, _, h, *_ in digest(spark, docs, []))
 
 
 def test_other_columns_stay(spark):
@@ -119,4 +150,4 @@ def test_a_very_long_text(spark):
     long = " ".join(f"t{i}" for i in range(700_000))
     passage = " ".join(f"t{i}" for i in range(399_990, 400_010))
     found = digest(spark, [(1, long), (2, "t1 t2")], [(3, passage)])
-    assert found == [(1, 700_000, 20, ["3"]), (2, 2, 0, [])]
+    assert found == digested([(1, 700_000, 20, ["3"]), (2, 2, 0, [])])
