@@ -54,12 +54,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, and what each document has in them.
 
-    Files are in ascending order of ids, null ones first; a document that the mix takes twice is there
-    twice.
+    Documents follow each other as they stand in the table, which is how the mix has dealt them; a
+    document that the mix takes twice is there twice. Where the table's order is not known, as it is not
+    read from files, documents are in ascending order of ids, null ones first.
     """
     folder = scratch_path(spark, "corpus")
     kind = "long" if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else "string"
-    return tokens.read_token_files(tokens.write_token_files(docs, folder), folder, kind)
+    rows, order = tokens.in_stored_order(docs)
+    return tokens.read_token_files(tokens.write_token_files(rows, folder, order=order), folder, kind)
 
 
 STAGES = [

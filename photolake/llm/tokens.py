@@ -11,12 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from photolake.llm.tables import table
+from photolake.llm.tables import table, unused
 from photolake.storage import materialize, scratch_path
 
 _TOKENIZERS: dict = {}
@@ -244,11 +245,11 @@ def _get(uri: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype=dtype)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = 1 << 20, shard_bytes: int = 1 << 30) -> DataFrame:
-    """Encode every text and write flat files of ids below ``folder`` in ascending id order.
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = 1 << 20, shard_bytes: int = 1 << 30, order: tuple[str, ...] = ()) -> DataFrame:
+    """Encode every text and write flat files of ids below ``folder`` in ascending id order, or in that of the columns ``order``.
 
     ``docs`` is dealt by ranges of id and text, so the shards of task k hold smaller ids than those of
-    task k + 1, or the same where an id has many rows. A task writes as documents come, and begins
+    task k + 1, or the same where an id has many rows; with ``order`` by ranges of these columns. A task writes as documents come, and begins
     another shard behind ``shard_bytes`` of ids, so it never holds more than a run of them. A shard is
 
     * ``tokens-k.bin``: ids as little-endian unsigned integers, 16 bits wide where the vocabulary
@@ -293,8 +294,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         yield pa.RecordBatch.from_pydict({"shard": pa.array([part] * len(done), pa.int64()), "piece": pa.array([k for k, _ in done], pa.int64()), "name": pa.array([x.name for _, x in done], pa.string()), "n_docs": pa.array([x.n_docs for _, x in done], pa.int64()), "n_tokens": pa.array([x.n_tokens for _, x in done], pa.int64())})
 
     _make_folder(spark, root)
-    picked = docs.select(F.col(id_col).cast("long" if plain else "string").alias("id"), F.col(text_col).alias("text"), F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col)).alias("text_hash"))
-    dealt = picked.repartitionByRange(shards, "id", "text_hash").sortWithinPartitions("id", "text_hash").select("id", "text")
+    picked_columns = [F.col(id_col).cast("long" if plain else "string").alias("id"), F.col(text_col).alias("text"), F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col)).alias("text_hash")]
+    by = [f"by_{i}" for i in range(len(order))] or ["id", "text_hash"]
+    picked = docs.select(*picked_columns, *(F.col(c).alias(n) for c, n in zip(order, by)))
+    dealt = picked.repartitionByRange(shards, *by).sortWithinPartitions(*by).select("id", "text")
     written = materialize(dealt.mapInArrow(write, "shard long, piece long, name string, n_docs long, n_tokens long"), "shards")
     # one row for each shard
     before = Window.orderBy("shard", "piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -303,6 +306,20 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     return spark.read.parquet(f"{root}/manifest")
 
 
+def in_stored_order(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """``docs`` with columns that tell how its rows stand in the files it is read from, and the names of these.
+
+    Files that a writer has numbered come by their number, then by name. A table that is not read from
+    such files comes back as it is, without names.
+    """
+    part, file, row = unused(docs, "part", "file", "row")
+    number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    try:
+        return docs.select("*", number.alias(part), F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row)), (part, file, row)
+    except AnalysisException:
+        return docs, ()
+
+
 def _make_folder(spark, uri: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)

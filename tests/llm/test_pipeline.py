@@ -75,7 +75,31 @@ def test_token_files_hold_all_texts(stages):
     assert sorted((r.doc_id, r.ids_crc32) for r in after) == expected
     rows = sorted(after, key=lambda r: r.start)
     assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))]
-    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+
+
+def test_token_files_follow_the_schedule_of_the_mix(spark, stages, tmp_path):
+    """Documents stand as the slots deal them, so any stretch of the files holds the sources in their shares."""
+    from photolake.llm import mixture
+
+    sf_dir, out = stages
+    docs = spark.createDataFrame(out["decontamination"][1])
+    slots = mixture.mixed_documents(docs, slot_col="slot").collect()
+    mixed = materialize(P.mix_sources(spark, docs, sf_dir), "mixed")
+    rows = sorted(P.write_tokens(spark, mixed, sf_dir).collect(), key=lambda r: r.start)
+    by_slot = {}
+    for r in slots:
+        by_slot.setdefault(r.doc_id, []).append(r.slot)
+    # of two copies the earlier one has the earlier slot
+    seen, order = {}, []
+    for r in rows:
+        order.append(sorted(by_slot[r.doc_id])[seen.setdefault(r.doc_id, 0)])
+        seen[r.doc_id] += 1
+    assert order == sorted(order) and len(order) == len(slots)
+    assert [r.doc_id for r in rows] != sorted(r.doc_id for r in rows)
+    # rows that come from no files have no order of their own
+    some = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "doc_id long, text string")
+    assert tokens.in_stored_order(some)[1] == ()
+    assert [r.doc_id for r in sorted(P.write_tokens(spark, some, sf_dir).collect(), key=lambda r: r.start)] == [1, 2, 3]
 
 
 def test_run_gives_what_the_stages_give(spark, stages):
