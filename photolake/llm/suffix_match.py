@@ -48,8 +48,15 @@ def ranked_suffixes(hashes: np.ndarray, end: np.ndarray, depth: int) -> np.ndarr
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+_POWERS = np.ones(1, np.uint64)
+
+
 def powers(n: int) -> np.ndarray:
-    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, BASE, np.uint64))])
+    """Powers of :data:`BASE` from 0 to ``n`` at least; a task makes them once."""
+    global _POWERS
+    if len(_POWERS) <= n:
+        _POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, SHARD_WORDS), BASE, np.uint64))])
+    return _POWERS
 
 
 def prefixes(hashes: np.ndarray) -> np.ndarray:
@@ -181,12 +188,11 @@ def _alike(s: Shard, p: np.ndarray, tests: Tests, q: np.ndarray, most: np.ndarra
     return n
 
 
-def longest(s: Shard, p: np.ndarray, which: np.ndarray, tests: Tests, ranks: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def longest(s: Shard, p: np.ndarray, which: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For places ``p`` at which the windows ``which`` stand: the words of the longest match, the first test place that has it, and how many have it.
 
     The suffix of each place is searched among the test suffixes of its window, which stand in order; the
-    longest match is with one of the two between which it belongs. ``ranks`` are the words of both sides
-    by the order of their hashes, in which the test suffixes stand.
+    longest match is with one of the two between which it belongs.
     """
     stops = tests.begins[np.searchsorted(tests.begins, tests.place, "right")] if len(tests.place) else tests.place
 
@@ -200,9 +206,9 @@ def longest(s: Shard, p: np.ndarray, which: np.ndarray, tests: Tests, ranks: tup
         while (low < high).any():
             mid = np.minimum((low + high) // 2, len(tests.place) - 1)
             n, q = common(mid), tests.place[mid]
-            theirs = np.where(q + n < stops[mid], ranks[1][np.minimum(q + n, len(ranks[1]) - 1)], -1)
-            ours = np.where(p + n < s.end[p], ranks[0][np.minimum(p + n, len(ranks[0]) - 1)], -1)
-            ahead = theirs < ours
+            # the suffixes stand in the order of hashes, and one that ends comes first
+            theirs, ours = tests.words.hash[np.minimum(q + n, len(tests.words.hash) - 1)], s.words.hash[np.minimum(p + n, len(s.words.hash) - 1)]
+            ahead = (p + n < s.end[p]) & ((q + n >= stops[mid]) | (theirs < ours))
             if least is not None:
                 ahead = np.where(n >= least, right, ahead)
             ahead &= low < high
@@ -289,10 +295,8 @@ def _maximal(w: Words, begin: np.ndarray, end: np.ndarray, place: np.ndarray, wh
     long = tests.length[which] == tests.window
     order = np.argsort(place[long], kind="stable")
     p, i = place[long][order], which[long][order]
-    both = np.unique(np.concatenate([w.hash, tests.words.hash]), return_inverse=True)[1].ravel()
     s = Shard(w, begin, end, prefixes(w.hash), powers(size))
-    ranks = both[: len(w.hash)], both[len(w.hash) :]
-    words, q, k = longest(s, p, i, tests, ranks)
+    words, q, k = longest(s, p, i, tests)
     held = np.zeros(len(p), bool)
     held[1:] = (p[1:] == p[:-1] + 1) & (begin[p[1:]] == begin[p[:-1]]) & (words[:-1] == words[1:] + 1)
     p, words, q, k = p[~held], words[~held], q[~held], k[~held]
