@@ -17,7 +17,7 @@ from photolake import schema as S
 from photolake.config import Config
 from photolake.errors import ImageFailure, NotFound, StorageFailure
 from photolake.functions import exif, grading, images
-from photolake.operators import clustering, diff, enrichment, export, identity, manual, models, people, views
+from photolake.operators import clustering, diff, enrichment, export, failures, identity, manual, models, people, sketches, totals, views
 from photolake.operators.order import in_time_order
 from photolake.sources import photos as sources
 from photolake.sources import projects, sinks
@@ -31,6 +31,9 @@ FOUND = T.StructType([*S.FACES, T.StructField("content_hash", T.StringType())])
 HEADERS = f"path string, content_hash string, {exif.HEADER}".replace("taken string", "taken timestamp_ntz")
 #: Faces that people had when they were last seen; a person's id is the ``cluster_id`` of faces.
 MEMBERS = "path string, face_ord int, person_id long"
+#: What became of photos at the stages ``grading`` and ``faces``; no error: it went well after a failure.
+FAILURES = "path string, content_hash string, stage string, error string, at long"
+SKETCHES = "part int, mark decimal(38,0), n long, distinct_sketch binary, quantile_sketch binary"
 
 Report = Callable[[str, DataFrame], None]
 
@@ -125,13 +128,15 @@ class Library:
         Photos are taken in parts of ``config.part_photos``, and what came of each part is kept at once,
         so a run that fails goes on from there. ``report`` is told ``photo_graded`` with ``path, grade,
         grade_source`` of each part, ``grading`` and ``faces`` with the progress before and after these
-        stages, and ``complete`` at the end, also of a run that fails.
+        stages, and ``complete`` at the end, also of a run that fails. Photos that failed before are
+        taken again when their time has come (:meth:`failures`).
         """
         now = int(time.time()) if now is None else now
         self.get_project(project)
         told = report or (lambda stage, rows: None)
         try:
             self._take_over(project)
+            self._try_again(project, now)
             self._grade(project, now, told)
             if self.check_models():
                 self._find_faces(project, now, told)
@@ -139,6 +144,52 @@ class Library:
             told("complete", views.progress(self._stored(project)))
         return views.progress(self.photos(project))
 
+    def failures(self, project: str) -> DataFrame:
+        """``path, stage, error, attempts, last, next_at`` of files, as they are now, that could not be graded or searched.
+
+        They are tried again from ``next_at`` on, after a time that doubles with each attempt; null: no more.
+        A file that is changed begins anew.
+        """
+        c = self.config
+        log = self.store.read_all("failures", FAILURES, project).join(self._stored(project).select("path", "content_hash"), ["path", "content_hash"], "left_semi")
+        found = failures.still_failing(log, "path", "content_hash", "stage", wait=c.retry_seconds, longest=c.retry_longest, most=c.retry_attempts)
+        return found.drop("content_hash")
+
+    def _try_again(self, project: str, now: int) -> None:
+        """Let photos whose next attempt is due wait for their stage again."""
+        due = self.failures(project).where(F.col("next_at") <= now).groupBy("path").agg(*(F.max(F.col("stage") == s).alias(f"_{s}") for s in ("grading", "faces")))
+        due = materialize(due, "due")
+        if due.isEmpty():
+            return
+        both = self._stored(project).join(due, "path", "left")
+        again = {c: F.when(~F.coalesce(f"_{s}", F.lit(False)), F.col(c)) for c, s in (("graded_at", "grading"), ("faces_detected_at", "faces"))}
+        self._save_photos(both.withColumns(again), project)
+
+    def _note(self, project: str, stage: str, tried: DataFrame, errors: DataFrame, now: int) -> None:
+        """Keep what failed at a stage, and what had failed before and went well now."""
+        log = self.store.read_all("failures", FAILURES, project).where(F.col("stage") == stage)
+        rows = failures.outcomes(tried, errors, log, "path", "content_hash")
+        rows = materialize(rows.select("path", "content_hash", F.lit(stage).alias("stage"), "error", F.lit(now).cast("long").alias("at")), "outcomes")
+        if not rows.isEmpty():
+            self.store.append(rows, "failures", project)
+
+    def grade_totals(self, project: str) -> DataFrame:
+        """Photos by ``grade, grade_source, cluster_id`` with subtotals and ``grouping_id``; all without a person too."""
+        on = self._stored_faces(project).where("cluster_id is not null").select("path", "cluster_id").distinct()
+        rows = self.photos(project).join(on, "path", "left").select("path", "grade", "grade_source", "cluster_id")
+        sets = [*totals.rollup_sets("grade", "grade_source", "cluster_id"), ["cluster_id"]]
+        return totals.subtotals(rows, ["grade", "grade_source", "cluster_id"], sets, photos=F.count_distinct("path"))
+
+    def statistics(self, project: str, *shares: float) -> DataFrame:
+        """``n, n_distinct, quantiles``: photos, different contents and quantiles of sharpness, by sketches.
+
+        Sketches are kept, and only parts of the project that changed are read into new ones.
+        """
+        kept = self.store.read("sketches", project, SKETCHES)
+        rows = self._stored(project).select("path", "content_hash", "sharpness_score")
+        now = self.store.write(sketches.refreshed(rows, kept, "path", "content_hash", "sharpness_score", self.config.sketch_parts), "sketches", project)
+        return sketches.read(sketches.united(now), *(shares or (0.05, 0.5, 0.95)))
+
     def enrich_in_background(self, project: str, report: Report | None = None, now: int | None = None) -> Future:
         """Make the small copies, then run :meth:`start_enrichment`, without keeping the caller waiting."""
         done: Future = Future()
@@ -242,9 +293,10 @@ class Library:
             return
 
         def keep(measures: DataFrame, part: DataFrame) -> None:
-            grades = enrichment.graded(measures, now, self.config).join(part, "path").select(*(c.split()[0] for c in GRADES.split(", ")))
-            grades = materialize(grades, "graded")
-            self.store.append(grades, "grades", project)
+            names = [c.split()[0] for c in GRADES.split(", ")]
+            grades = materialize(enrichment.graded(measures, now, self.config).join(part, "path").select(*names, "error"), "graded")
+            self._note(project, "grading", grades, grades, now)
+            self.store.append(grades.select(*names), "grades", project)
             graded = grades.where("new_grade is not null").select("path", F.col("new_grade").alias("grade"), F.lit(S.AUTO).alias("grade_source"))
             # a part may hold pictures alone that do not open
             if not graded.isEmpty():
@@ -274,8 +326,12 @@ class Library:
             if pixels is None:
                 continue
             # the detector runs once; the embedder and the table both read what it found
-            found = materialize(models.found_faces(models.raw_detections(pixels, self.models[0], self.config), self.config), "found")
-            vectors = models.embedded(pixels, found, self.models[1]).where("error is null")
+            raw = materialize(models.raw_detections(pixels, self.models[0], self.config), "anchors")
+            found = materialize(models.found_faces(raw, self.config), "found")
+            vectors = materialize(models.embedded(pixels, found, self.models[1]), "vectors")
+            errors = raw.select("path", "error").unionByName(vectors.select("path", "error"))
+            self._note(project, "faces", part, errors.join(part, "path"), now)
+            vectors = vectors.where("error is null").drop("error")
             box = F.struct(*(F.col(c).cast("float").alias(c) for c in ("x1", "y1", "x2", "y2")))
             rows = found.join(vectors, ["path", "face_ord"]).join(part, "path")
             new = rows.select(F.lit(project).alias("project_id"), "path", "photo_ord", F.col("face_ord").cast("int").alias("face_ord"), box.alias("bbox"), F.col("confidence").cast("float").alias("confidence"), "embedding", F.lit(None).cast("long").alias("cluster_id"), "content_hash")

@@ -41,6 +41,10 @@ class Config:
     poll_seconds: int = 3
     part_photos: int = 2000
     duplicate_cosine: float = 0.95
+    retry_seconds: int = 3600
+    retry_longest: int = 604_800
+    retry_attempts: int = 5
+    sketch_parts: int = 64
 
     @classmethod
     def load(cls, path: str) -> Config:

@@ -70,3 +70,74 @@ def test_progress_is_reported(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert told[-1] == ("complete", 2)
+
+
+def test_a_photo_is_forgotten_after_a_time(spark, tmp_path):
+    import time
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    stream = spark.readStream.schema("path string, grade string, version long").json(str(folder))
+
+    def run(name, *rows):
+        (folder / name).write_text("\n".join(json.dumps(dict(zip(("path", "grade", "version"), r))) for r in rows))
+        pulses = changes.grade_pulses(stream, keep_seconds=2)
+        pulses.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "mark")).trigger(once=True).start().awaitTermination()
+
+    run("1.json", ("a", "Ok", 1))
+    time.sleep(3)
+    run("2.json", ("b", "Ok", 1))  # the timer of a rings with this batch
+    run("3.json", ("a", "Bad", 2), ("b", "Bad", 2))
+    found = {r.path for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert "a" not in found
+
+
+def at(minute):
+    return f"2024-01-01 00:{minute:02d}:00"
+
+
+def run_over(spark, tmp_path, name, stream_of, *files):
+    """Rows of a stream to which the files of rows come one batch after the other."""
+    folder = tmp_path / "in"
+    folder.mkdir(exist_ok=True)
+    for i, rows in enumerate(files):
+        (folder / f"{i}.json").write_text("\n".join(json.dumps(r) for r in rows))
+        stream_of().writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-mark")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(str(tmp_path / name))
+
+
+def test_keys_that_fall_idle_late_rows_and_nulls(spark, tmp_path):
+    row = lambda k, m: {"k": k, "ts": at(m)}
+    stream = lambda: changes.idle_keys(spark.readStream.schema("k string, ts timestamp").json(str(tmp_path / "in")), "k", "ts", 600, "5 minutes")
+    found = run_over(
+        spark,
+        tmp_path,
+        "idle",
+        stream,
+        [row("a", 3), row("a", 1), row("b", 10), row(None, 2), {"k": "n"}],
+        [row("b", 30), row("a", 2)],  # the watermark stands at 5: the second is late
+        [row("a", 40), row("b", 41)],  # a begins anew
+        [row("b", 59)],
+    )
+    rows = sorted((r.k, r["last"].minute, r.n) for r in found.collect())
+    assert rows == [("a", 3, 2), ("a", 40, 1)]
+
+
+def test_rows_that_follow_others_within_a_time(spark, tmp_path):
+    row = lambda side, k, m, i: {"side": side, "k": k, "ts": at(m), "i": i}
+
+    def stream():
+        rows = spark.readStream.schema("side string, k string, ts timestamp, i int").json(str(tmp_path / "in"))
+        return changes.followed_by(rows.where("side = 'l'").select("k", "ts", "i"), rows.where("side = 'r'").select("k", "ts", F.col("i").alias("j")), "k", "ts", 600, "10 minutes")
+
+    found = run_over(
+        spark,
+        tmp_path,
+        "pairs",
+        stream,
+        [row("l", "a", 1, 1), row("r", "b", 2, 2), row("l", None, 1, 9), row("r", None, 1, 9)],
+        [row("r", "a", 11, 3), row("r", "a", 12, 4), row("l", "b", 2, 5)],  # ten minutes, eleven, at one time
+        [row("l", "c", 59, 6), row("r", "c", 58, 7)],  # the other order is no pair
+        [row("r", "a", 5, 8), row("r", "c", 59, 9)],  # the first is late
+    )
+    assert sorted((r.i, r.j) for r in found.collect()) == [(1, 3), (5, 2), (6, 9)]
