@@ -93,3 +93,21 @@ def test_a_broken_picture_is_told_and_tried_again(spark, tmp_path):
     assert (stats.n, stats.n_distinct) == (2, 2) and stats.quantiles[0] > 0
     sums = {r.grouping_id: r.photos for r in library.grade_totals(project).where("grade is null").collect()}
     assert sums[7] == 2
+
+
+def test_a_model_that_fails_leaves_a_trace(spark, tmp_path):
+    from tests.test_media import onnx_file
+
+    folder = tmp_path / "pictures"
+    folder.mkdir()
+    (folder / "a.png").write_bytes(png(np.random.default_rng(1).integers(0, 255, (40, 40, 3), np.uint8)))
+    # neither has the outputs of a detector
+    files = tuple(onnx_file(tmp_path / f"{n}.onnx", 640) for n in ("detect", "embed"))
+    library = Library(spark, f"file://{tmp_path}/library", Config(retry_seconds=100), files)
+    project = library.import_folder(str(folder))
+    library.start_enrichment(project, now=5)
+    told = library.failures(project).collect()
+    assert [(r.stage, r.attempts, r.next_at) for r in told] == [("faces", 1, 105)] and told[0].error.startswith("Inference error: ")
+    library.start_enrichment(project, now=105)
+    row = library.photos(project).first()
+    assert (library.failures(project).first().attempts, row.graded_at, row.faces_detected_at) == (2, 5, 105)
