@@ -1,4 +1,4 @@
-"""Joins by time: the last row before, rows near in time, and intervals that overlap."""
+"""Joins by time: the last row before, rows near in time, intervals that overlap, and how many do."""
 
 from __future__ import annotations
 
@@ -96,3 +96,38 @@ def overlapping(left: DataFrame, right: DataFrame, start: str, end: str, by: str
     later = F.greatest("_l0", "_r0")
     met = met.where((F.col("_level") == F.greatest("_ln", "_rn")) & (later <= F.least("_l1", "_r1")))
     return met.where(F.col("_cell") == F.call_function("shiftright", later, F.col("_level"))).select("l", "r")
+
+
+def _passed(points: DataFrame, *by: str) -> DataFrame:
+    """``_id, passed`` of points ``_id, by, _at, _ends``: at an end how many rows have begun till then, that time included; at a begin minus how many have ended before."""
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # all begins of a time stand before its ends; the id cuts a time that many share
+    order = (*by, "_at", "_ends", "_id")
+    dealt = materialize(points.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "points")
+    kinds = {"begun": F.when(~F.col("_ends"), 1).otherwise(0), "ended": F.when(F.col("_ends"), 1).otherwise(0)}
+    upto = Window.partitionBy("_range", *by).orderBy("_at", "_ends", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    # a row for each range and key
+    counts = dealt.groupBy("_range", *by).agg(*(F.sum(c).alias(f"_{k}") for k, c in kinds.items()))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("_range", *by, *(F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in kinds))
+    begun, ended = (F.col(f"_{k}") + F.sum(c).over(upto) for k, c in kinds.items())
+    return dealt.join(bases, ["_range", *by]).select("_id", F.when(F.col("_ends"), begun).otherwise(-ended).alias("passed"))
+
+
+def met_by_others(rows: DataFrame, start: str, end: str, other: str) -> DataFrame:
+    """``rows`` with ``met``, the number of rows of another ``other`` whose intervals from ``start`` to ``end``, both included, share a time with theirs.
+
+    It is what counting the pairs of :func:`overlapping` gives, but pairs, which grow with the square of
+    the rows, are never made: an interval meets all that begin till its end but for those that end before
+    its begin, and of these its own ``other``'s count as well and are taken off. Both numbers are running
+    counts over ranges of time, and of ``other`` and time, with one row for each range carried on.
+    Intervals that end before they start, and null times or others, meet nothing and are left out;
+    repeated rows are rows of their own.
+    """
+    # ids stay as they are once written
+    known = materialize(rows.where(F.col(other).isNotNull() & (F.col(start) <= F.col(end))).withColumn("_id", F.monotonically_increasing_id()), "intervals")
+    ends = F.array(*(F.struct(F.col(c).alias("_at"), F.lit(i == 1).alias("_ends")) for i, c in enumerate((start, end))))
+    points = known.select("_id", F.col(other).alias("_by"), F.inline(ends))
+    all_, own = _passed(points.drop("_by")), _passed(points, "_by")
+    met = all_.unionAll(own.select("_id", -F.col("passed"))).groupBy("_id").agg(F.sum("passed").alias("met"))
+    return known.join(met, "_id").drop("_id")

@@ -80,8 +80,8 @@ def events_near_in_time(spark, sf_dir: str) -> DataFrame:
 def overlapping_sessions(spark, sf_dir: str) -> DataFrame:
     """With how many sessions of others each session overlaps, of those that meet any."""
     s = events.sessions(X.table(spark, sf_dir, "events"), "2 hours", "user_id").select("user_id", F.col("start").alias("first"), "last")
-    found = temporal.overlapping(s, s, "first", "last").where("l.user_id <> r.user_id")
-    return found.groupBy(F.col("l.user_id").alias("user_id"), F.date_format("l.first", "yyyy-MM-dd HH:mm:ss").alias("first")).agg(F.count("*").alias("met"))
+    found = temporal.met_by_others(s, "first", "last", "user_id").where("met > 0")
+    return found.select("user_id", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("first"), "met")
 
 
 @query(

@@ -78,3 +78,31 @@ def test_intervals_of_all_lengths(spark):
         got = sorted((r.l.id, r.r.id) for r in found.collect())
         real = lambda x: None not in x[2:] and x[2] <= x[3] and (by is None or x[1] is not None)  # noqa: E731, B023
         assert got == sorted((x[0], y[0]) for x in left for y in right if real(x) and real(y) and (by is None or x[1] == y[1]) and x[2] <= y[3] and y[2] <= x[3])
+
+
+def test_how_many_of_others_an_interval_meets(spark):
+    rng = random.Random(6)
+    some = []
+    for i in range(300):
+        a = BEGIN + timedelta(seconds=rng.randrange(300))
+        some.append((i, rng.choice("abc"), a, a + timedelta(seconds=rng.choice([0, 0, 1, 5, 40, 200]))))
+    some += [(300, None, BEGIN, BEGIN), (301, "a", None, BEGIN), (302, "a", BEGIN + timedelta(1), BEGIN), some[0]]
+    df = spark.createDataFrame(some, "id long, who string, a timestamp_ntz, b timestamp_ntz")
+    real = [x for x in some if None not in x and x[2] <= x[3]]
+    expected = sorted((x[0], sum(x[1] != y[1] and x[2] <= y[3] and y[2] <= x[3] for y in real)) for x in real)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "4", "37"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert sorted((r.id, r.met) for r in temporal.met_by_others(df, "a", "b", "who").collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_sessions_that_all_overlap_are_counted_without_their_pairs(spark, tmp_path):
+    """30,000 sessions at one time are 900 million pairs."""
+    from photolake.plans.registry import QUERIES
+
+    spark.range(30_000).selectExpr("id as event_id", "timestamp'2024-01-01 00:00:00' as ts", "id as user_id").write.parquet(str(tmp_path / "events.parquet"))
+    found = QUERIES["overlapping_sessions"](spark, str(tmp_path))
+    assert found.groupBy("met").count().collect() == [(29_999, 30_000)]
