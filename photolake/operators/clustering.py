@@ -19,8 +19,8 @@ from photolake.storage import materialize
 
 #: Vectors of a group at most; pairs of groups are compared by one task each.
 TILE = 4096
-#: Rows of a group that are compared at once.
-RUN = 512
+#: Rows of a group that are compared at once, and pairs of vectors, or rows and pivots, that are reckoned at once.
+RUN, AT_ONCE = 128, 1 << 15
 #: Pivots at most, vectors that they are chosen among, and groups whose spans are compared by one task.
 PIVOTS, SAMPLE, SPANS = 512, 4096, 1024
 #: About how many seconds a pair of vectors, a vector sent to a pair of groups, and such a pair cost.
@@ -33,24 +33,36 @@ def _doubles(vectors: DataFrame) -> DataFrame:
 
 
 def _packed(classes: DataFrame) -> DataFrame:
-    """``cid, n, size, vec``: vectors as bytes of doubles, written down."""
+    """``cid, n, size, vec``: vectors as bytes, written down; of floats where these hold the same numbers, else of doubles."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [x.values.to_numpy(zero_copy_only=False).astype("<f8") for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in data], pa.int32()), pa.array([x.tobytes() for x in data], pa.binary())], ["cid", "n", "size", "vec"])
+            with np.errstate(all="ignore"):
+                short = [x.astype("<f4") for x in data]
+            vec = [(s if (s == x).all() else x).tobytes() for s, x in zip(short, data)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in data], pa.int32()), pa.array(vec, pa.binary())], ["cid", "n", "size", "vec"])
 
     kind = classes.schema["cid"].dataType.simpleString()
     return materialize(classes.select("cid", "n", "embedding").mapInArrow(pack, f"cid {kind}, n long, size int, vec binary"), "packed")
 
 
+def _matrix(vectors: list[bytes], size: int) -> np.ndarray:
+    """Packed vectors of one length as rows of doubles."""
+    out = np.empty((len(vectors), size))
+    for kind in ("<f4", "<f8"):
+        of = [i for i, v in enumerate(vectors) if len(v) == size * int(kind[2])]
+        out[of] = np.frombuffer(b"".join(vectors[i] for i in of), kind).reshape(len(of), size)
+    return out
+
+
 def pivots_of(packed: DataFrame, rows: int) -> np.ndarray:
     """Vectors that lie far apart, each the farthest from those before, among at most :data:`SAMPLE` of the smallest hashes.
 
     All have the length that most of the sample have. Which vectors are pivots decides how many pairs of
     groups are compared, and never the result.
     """
-    some = [np.frombuffer(r["vec"], "<f8") for r in packed.orderBy(F.xxhash64("cid")).limit(SAMPLE).select("vec").collect()]
+    some = [_matrix([r["vec"]], r["size"])[0] for r in packed.orderBy(F.xxhash64("cid")).limit(SAMPLE).select("vec", "size").collect()]
     some = [x for x in some if np.isfinite(x).all()]
     if not some:
         return np.empty((0, 0))
@@ -64,18 +76,27 @@ def pivots_of(packed: DataFrame, rows: int) -> np.ndarray:
     return x[chosen]
 
 
-def distances(vectors: list[bytes], pivots: np.ndarray) -> np.ndarray:
+def distances(vectors: list[bytes], sizes: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """The distance of each vector from each pivot; not a number where the lengths differ or it has none."""
     out = np.full((len(vectors), len(pivots)), np.nan)
-    fits = [i for i, v in enumerate(vectors) if len(v) == 8 * pivots.shape[1]]
-    if fits and len(pivots):
-        x = np.frombuffer(b"".join(vectors[i] for i in fits), "<f8").reshape(len(fits), -1)
+    fits = np.flatnonzero(sizes == pivots.shape[1])
+    if len(fits) and len(pivots):
+        x = _matrix([vectors[i] for i in fits], pivots.shape[1])
         with np.errstate(all="ignore"):
             out[fits] = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T, 0))
     out[~np.isfinite(out).all(1)] = np.nan
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches, cut small, with the distances of their vectors from the pivots."""
+    rows = max(1, AT_ONCE * 8 // max(1, len(pivots)))
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            some = batch.slice(a, rows)
+            yield some, distances(some.column("vec").to_pylist(), some.column("size").to_numpy(), pivots)
+
+
 def in_cells(packed: DataFrame, pivots: np.ndarray) -> DataFrame:
     """``packed`` with the ``cell`` of each vector, the number of its nearest pivot, and its distance ``away``.
 
@@ -83,8 +104,7 @@ def in_cells(packed: DataFrame, pivots: np.ndarray) -> DataFrame:
     """
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = distances(batch.column("vec").to_pylist(), pivots)
+        for batch, d in _slices(batches, pivots):
             known = np.isfinite(d).all(1) & (len(pivots) > 0)
             cell = -batch.column("size").to_numpy().astype(np.int64)
             away = np.zeros(len(cell))
@@ -158,9 +178,8 @@ def spans_of(grouped: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        for batch in batches:
-            d, groups = distances(batch.column("vec").to_pylist(), pivots), batch.column("group").to_numpy()
-            sizes = batch.column("size").to_numpy()
+        for batch, d in _slices(batches, pivots):
+            groups, sizes = batch.column("group").to_numpy(), batch.column("size").to_numpy()
             order = np.argsort(groups, kind="stable")
             starts = np.flatnonzero(np.r_[True, np.diff(groups[order]) != 0]) if len(groups) else []
             for some in np.split(order, starts[1:]):
@@ -253,10 +272,10 @@ def _tiles(grouped: DataFrame, pairs: DataFrame, *carried: str) -> DataFrame:
     return met.repartition(parts, "one", "two").sortWithinPartitions("one", "two", "second", "cid")
 
 
-def _met(batches: Iterator[pa.RecordBatch], eps: float) -> Iterator[tuple]:
-    """For each tile and length of vectors: the rows of both sides as columns, and which are near.
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """For each tile and length of vectors: whether it is of one group, the rows of both sides as columns, and their vectors.
 
-    Both sides are the same in a tile of one group; a row is never near itself.
+    Both sides are the same in a tile of one group.
     """
 
     def tables() -> Iterator[pa.Table]:
@@ -282,19 +301,41 @@ def _met(batches: Iterator[pa.RecordBatch], eps: float) -> Iterator[tuple]:
             b = a if alone else mine.filter(pa.array(second))
             if not a.num_rows or not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(side.column("vec").to_pylist()), "<f8").reshape(side.num_rows, size) for side in (a, b))
-            near, yy = np.zeros((len(x), len(y)), bool), (y * y).sum(1)
-            for i in range(0, len(x), RUN):
-                xs = x[i : i + RUN]
-                rough = (xs * xs).sum(1)[:, None] + yy - 2 * xs @ y.T
-                slack = 1e-9 * (1 + eps * eps + np.abs(rough).max(initial=0))
-                near[i : i + RUN] = rough <= eps * eps
-                # what rounding may decide is summed up anew
-                p, q = np.nonzero(np.abs(rough - eps * eps) <= slack)
-                near[i + p, q] = ((xs[p] - y[q]) ** 2).sum(1) <= eps * eps
-            if alone:
-                np.fill_diagonal(near, False)
-            yield alone, a, b, near, x, y
+            x, y = (_matrix(side.column("vec").to_pylist(), size) for side in (a, b))
+            yield alone, a, b, x, y
+
+
+def _squared(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distances of rows ``p`` of ``x`` from rows ``q`` of ``y``, some at once."""
+    out, each = np.empty(len(p)), max(1, AT_ONCE * 8 // max(1, x.shape[1]))
+    for i in range(0, len(p), each):
+        out[i : i + each] = ((x[p[i : i + each]] - y[q[i : i + each]]) ** 2).sum(1)
+    return out
+
+
+def _near(alone: bool, x: np.ndarray, y: np.ndarray, eps: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For :data:`RUN` rows of ``x`` at a time, the first of them and to which rows of ``y`` each is near; a row is never near itself."""
+    with np.errstate(all="ignore"):
+        xx, yy = (x * x).sum(1), (y * y).sum(1)
+    for i in range(0, len(x), RUN):
+        xs, own = x[i : i + RUN], xx[i : i + RUN]
+        with np.errstate(all="ignore"):
+            rough = xs @ y.T
+            rough *= -2
+            rough += own[:, None]
+            rough += yy
+            # squares are that large at most, and rounding is a part of them
+            most = sum(s[np.isfinite(s)].max(initial=0) for s in (own, yy))
+            slack = 1e-9 * (1 + eps * eps + most)
+            near = rough <= eps * eps
+            rough -= eps * eps
+            # what rounding may decide is summed up anew
+            p, q = np.nonzero(np.abs(rough, out=rough) <= slack)
+        del rough
+        near[p, q] = _squared(xs, y, p, q) <= eps * eps
+        if alone:
+            near[np.arange(len(xs)), i + np.arange(len(xs))] = False
+        yield i, near
 
 
 def _roots(near: np.ndarray, core: list, alone: bool) -> list:
@@ -325,9 +366,15 @@ def _counted(eps: float) -> Callable:
     """Tiles to ``cid, k``: how many rows of the other side are near, by the numbers ``n`` that each stands for."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for alone, a, b, near, _, _ in _met(batches, eps):
-            for side, other, m in ((a, b, near), (b, a, near.T))[: 1 if alone else 2]:
-                yield pa.RecordBatch.from_arrays([side.column("cid").combine_chunks(), pa.array(m @ other.column("n").to_numpy().astype(np.int64))], ["cid", "k"])
+        for alone, a, b, x, y in _met(batches):
+            n, m = (side.column("n").to_numpy().astype(np.int64) for side in (a, b))
+            found = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+            for i, near in _near(alone, x, y, eps):
+                found[0][i : i + RUN] = near @ m
+                if not alone:
+                    found[1][:] += n[i : i + RUN] @ near
+            for side, k in zip((a, b), found[: 1 if alone else 2]):
+                yield pa.RecordBatch.from_arrays([side.column("cid").combine_chunks(), pa.array(k)], ["cid", "k"])
 
     return count
 
@@ -340,12 +387,15 @@ def _linked(eps: float, asking: str | None = None) -> Callable:
     """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for alone, a, b, near, _, _ in _met(batches, eps):
+        for alone, a, b, x, y in _met(batches):
             ids = [np.array(side.column("cid").to_pylist()) for side in (a, b)]
             core = [np.array(side.column("core").to_pylist(), bool) for side in (a, b)]
+            near = np.empty((len(x), len(y)), bool)
+            for i, some in _near(alone, x, y, eps):
+                near[i : i + RUN] = some
             if asking:
                 asks = [np.array(side.column(asking).to_pylist(), bool) for side in (a, b)]
-                near = near & (asks[0][:, None] | asks[1])
+                near[~asks[0]] &= asks[1]
             root = _roots(near, core, alone)
             heads = np.concatenate(ids)
             out: list = []
@@ -373,12 +423,15 @@ def neighbours(vectors: DataFrame, eps: float) -> DataFrame:
     packed = _packed(_doubles(vectors).select(F.col("ord").alias("cid"), F.lit(1).cast("long").alias("n"), "embedding"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for alone, a, b, near, x, y in _met(batches, eps):
+        for alone, a, b, x, y in _met(batches):
             ids, others = (np.array(side.column("cid").to_pylist()) for side in (a, b))
-            for i in range(0, len(x), RUN):
-                p, q = np.nonzero(np.triu(near[i : i + RUN], i + 1) if alone else near[i : i + RUN])
-                one, two = ids[i + p], others[q]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(((x[i + p] - y[q]) ** 2).sum(1))], ["a", "b", "d2"])
+            for i, near in _near(alone, x, y, eps):
+                rows, columns = np.nonzero(np.triu(near, i + 1) if alone else near)
+                # many may be near, so some are sent at a time
+                for at in range(0, len(rows), AT_ONCE):
+                    p, q = i + rows[at : at + AT_ONCE], columns[at : at + AT_ONCE]
+                    one, two = ids[p], others[q]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(_squared(x, y, p, q))], ["a", "b", "d2"])
 
     return _tiles(*_grouped(packed, eps)).mapInArrow(compare, f"a {kind}, b {kind}, d2 double")
 

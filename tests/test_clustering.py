@@ -1,6 +1,9 @@
 """DBSCAN, components and suppression against plain sequential versions."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -161,3 +164,48 @@ def test_groups_that_are_cut_and_spans_compared_in_blocks(spark, monkeypatch):
     found = sorted((r.a, r.b) for r in clustering.neighbours(df, 0.2).collect())
     near = lambda v, w: len(v) == len(w) and sum((a - b) ** 2 for a, b in zip(v, w)) <= 0.04
     assert found == [(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if near(x[i], x[j])]
+
+
+def packed_tile(x: np.ndarray, kind: str):
+    """A tile of one group as its task gets it."""
+    n = len(x)
+    columns = [pa.array([0] * n), pa.array([0] * n), pa.array([False] * n), pa.array(range(n), pa.int64()), pa.array([1] * n), pa.array([x.shape[1]] * n, pa.int32()), pa.array([v.astype(kind).tobytes() for v in x], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["one", "two", "second", "cid", "n", "size", "vec"])
+
+
+def test_a_full_tile_takes_little_memory_even_where_all_are_near(spark):
+    """4,096 equal vectors: no square of the group is held in numbers, and no list of its pairs."""
+    x = np.ones((clustering.TILE, 64), np.float32)
+    tracemalloc.start()
+    try:
+        counted = list(clustering._counted(1.0)(iter([packed_tile(x, "<f4")])))
+        assert set(counted[0].column("k").to_pylist()) == {clustering.TILE - 1}
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+        tracemalloc.reset_peak()
+        d2 = [clustering._squared(x[:512].astype(float), x.astype(float), *(i.ravel() for i in np.indices((512, len(x)))))]
+        assert d2[0].max() == 0 and tracemalloc.get_traced_memory()[1] < 150e6
+        tracemalloc.reset_peak()
+        far = [b for b, d in clustering._slices(iter([packed_tile(x, "<f4")] * 2), np.eye(64).repeat(8, 0))]
+        assert sum(b.num_rows for b in far) == 2 * len(x)
+    finally:
+        tracemalloc.stop()
+
+
+def test_vectors_are_packed_as_floats_only_where_these_hold_them(spark):
+    rows = [(0, [0.5, 1.0]), (1, [0.1, 1.0]), (2, [float("nan"), 1.0]), (3, [1e300, 1.0]), (4, [float("inf"), -0.0])]
+    df = spark.createDataFrame(rows, "cid long, embedding array<double>").selectExpr("cid", "1L as n", "embedding")
+    got = {r.cid: (len(r.vec), clustering._matrix([r.vec], r["size"])[0].tolist()) for r in clustering._packed(df).collect()}
+    assert {k: v[0] for k, v in got.items()} == {0: 8, 1: 16, 2: 16, 3: 16, 4: 8}
+    assert all(np.array_equal(got[i][1], v, equal_nan=True) for i, v in rows)
+    # floats of 32 parts are as many bytes as doubles of 16
+    mixed = [(i, [float(i)] * n) for i, n in enumerate([32, 16, 32, 16])] + [(4, [0.1] * 16)]
+    df = spark.createDataFrame(mixed, "ord long, embedding array<double>")
+    assert sorted((r.a, r.b) for r in clustering.neighbours(df, 20.0).collect()) == [(0, 2), (1, 3), (1, 4), (3, 4)]
+
+
+def test_near_vectors_far_from_the_origin(spark):
+    """Their squares are so large that what is left of a difference is rounding."""
+    x = np.random.default_rng(4).normal(size=(60, 3)) + 1e6
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "ord long, embedding array<double>")
+    found = sorted((r.a, r.b) for r in clustering.neighbours(df, 0.5).collect())
+    assert found == [(i, j) for i in range(60) for j in range(i + 1, 60) if ((x[i] - x[j]) ** 2).sum() <= 0.25]
