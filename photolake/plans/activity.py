@@ -9,6 +9,7 @@ from photolake.functions import exif
 from photolake.operators import events, order, temporal, views
 from photolake.plans import fixtures as X
 from photolake.plans.catalog import query
+from photolake.storage import materialize
 
 
 def _time(c: str):
@@ -97,6 +98,7 @@ def header_times(spark, sf_dir: str) -> DataFrame:
     data = F.concat(F.unhex(F.when(odd, big).otherwise(small)), text, F.unhex(F.lit("00")))
     cut = F.when(F.col("event_id") % 11 == 0, F.substring(data, 1, 7)).otherwise(data)
     files = X.table(spark, sf_dir, "events").select("event_id", cut.alias("content"))
-    found = exif.headers(files, "event_id", F.col("content"), 4096).withColumn("lost", F.col("taken").isNull())
-    found = order.ranked(found.select("event_id", "taken", "orientation", "lost"), "lost", "taken", "event_id")
+    # headers are read once, whatever the ranges of their order take to be drawn
+    found = materialize(exif.headers(files, "event_id", F.col("content"), 4096).select("event_id", "taken", "orientation"), "headers")
+    found = order.ranked(found.withColumn("lost", F.col("taken").isNull()), "lost", "taken", "event_id")
     return found.select("event_id", F.date_format("taken", "yyyy-MM-dd HH:mm:ss").alias("taken"), "orientation", "place")

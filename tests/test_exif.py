@@ -112,3 +112,30 @@ def test_a_folder_in_the_order_of_time_with_upright_copies(spark, tmp_path):
     library.open_project(project)
     assert [r.filename for r in library.by_time(project).orderBy("place").collect()][0] == "a.jpg"
     assert library.headers(project).count() == 4
+
+
+def test_headers_of_the_query_are_read_once(spark, sf_dir, monkeypatch):
+    from photolake.plans import activity
+
+    read, real = spark.sparkContext.accumulator(0), activity.exif.headers
+
+    def counted(*args):
+        found = real(*args)
+
+        def count(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        return found.mapInArrow(count, found.schema)
+
+    monkeypatch.setattr(activity.exif, "headers", counted)
+    assert activity.header_times(spark, sf_dir).count() == read.value
+
+
+def test_times_as_cameras_spell_them():
+    from photolake.functions.exif import _time
+
+    assert _time("2024:1:5 3:4:5", None) == "2024-01-05 03:04:05"
+    assert _time("0999:01:01 00:00:00", "12") == "0999-01-01 00:00:00.12"
+    assert [_time(x, None) for x in ("2024:02:30 00:00:00", "2024:01:01 24:00:00", "2024:01:01 23:59:60", "0000:00:00 00:00:00", "", None)] == [None] * 6
