@@ -138,3 +138,33 @@ def test_a_sample_without_a_label_that_there_is_fails(spark):
     long = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("fool "), 1000)).otherwise(F.col("text")))
     with pytest.raises(ValueError, match="lacks a label"):
         toxicity.fit(long, marks, F.lit(True), max_bytes=16_000)
+
+
+def test_all_labelled_documents_are_learned_from(spark):
+    """A toxic word that only documents behind the first 12,000 hold, and one in texts of over 3 MB."""
+    ids = spark.range(13_000).orderBy(F.xxhash64("id")).toPandas()["id"].tolist()
+    rows = [(i, f"the garden number {k % 50} is green {'zorka' if k % 3 == 0 and k >= 12_000 else 'fine'}") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    long = spark.range(100_000, 100_040).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("green garden "), 250_000), F.when(F.col("id") % 2 == 0, "blorka").otherwise("fine")).alias("text"))
+    marks = docs.select("doc_id", F.col("text").contains("zorka").cast("int").alias("toxic")).unionByName(long.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic")))
+    model = toxicity.fit(docs.unionByName(long), marks, F.lit(True))
+    scores = model.scores(["the garden is green zorka", "the garden is green blorka", "the garden is green fine"])
+    assert scores[0] >= 0.5 and scores[1] >= 0.5 > scores[2]
+
+
+def test_shards_agree_and_the_model_is_the_same_each_time(spark, monkeypatch):
+    docs, marks = tiny(spark)
+    monkeypatch.setattr(toxicity, "EACH", 40)
+    texts = [r.text for r in docs.collect()]
+    one, two = (toxicity.fit(docs.repartition(n), marks, F.lit(True)).scores(texts) for n in (2, 3))
+    assert (one == two).all() and all((s >= 0.5) == (i % 3 == 0) for i, s in enumerate(one))
+
+
+def test_thresholds_over_ranges_are_the_best_cuts(spark):
+    rng = np.random.default_rng(3)
+    z, y, kind = rng.normal(size=500).round(1), rng.random(500) < 0.3, rng.integers(0, 2, 500)
+    rows = spark.createDataFrame([(int(k), float(v), int(x)) for k, v, x in zip(kind, z, y)], "kind int, z double, y int")
+    found = toxicity.best_thresholds(rows.groupBy("kind", "z").agg(F.count("*").alias("n"), F.sum("y").alias("ones")))
+    for k in (0, 1):
+        f1 = lambda cut: 2 * (y & (z >= cut) & (kind == k)).sum() / (((z >= cut) & (kind == k)).sum() + (y & (kind == k)).sum())  # noqa: E731, B023
+        assert found[k][1] == (y & (kind == k)).sum() and np.isclose(f1(found[k][0]), max(f1(c) for c in np.unique(z)))
