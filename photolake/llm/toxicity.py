@@ -31,7 +31,7 @@ PAD = max(WIDTHS)
 #: Tokens convolved at once.
 RUN = 1 << 17
 #: Documents that one task learns from in a line, shards at most, and rows of the embedding that are sent together.
-EACH, SHARDS, BLOCK = 16_384, 256, 1024
+EACH, SHARDS, BLOCK = 65_536, 256, 1024
 
 
 @dataclass
@@ -160,6 +160,11 @@ def _rows_in(data: pa.Scalar) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
+def shards_of(docs: int) -> int:
+    """How many shards so many documents lie in: each sends what it moved after every epoch, so they are few."""
+    return max(1, min(SHARDS, docs // EACH))
+
+
 def _as_rows(texts: DataFrame, marks: DataFrame, model: ConvModel, shards: int) -> DataFrame:
     """``label, later, shard, rows`` of the labelled documents, each shard in one file and in an order of its own; ``later`` is a fifth.
 
@@ -389,7 +394,7 @@ def train(texts: DataFrame, marks: DataFrame, size: int = 16, filters: int = 12,
         return None
     row, tag, rank = _vocabulary(texts, bits, min_docs)
     model = ConvModel(row, tag, *[None] * 4, 0.0, None, np.zeros(len(LANGUAGES) + 1))
-    every = _as_rows(texts, marks, model, max(1, min(SHARDS, marked["n"] // EACH)))
+    every = _as_rows(texts, marks, model, shards_of(marked["n"]))
     counts = {(r["later"], r["label"]): r["n"] for r in every.groupBy("later", "label").agg(F.count("*").alias("n")).collect()}
     if len({label for _, label in counts}) < 2:
         return None
