@@ -17,8 +17,10 @@ from photolake.operators.components import connected_components
 from photolake.operators.order import ranked
 from photolake.storage import materialize
 
-#: Vectors of a group at most; pairs of groups are compared by one task each.
+#: Vectors of each side that are compared with each other at once.
 TILE = 4096
+#: Groups that the vectors are cut into at least, where they are many, and numbers that the vectors of a group have at most.
+GROUPS, NUMBERS = 16, 1 << 21
 #: Rows of a group that are compared at once, and pairs of vectors, or rows and pivots, that are reckoned at once.
 RUN, AT_ONCE = 128, 1 << 15
 #: Pivots at most, vectors that they are chosen among, and groups whose spans are compared by one task.
@@ -97,6 +99,15 @@ def _slices(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[t
             yield some, distances(some.column("vec").to_pylist(), some.column("size").to_numpy(), pivots)
 
 
+def group_rows(rows: int, pivots: np.ndarray) -> int:
+    """Vectors of a group at most; pairs of groups are compared by one task each.
+
+    Every vector is sent to all groups that its own meets, so few large groups send less; they are cut so
+    that there are pairs for many tasks and that a task holds two of them.
+    """
+    return max(TILE, min(rows // GROUPS, NUMBERS // pivots.shape[1] if len(pivots) else 0))
+
+
 def in_cells(packed: DataFrame, pivots: np.ndarray) -> DataFrame:
     """``packed`` with the ``cell`` of each vector, the number of its nearest pivot, and its distance ``away``.
 
@@ -142,12 +153,13 @@ def _slack(eps: float, spans: list[np.ndarray]) -> float:
     return eps + 1e-6 * (1 + eps + most)
 
 
-def wide_enough(cells: np.ndarray, counts: np.ndarray, low: np.ndarray, high: np.ndarray, pivots: np.ndarray, eps: float, parts: int) -> tuple[dict[int, int], list[tuple[int, int]] | None]:
+def wide_enough(cells: np.ndarray, counts: np.ndarray, low: np.ndarray, high: np.ndarray, pivots: np.ndarray, eps: float, parts: int, each: int | None = None) -> tuple[dict[int, int], list[tuple[int, int]] | None]:
     """The group of each cell, and the pairs of groups that meet where none has to be cut: cells alone where most of them never meet, else several side by side together.
 
     Small groups leave out more pairs of vectors, but each vector is sent to every group that its own
     meets. Where the spans tell little, as with vectors that lie at random in many dimensions, few large
-    groups are cheaper; so the cost of both, and of what is between, is reckoned from the spans.
+    groups are cheaper; so the cost of both, and of what is between, is reckoned from the spans. A group
+    holds ``each`` vectors at most, or :data:`TILE`.
     """
     if not len(cells):
         return {}, None
@@ -163,8 +175,8 @@ def wide_enough(cells: np.ndarray, counts: np.ndarray, low: np.ndarray, high: np
         n = np.add.reduceat(counts, first)
         a, b = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
         near = np.triu(_apart([a, b, a, b]) <= _slack(eps, [a, b]))
-        # groups that hold more than a tile are cut, and their parts meet each other
-        tiles = -(-n // TILE)
+        # groups that hold more are cut, and their parts meet each other
+        tiles = -(-n // (each or TILE))
         pairs, sent = (near * np.outer(tiles, tiles)).sum(), (near * (np.outer(n, tiles) + np.outer(tiles, n))).sum()
         cost = ((near * np.outer(n, n)).sum() * PAIR_S + sent * COPY_S + pairs * TILE_S) / min(max(pairs, 1), parts)
         if cost < best[0]:
@@ -239,19 +251,21 @@ def _grouped(packed: DataFrame, eps: float) -> tuple[DataFrame, DataFrame]:
     too far apart are not compared (:func:`meeting`). The driver sees the sample of pivots and the spans
     of their cells, :data:`PIVOTS` rows at most.
     """
-    spark, pivots = packed.sparkSession, pivots_of(packed, packed.count())
+    spark, rows = packed.sparkSession, packed.count()
+    pivots = pivots_of(packed, rows)
+    each = group_rows(rows, pivots)
     placed = materialize(in_cells(packed, pivots), "placed")
     cells = placed.withColumn("group", F.col("cell"))
     spans = spans_of(cells, pivots).join(cells.groupBy("group").agg(F.count("*").alias("k")), "group").orderBy("group")
     # a row for each pivot, and for each length of vectors that have no distances, for which no span is taken
     known = spans.where("group >= 0").collect() if len(pivots) else []
     of = [np.array([r[c] for r in known]) for c in ("group", "k", "low", "high")]
-    groups, pairs = wide_enough(*of, pivots, eps, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups, pairs = wide_enough(*of, pivots, eps, int(spark.conf.get("spark.sql.shuffle.partitions")), each)
     if pairs is not None and placed.where("cell < 0").isEmpty():
         numbers = [F.lit(x) for pair in groups.items() for x in pair]
         grouped = placed.withColumn("group", F.shiftleft(F.create_map(*numbers)[F.col("cell")].cast("long"), 32)).drop("cell", "away")
         return grouped, spark.createDataFrame([(a << 32, b << 32) for a, b in pairs], "one long, two long")
-    grouped = materialize(in_groups(placed, groups, TILE), "grouped")
+    grouped = materialize(in_groups(placed, groups, each), "grouped")
     return grouped, materialize(meeting(spans_of(grouped, pivots), eps), "meeting")
 
 
@@ -273,9 +287,10 @@ def _tiles(grouped: DataFrame, pairs: DataFrame, *carried: str) -> DataFrame:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """For each tile and length of vectors: whether it is of one group, the rows of both sides as columns, and their vectors.
+    """For each tile and length of vectors: whether both sides are the same rows, the rows of both as columns, and their vectors.
 
-    Both sides are the same in a tile of one group.
+    A pair of groups is cut into tiles of at most :data:`TILE` rows a side; of a group and itself each
+    pair of rows is in one tile.
     """
 
     def tables() -> Iterator[pa.Table]:
@@ -301,8 +316,13 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             b = a if alone else mine.filter(pa.array(second))
             if not a.num_rows or not b.num_rows:
                 continue
-            x, y = (_matrix(side.column("vec").to_pylist(), size) for side in (a, b))
-            yield alone, a, b, x, y
+            for i in range(0, a.num_rows, TILE):
+                p = a.slice(i, TILE)
+                x = _matrix(p.column("vec").to_pylist(), size)
+                for j in range(i if alone else 0, b.num_rows, TILE):
+                    q = b.slice(j, TILE)
+                    same = alone and i == j
+                    yield same, p, q, x, x if same else _matrix(q.column("vec").to_pylist(), size)
 
 
 def _squared(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:

@@ -61,12 +61,14 @@ def added(g: Grouping, vectors: DataFrame) -> Grouping:
     fresh = vectors.select("ord", "embedding").dropDuplicates(["ord"]).join(g.points.select(F.col("cid").alias("ord")), "ord", "left_anti")
     rows = materialize(fresh, "batch")
     packed = C._packed(C._doubles(rows).select(F.col("ord").alias("cid"), F.lit(1).cast("long").alias("n"), "embedding"))
-    pivots = g.pivots if len(g.pivots) else C.pivots_of(packed, packed.count())
+    count = packed.count()
+    pivots = g.pivots if len(g.pivots) else C.pivots_of(packed, count)
+    each = C.group_rows(count + g.points.count(), pivots)
     placed = materialize(C.in_cells(packed, pivots), "placed")
     cells = C.spans_of(placed.withColumn("group", F.col("cell")), pivots).join(placed.groupBy(F.col("cell").alias("group")).agg(F.count("*").alias("k")), "group").where("group >= 0").orderBy("group").collect() if len(pivots) else []
     of = [np.array([r[c] for r in cells]) for c in ("group", "k", "low", "high")]
-    groups, _ = C.wide_enough(*of, pivots, g.eps, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    mine = C.in_groups(placed, groups, C.TILE).withColumn("group", F.col("group") + (g.batches << 16))
+    groups, _ = C.wide_enough(*of, pivots, g.eps, int(spark.conf.get("spark.sql.shuffle.partitions")), each)
+    mine = C.in_groups(placed, groups, each).withColumn("group", F.col("group") + (g.batches << 16))
     mine = materialize(mine.select(*(c.split()[0] for c in VECTORS.split(", "))), "grouped")
     spans = materialize(C.spans_of(mine, pivots), "spans")
     every, all_spans = g.vectors.unionByName(mine), g.spans.unionByName(spans)

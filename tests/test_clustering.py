@@ -166,6 +166,18 @@ def test_groups_that_are_cut_and_spans_compared_in_blocks(spark, monkeypatch):
     assert found == [(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if near(x[i], x[j])]
 
 
+def test_a_vector_is_sent_to_few_groups_however_many_there_are(spark, monkeypatch):
+    """Groups grow with the table up to a bound, and are compared tile by tile within the task."""
+    monkeypatch.setattr(clustering, "TILE", 5)
+    x = np.random.default_rng(8).normal(size=(600, 8))
+    x[:40] = x[0] + np.random.default_rng(9).normal(size=(40, 8)) / 50
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "ord long, embedding array<double>")
+    packed = clustering._packed(df.selectExpr("ord as cid", "1L as n", "embedding"))
+    assert clustering._tiles(*clustering._grouped(packed, 1.5)).count() <= 600 * 2 * clustering.GROUPS
+    assert labels(spark, x, 1.5, 4) == sequential(x, 1.5, 4)
+    assert clustering.group_rows(600_000, np.ones((1, 64))) == 32_768 and clustering.group_rows(600_000, np.ones((1, 1024))) == 2048
+
+
 def packed_tile(x: np.ndarray, kind: str):
     """A tile of one group as its task gets it."""
     n = len(x)
