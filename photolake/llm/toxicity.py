@@ -186,7 +186,9 @@ def _as_rows(texts: DataFrame, marks: DataFrame, model: ConvModel, shards: int)
     found = texts.select("doc_id", "text").mapInArrow(look_up, T.StructType([texts.schema["doc_id"], T.StructField("rows", T.BinaryType())]))
     met = found.repartition(shards, "doc_id").join(marks.repartition(shards, "doc_id").hint("shuffle_hash"), "doc_id")
     named = met.select("label", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 4).alias("later"), F.pmod(F.hash("doc_id"), F.lit(shards)).alias("shard"), "rows", F.xxhash64("doc_id").alias("place"), "doc_id")
-    return materialize(named.sortWithinPartitions("shard", "later", "place", "doc_id", "rows").drop("place", "doc_id"), "rows")
+    made = materialize(named.sortWithinPartitions("shard", "later", "place", "doc_id", "rows").drop("place", "doc_id"), "rows")
+    sent.destroy()
+    return made
 
 
 def _odds(rows: DataFrame, size: int, ones: int, zeros: int, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -304,8 +306,8 @@ class Fit:
         e[0] = 0
 
 
-def _epoch(rows: DataFrame, fit: Fit, batch: int, rate: float) -> Fit:
-    """The mean of what the shards make of ``fit``, each by steps over all its documents.
+def _epoch(rows: DataFrame, fit: Fit, batch: int, rate: float) -> None:
+    """``fit`` becomes the mean of what the shards make of it, each by steps over all its documents.
 
     A row of the embedding moves by the mean of the shards that moved it, the dense parameters by the
     mean of all, weighted by documents. Shards are added up in their order, so runs agree. The driver
@@ -364,18 +366,17 @@ def _epoch(rows: DataFrame, fit: Fit, batch: int, rate: float) -> Fit:
 
     made = rows.select("shard", "label", "rows").mapInArrow(learn, "block int, shard int, n long, steps long, at binary, data binary")
     found = made.groupBy("block").applyInArrow(mean, "block int, steps long, at binary, data binary").toArrow()
-    after = fit.copy()
-    for block, steps, at, data in zip(found["block"].to_pylist(), found["steps"].to_pylist(), found["at"].to_pylist(), found["data"].to_pylist()):
+    # in place, as the driver needs one of them alone
+    for block, steps, at, data in zip(found["block"].to_pylist(), found["steps"].to_pylist(), found["at"], found["data"]):
         if block < 0:
-            after.unflatten(np.frombuffer(data, "<f8"))
-            after.steps = steps
+            fit.unflatten(np.frombuffer(data.as_buffer(), "<f8"))
+            fit.steps = steps
         else:
-            i = np.frombuffer(at, "<i4") + block * BLOCK
-            by = np.frombuffer(data, "<f4").reshape(len(i), size + 1)
-            after.e[i] += by[:, :-1]
-            after.seen[i] += by[:, -1]
+            i = np.frombuffer(at.as_buffer(), "<i4") + block * BLOCK
+            by = np.frombuffer(data.as_buffer(), "<f4").reshape(len(i), size + 1)
+            fit.e[i] += by[:, :-1]
+            fit.seen[i] += by[:, -1]
     sent.destroy()
-    return after
 
 
 def train(texts: DataFrame, marks: DataFrame, size: int = 16, filters: int = 12, epochs: int = 6, bits: int = 18, min_docs: int = 3, batch: int = 64, seed: int = 7) -> ConvModel | None:
@@ -423,7 +424,7 @@ def train(texts: DataFrame, marks: DataFrame, size: int = 16, filters: int = 12,
     dense = [x for fs in f for x in fs] + bias + [out, out_bias]
     fit = Fit(of, e, np.zeros(len(e)), dense, [(np.zeros_like(x), np.zeros_like(x)) for x in dense], 0)
     for epoch in range(epochs):
-        fit = _epoch(rows, fit, batch, 0.01 * (1 - epoch / epochs))
+        _epoch(rows, fit, batch, 0.01 * (1 - epoch / epochs))
     model.embedding, model.filters, model.bias = fit.e.astype(np.float32), fit.filters(), fit.dense[sum(WIDTHS) : -2]
     model.out, model.out_bias = fit.dense[-2], float(fit.dense[-1][0])
     found = best_thresholds(_rated(held, model, of))
@@ -455,7 +456,9 @@ def _rated(rows: DataFrame, model: ConvModel, of: np.ndarray) -> DataFrame:
 
     rated = rows.select(F.col("label"), "rows").mapInArrow(rate, T.StructType([rows.schema["label"], T.StructField("z", T.DoubleType()), T.StructField("kind", T.IntegerType())]))
     each = rated.select(F.explode(F.array("kind", F.lit(len(LANGUAGES) + 1))).alias("kind"), "z", "label")
-    return materialize(each.groupBy("kind", "z").agg(F.count("*").alias("n"), F.sum("label").alias("ones")), "rated")
+    made = materialize(each.groupBy("kind", "z").agg(F.count("*").alias("n"), F.sum("label").alias("ones")), "rated")
+    sent.destroy()
+    return made
 
 
 def best_thresholds(rated: DataFrame) -> dict[int, tuple[float, int]]:
