@@ -163,6 +163,7 @@ def mixed_documents(docs: DataFrame, slot_col: str | None = None, **options) ->
     Rows that share id and source are told apart by their size; of those that share it too, all words
     taken are dealt out once: whole copies in turn, then the part that is left over to a single row.
     They are numbered in two steps, within the written parts of the rows and over the parts' counts.
+    Where no rows share both, nothing is planned for it, as every stage takes some of the driver's memory.
     """
     id_col, text_col, source_col = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source")
     i, s, n, taken, size, slots, rows_of, turn, part, c, by_size, by_part, slot = unused(docs, "id", "origin", "n", "taken", "size", "slots", "rows", "turn", "part", "c", "by_size", "by_part", slot_col or "slot")
@@ -171,17 +172,19 @@ def mixed_documents(docs: DataFrame, slot_col: str | None = None, **options) ->
     by_row = materialize(by_row, "planned")
     same = F.col(id_col).eqNullSafe(F.col(i)) & F.col(source_col).eqNullSafe(F.col(s))
     alone = docs.join(by_row.where((F.col(c) == 1) & (F.col(taken) > 0)).drop(c), same).withColumn(rows_of, F.lit(1).cast("long")).withColumn(n, F.lit(0).cast("long"))
-    counted = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0))
-    shared = materialize(docs.join(by_row.where(F.col(c) > 1).select(i, s), same, "left_semi").withColumn(size, counted).withColumn(part, F.spark_partition_id()), "shared")
-    key = [F.col(id_col), F.col(source_col), F.col(size)]
-    sums = shared.groupBy(F.col(id_col).alias(i), F.col(source_col).alias(s), F.col(size).alias(by_size), F.col(part).alias(by_part)).agg(F.count("*").alias(c))
-    before = Window.partitionBy(i, s, by_size).orderBy(by_part).rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.withColumn(c, F.coalesce(F.sum(c).over(before), F.lit(0)))
-    of = plan.groupBy(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(by_size)).agg(F.count("*").alias(rows_of), F.sum("taken").alias(taken), F.max("slots").alias(slots)).where(F.col(taken) > 0)
-    numbered = shared.withColumn(n, F.row_number().over(Window.partitionBy(*key, part).orderBy(F.lit(0))) - 1)
-    both = numbered.join(base, same & (F.col(size) == F.col(by_size)) & (F.col(part) == F.col(by_part))).withColumn(n, F.col(n) + F.col(c)).drop(i, s, c, part, by_size, by_part)
-    both = both.join(of, same & (F.col(size) == F.col(by_size))).drop(by_size)
-    rows = alone.unionByName(both)
+    rows = alone
+    if not by_row.where(F.col(c) > 1).isEmpty():
+        counted = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0))
+        shared = materialize(docs.join(by_row.where(F.col(c) > 1).select(i, s), same, "left_semi").withColumn(size, counted).withColumn(part, F.spark_partition_id()), "shared")
+        key = [F.col(id_col), F.col(source_col), F.col(size)]
+        sums = shared.groupBy(F.col(id_col).alias(i), F.col(source_col).alias(s), F.col(size).alias(by_size), F.col(part).alias(by_part)).agg(F.count("*").alias(c))
+        before = Window.partitionBy(i, s, by_size).orderBy(by_part).rowsBetween(Window.unboundedPreceding, -1)
+        base = sums.withColumn(c, F.coalesce(F.sum(c).over(before), F.lit(0)))
+        of = plan.groupBy(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(by_size)).agg(F.count("*").alias(rows_of), F.sum("taken").alias(taken), F.max("slots").alias(slots)).where(F.col(taken) > 0)
+        numbered = shared.withColumn(n, F.row_number().over(Window.partitionBy(*key, part).orderBy(F.lit(0))) - 1)
+        both = numbered.join(base, same & (F.col(size) == F.col(by_size)) & (F.col(part) == F.col(by_part))).withColumn(n, F.col(n) + F.col(c)).drop(i, s, c, part, by_size, by_part)
+        both = both.join(of, same & (F.col(size) == F.col(by_size))).drop(by_size)
+        rows = alone.unionByName(both)
     whole = F.floor(F.col(taken) / F.col(size))
     own = F.floor(whole / F.col(rows_of)) + F.when(F.col(n) < whole % F.col(rows_of), 1).otherwise(0)
     left = F.when(F.col(n) == whole % F.col(rows_of), F.col(taken) - whole * F.col(size)).otherwise(0)

@@ -266,9 +266,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     """
     spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
-    width = "<u2" if max(_tokenizer(path).get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
-    code = "H" if width == "<u2" else "I"
-    end = array(code, [end_id]).tobytes()
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     root = folder.rstrip("/")
     plain = isinstance(docs.schema[id_col].dataType, T.IntegralType)
@@ -277,6 +274,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         from pyspark import TaskContext
 
         context = TaskContext.get()
+        # the tokenizer is loaded by tasks alone, as it would stay in the driver's memory
+        width = "<u2" if max(_tokenizer(path).get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
+        code = "H" if width == "<u2" else "I"
+        end = array(code, [end_id]).tobytes()
         cache, part, piece, shard, done = _cache(path, code), context.partitionId(), 0, None, []
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -291,18 +292,18 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         if shard is not None:
             done.append((piece, shard))
             shard.close()
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([part] * len(done), pa.int64()), "piece": pa.array([k for k, _ in done], pa.int64()), "name": pa.array([x.name for _, x in done], pa.string()), "n_docs": pa.array([x.n_docs for _, x in done], pa.int64()), "n_tokens": pa.array([x.n_tokens for _, x in done], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([part] * len(done), pa.int64()), "piece": pa.array([k for k, _ in done], pa.int64()), "name": pa.array([x.name for _, x in done], pa.string()), "n_docs": pa.array([x.n_docs for _, x in done], pa.int64()), "n_tokens": pa.array([x.n_tokens for _, x in done], pa.int64()), "width": pa.array([width] * len(done), pa.string())})
 
     _make_folder(spark, root)
     picked_columns = [F.col(id_col).cast("long" if plain else "string").alias("id"), F.col(text_col).alias("text"), F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col)).alias("text_hash")]
     by = [f"by_{i}" for i in range(len(order))] or ["id", "text_hash"]
     picked = docs.select(*picked_columns, *(F.col(c).alias(n) for c, n in zip(order, by)))
     dealt = picked.repartitionByRange(shards, *by).sortWithinPartitions(*by).select("id", "text")
-    written = materialize(dealt.mapInArrow(write, "shard long, piece long, name string, n_docs long, n_tokens long"), "shards")
+    written = materialize(dealt.mapInArrow(write, "shard long, piece long, name string, n_docs long, n_tokens long, width string"), "shards")
     # one row for each shard
     before = Window.orderBy("shard", "piece").rowsBetween(Window.unboundedPreceding, -1)
     bases = written.select("*", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for c, n in (("n_tokens", "token_base"), ("n_docs", "doc_base"))))
-    bases.select("*", F.lit(width).alias("width"), F.lit(plain).alias("plain")).write.parquet(f"{root}/manifest")
+    bases.select(*(c for c in bases.columns if c != "width"), "width", F.lit(plain).alias("plain")).write.parquet(f"{root}/manifest")
     return spark.read.parquet(f"{root}/manifest")
 
 

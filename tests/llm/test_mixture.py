@@ -127,3 +127,13 @@ def test_rows_that_share_an_id_share_what_is_taken_once(spark):
 def test_mixed_documents_of_nothing(spark):
     assert mixture.mixed_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixture.mixed_documents(spark.createDataFrame([(1, None, None), (None, " ", "a")], SCHEMA)).count() == 0
+
+
+def test_nothing_is_planned_for_shared_ids_where_there_are_none(spark, monkeypatch):
+    written, materialize = [], mixture.materialize
+    monkeypatch.setattr(mixture, "materialize", lambda df, name: (written.append(name), materialize(df, name))[1])
+    rows = documents(30)
+    once = mixture.mixed_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert once and "shared" not in written
+    mixture.mixed_documents(spark.createDataFrame([*rows, rows[4], rows[5]], SCHEMA)).collect()
+    assert "shared" in written

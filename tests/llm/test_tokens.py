@@ -127,3 +127,10 @@ def test_a_second_write_gives_the_same(spark):
     rows = [(i, t) for i, t in enumerate(texts(60, 5))]
     key = lambda found: sorted((r.doc_id, r.start, r.ids_crc32) for r in found)
     assert key(write(spark, rows, shards=3)[2]) == key(write(spark, rows[::-1], shards=7)[2])
+
+
+def test_the_driver_loads_no_tokenizer_for_files(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "_TOKENIZERS", {})
+    _, manifest, found = write(spark, [(1, "a b")])
+    assert not tokens._TOKENIZERS
+    assert [r.width for r in manifest.collect()] == ["<u2"] and [r.n_tokens for r in found] == [3]
