@@ -309,11 +309,13 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
     for t in tables():
         alone = t.column("one")[0] == t.column("two")[0]
-        for size in set(t.column("size").to_pylist()):
-            mine = t.filter(pa.array(t.column("size").to_numpy() == size))
-            second = np.array(mine.column("second").to_pylist(), bool)
-            a = mine.filter(pa.array(~second))
-            b = a if alone else mine.filter(pa.array(second))
+        sizes = t.column("size").to_numpy()
+        for size in np.unique(sizes).tolist():
+            mine = t if (sizes == size).all() else t.filter(pa.array(sizes == size))
+            # the first side's rows come first, so no vectors are copied
+            n = mine.num_rows - int(mine.column("second").to_numpy().sum())
+            a = mine.slice(0, n)
+            b = a if alone else mine.slice(n)
             if not a.num_rows or not b.num_rows:
                 continue
             for i in range(0, a.num_rows, TILE):

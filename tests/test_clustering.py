@@ -221,3 +221,16 @@ def test_near_vectors_far_from_the_origin(spark):
     df = spark.createDataFrame(list(enumerate(x.tolist())), "ord long, embedding array<double>")
     found = sorted((r.a, r.b) for r in clustering.neighbours(df, 0.5).collect())
     assert found == [(i, j) for i in range(60) for j in range(i + 1, 60) if ((x[i] - x[j]) ** 2).sum() <= 0.25]
+
+
+def test_both_sides_of_a_pair_of_groups_stay_in_the_memory_they_came_in():
+    n = 5000
+    rows = {"one": [0] * 2 * n, "two": [1] * 2 * n, "second": [False] * n + [True] * n, "cid": list(range(2 * n)), "n": [1] * 2 * n, "size": [64] * 2 * n, "vec": [np.full(64, i % 7, "<f4").tobytes() for i in range(2 * n)]}
+    types = [("one", pa.int64()), ("two", pa.int64()), ("second", pa.bool_()), ("cid", pa.int64()), ("n", pa.int64()), ("size", pa.int32()), ("vec", pa.binary())]
+    batch = pa.RecordBatch.from_pydict(rows, pa.schema(types))
+    before, most, pairs = pa.total_allocated_bytes(), 0, 0
+    for same, p, q, x, y in clustering._met(iter([batch.slice(0, 7000), batch.slice(7000)])):
+        most, pairs = max(most, pa.total_allocated_bytes() - before), pairs + len(x) * len(y)
+        assert not same and max(p.column("cid").to_pylist()) < n <= min(q.column("cid").to_pylist())
+    assert pairs == n * n
+    assert most < batch.nbytes // 4
